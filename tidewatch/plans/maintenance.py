@@ -22,7 +22,7 @@ LEFT_ALONE = (
 
 
 def _qualified(owner: str, name: str) -> Column:
-    return F.concat(quote_name(F.col(owner)), F.lit("."), quote_name(F.col(name)))
+    return text_concat(quote_name(F.col(owner)), ".", quote_name(F.col(name)))
 
 
 def move_text(has_transient: bool, online: bool, statistics: bool) -> Column:

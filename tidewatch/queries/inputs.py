@@ -69,6 +69,8 @@ def event_samples(events: DataFrame) -> DataFrame:
     )
 
 
+K_SQL = r"regexp_extract(props, '\d+')::INT"
+
 EVENT_SAMPLES = r"""event_samples AS (
   SELECT event_id, epoch_us(ts) // 3600000000 AS sample_id, ts AS sample_time,
     epoch_us(ts) // 86400000000 AS snap_id, 1::BIGINT AS dbid, 1 + k // 50 AS inst_id,
