@@ -155,7 +155,7 @@ def label_units(
     name = F.col("stat_name")
     label, scaled = F, F
     for pattern, unit, divisor in rules:
-        hit = name.like(pattern, "!") if "!" in pattern else name.like(pattern)
+        hit = F.like(name, F.lit(pattern), F.lit("!"))
         number = F.col(value) / divisor
         label = label.when(hit, F.concat(name, F.lit(unit)))
         scaled = scaled.when(hit, number if digits is None else F.round(number, digits))

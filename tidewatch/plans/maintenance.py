@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.nulls import is_truthy, not_true, quote_name, text_concat
 from tidewatch.operators.ordered import HOT_ROWS, latest_per_key, number_rows
 from tidewatch.operators.space import MB, OTHER_CONTAINERS, SYSTEM_CONTAINERS
+from tidewatch.session import staged
 
 TARGET = "${tablespace}"
 
@@ -81,9 +82,13 @@ def maintenance_plan(
     ``block`` orders the phases. Inside a container the largest-ranked segment moves out
     first and the smallest moves back first.
     """
-    texts = classified.select(
-        "owner", "tablespace_name", "row_no",
-        move_text(transient is not None, is_truthy(online), is_truthy(statistics)).alias("_text"),
+    # Up to five branches read the texts, so the classification is worked out once.
+    texts = staged(
+        classified.select(
+            "owner", "tablespace_name", "row_no",
+            move_text(transient is not None, is_truthy(online), is_truthy(statistics)).alias("_text"),
+        ),
+        "move-texts",
     )
     prefix = F.concat(F.lit("10:"), F.md5("tablespace_name"))
     size = dict(hot_rows=hot_rows, chunks=chunks)

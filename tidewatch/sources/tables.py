@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.measure import merge_post
-from tidewatch.session import work_folder
+from tidewatch.session import staged
 
 
 def rewrite_partitioned(df: DataFrame, partition: str, expression: Column, path: str) -> DataFrame:
@@ -36,10 +36,10 @@ def purge_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def create_range_table(df: DataFrame, name: str, key: str, width: int, path: str) -> None:
-    """A catalog table at the path, partitioned into key ranges of the given width (``bucket``)."""
+def create_range_table(df: DataFrame, name: str, key: str, width: int) -> None:
+    """A catalog table partitioned into key ranges of the given width (``bucket``)."""
     rows = df.withColumn("bucket", F.expr(f"{key} div {width}"))
-    rows.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").format("parquet").option("path", path).saveAsTable(name)
+    rows.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").format("parquet").saveAsTable(name)
 
 
 def purge_partitions(spark: SparkSession, name: str, key: str, width: int, low: int, high: int) -> DataFrame:
@@ -50,22 +50,30 @@ def purge_partitions(spark: SparkSession, name: str, key: str, width: int, low:
     """
     specs = [row.partition for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
     buckets = sorted(int(spec.split("=", 1)[1]) for spec in specs)
-    inside = [b for b in buckets if low <= b * width and (b + 1) * width - 1 <= high]
-    touched = [b for b in buckets if b not in inside and b * width <= high and (b + 1) * width - 1 >= low]
+    dropped = [b for b in buckets if low <= b * width and (b + 1) * width - 1 <= high]
+    touched = [b for b in buckets if b not in dropped and b * width <= high and (b + 1) * width - 1 >= low]
     if touched:
-        staged = work_folder(spark, "boundary")
-        columns = spark.table(name).columns
-        keep = purge_range(spark.table(name).where(F.col("bucket").isin(touched)), key, low, high)
-        keep.write.parquet(staged)
-        for b in touched:
-            spark.sql(f"ALTER TABLE {name} DROP PARTITION (bucket={b}) PURGE")
-        spark.read.parquet(staged).select(*columns).write.insertInto(name)
-    for start in range(0, len(inside), 500):
-        batch = ", ".join(f"PARTITION (bucket={b})" for b in inside[start : start + 500])
+        kept = staged(purge_range(spark.table(name).where(F.col("bucket").isin(touched)), key, low, high), "boundary")
+        left = [row.bucket for row in kept.select("bucket").distinct().collect()]
+        dropped += [b for b in touched if b not in left]
+        _replace_partitions(kept, name)
+    for start in range(0, len(dropped), 500):
+        batch = ", ".join(f"PARTITION (bucket={b})" for b in dropped[start : start + 500])
         spark.sql(f"ALTER TABLE {name} DROP {batch}")
     return spark.table(name)
 
 
+def _replace_partitions(rows: DataFrame, name: str) -> None:
+    """Overwrite the partitions present in the rows, and no others."""
+    mode, conf = "spark.sql.sources.partitionOverwriteMode", rows.sparkSession.conf
+    before = conf.get(mode)
+    conf.set(mode, "dynamic")
+    try:
+        rows.write.insertInto(name, overwrite=True)
+    finally:
+        conf.set(mode, before)
+
+
 def write_reports(report: DataFrame, path: str) -> None:
     """One folder per report file name."""
     report.hint("rebalance", F.col("file_name")).write.partitionBy("file_name").parquet(path)
@@ -104,9 +112,7 @@ class MeasurementStore:
         times = saved.select(*self.keys, "d_pre")
         merged = merged.drop(*[f"{m}_diff" for m in self.measures]).join(times, self.keys, "left")
         merged = merged.withColumn("d_pre", F.coalesce("d_pre", F.current_timestamp()))
-        staged = work_folder(self.spark, "measurement")
-        merged.write.parquet(staged)
-        self._replace(run, self.spark.read.parquet(staged))
+        self._replace(run, staged(merged, "measurement"))
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
