@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import HOT_ROWS, number_rows
+from tidewatch.operators.ordered import number_rows
 
 
 def sequence_rows(spark: SparkSession, n: int) -> DataFrame:
@@ -28,7 +28,7 @@ def sequence_grid(spark: SparkSession, n: int) -> DataFrame:
 
 def assign_ids(
     df: DataFrame, column: str, order: Sequence[str], start: int = 1, step: int = 10,
-    hot_rows: int = HOT_ROWS, chunks: int | None = None,
+    hot_rows: int | None = None, chunks: int | None = None,
 ) -> DataFrame:
     """Keep given ids; give the rows without one the next values of a sequence, in order."""
     missing = number_rows(df.where(F.col(column).isNull()), [], order, "_rn", hot_rows=hot_rows, chunks=chunks)

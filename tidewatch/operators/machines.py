@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.ordered import CHUNK, HOT_ROWS, order_by, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, order_by, split_hot_groups
 
 # Executors need not have this package installed: ship the few helpers below by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -131,10 +131,12 @@ def _chain(machine, chunk: str) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(chunk)
         state, count, states, counts = machine.start, 0, [], []
-        for ends, added in zip(table.column("_ends").to_pylist(), table.column("_counts").to_pylist()):
+        ends, added = table.column("_ends"), table.column("_counts")
+        for i in range(table.num_rows):
             states.append(state)
             counts.append(count)
-            state, count = ends[state], count + added[state]
+            count += added[i].values[state].as_py()
+            state = ends[i].values[state].as_py()
         kept = table.drop_columns(["_ends", "_counts"])
         return kept.append_column("_w_state", pa.array(states, pa.int64())).append_column(
             "_w_count", pa.array(counts, pa.int64())
@@ -176,7 +178,7 @@ def run_machine(
     order: Sequence[str],
     symbol: str,
     machine,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """Add ``before``, ``after`` (states) and ``number`` (running count) to every row."""

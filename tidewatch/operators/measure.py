@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import HOT_ROWS, match_by, number_rows
+from tidewatch.operators.ordered import match_by, number_rows
 
 # The statement counters that a measurement records.
 COUNTERS = (
@@ -121,7 +121,7 @@ def any_nonzero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def median_per_key(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, hot_rows: int = HOT_ROWS, chunks: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, out: str, hot_rows: int | None = None, chunks: int | None = None
 ) -> DataFrame:
     """Exact median of the known values per key, by position, so that no task holds a group."""
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
@@ -131,7 +131,7 @@ def median_per_key(
 
 
 def run_class_stats(
-    df: DataFrame, min_runs: int = 4, hot_rows: int = HOT_ROWS, chunks: int | None = None
+    df: DataFrame, min_runs: int = 4, hot_rows: int | None = None, chunks: int | None = None
 ) -> DataFrame:
     """Per run class and statistic: median, sample deviation, deviation in percent, runs.
 

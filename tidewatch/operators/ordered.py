@@ -22,6 +22,7 @@ from tidewatch.session import shuffle_width
 CHUNK = "_chunk"
 MAX_CHUNKS = 4096
 HOT_ROWS = 1_000_000
+HOT_ROWS_SETTING = "spark.tidewatch.hotRows"
 
 
 def order_by(order: Sequence[str]) -> list[Column]:
@@ -77,17 +78,19 @@ def split_hot_groups(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """Add the chunk number, and say whether any key had to be cut.
 
-    A key is hot when it holds more than ``hot_rows`` rows and more than the share of one
-    shuffle partition; at most ``chunks`` keys can be, so their list is small by construction.
+    A key is hot when it holds more than ``hot_rows`` rows (by default the session setting
+    ``spark.tidewatch.hotRows``, or a million) and more than the share of one shuffle partition; at most ``chunks`` keys can be, so their list is small by construction.
     Chunks follow the order: a row in a lower chunk never sorts after one in a higher chunk.
     """
     spark = df.sparkSession
     width = chunks or max(2, min(MAX_CHUNKS, shuffle_width(spark)))
+    if hot_rows is None:
+        hot_rows = int(spark.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
     limit = max(hot_rows, (total or 0) // width)
@@ -119,7 +122,7 @@ def number_rows(
     order: Sequence[str],
     name: str,
     total: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` per key (or over the whole table), optionally with the group size."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.machines import Packing, Subsequence, Table, run_machine
-from tidewatch.operators.ordered import CHUNK, HOT_ROWS, match_by, order_by, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, match_by, order_by, split_hot_groups
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ def sections(
     keys: Sequence[str],
     order: Sequence[str],
     kinds: Sequence[SectionKind],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """Rows inside the shortest, non-overlapping sections, in order of appearance.
@@ -95,7 +95,7 @@ def _section_moves(lengths: Sequence[tuple[int, int]]) -> tuple[list[list[int]],
 
 
 def _with_next(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], hot_rows: int, chunks: int | None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], hot_rows: int | None, chunks: int | None
 ) -> DataFrame:
     """Add ``_next``: the listed columns of the following row of the key.
 
@@ -140,7 +140,7 @@ def ordered_fields(
     symbols: Mapping[str, Column],
     fields: Mapping[str, tuple[str, Column]],
     reset_on_start: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """One row per ordered, non-overlapping match of the symbols, with any rows in between.
@@ -176,7 +176,7 @@ def greedy_pack(
     text: str,
     limit: int = 3800,
     first_alone: bool = True,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """Number consecutive texts into groups whose quoted, comma-separated list fits the limit.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import CHUNK, HOT_ROWS, order_by, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, order_by, split_hot_groups
 
 
 def run_segments(
@@ -19,7 +19,7 @@ def run_segments(
     sums: Sequence[str] = (),
     max_gap: int = 10,
     on_break: str = "drop",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """Split each key's ordered samples into runs of one state.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import text_concat, unless_null
-from tidewatch.operators.ordered import HOT_ROWS, latest_per_key
+from tidewatch.operators.ordered import latest_per_key
 from tidewatch.operators.runs import run_segments
 
 # The columns that identify one session's stream of samples.
@@ -58,7 +58,7 @@ def enrich_runs(
     procedures: DataFrame,
     order: tuple[str, ...] = ("sample_id",),
     keys: tuple[str, ...] = SESSION_KEYS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Run segmentation of session samples with user, object and procedure names attached.
 

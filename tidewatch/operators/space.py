@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import not_true, text_concat
-from tidewatch.operators.ordered import HOT_ROWS, number_rows
+from tidewatch.operators.ordered import number_rows
 
 # Containers and owners that no space analysis touches.
 SYSTEM_CONTAINERS = ("SYSTEM", "SYSAUX")
@@ -118,7 +118,7 @@ def classify_segments(
     lob_partitions: DataFrame,
     lob_subpartitions: DataFrame,
     nested_tables: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """Attach what each segment belongs to, and the order in which segments should move.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import text_concat
-from tidewatch.operators.ordered import HOT_ROWS, latest_per_key, number_rows
+from tidewatch.operators.ordered import latest_per_key, number_rows
 
 # Fixed values: (output name, statistic) of the daily roll-up, by unit.
 DAILY_COUNTS = (
@@ -85,7 +85,7 @@ def stats_detail(
     latest_only: bool = False,
     keys: Sequence[str] = SNAPSHOT_KEYS,
     tie: Sequence[str] = ("instance_number", "snap_id"),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """Total and delta of every statistic in readable units, ranked newest first within

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.nulls import null_if_blank
-from tidewatch.operators.ordered import CHUNK, HOT_ROWS, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, split_hot_groups
 
 # Fixed values: (pattern, replacement), applied in this order. Each reduces one kind of
 # detail: query blocks, objects, objects in a query block, strings, numbers, pairs of
@@ -25,25 +25,39 @@ FORM_RULES = (
     (r"\{number_pair\}(\s+\{number_pair\})+", "{list_of_number_pairs}"),
     (r"\{number\}(\s+\{number\})+", "{list_of_numbers}"),
 )
+# A text matches the rule of the same position only if it contains this; null means any text.
+FORM_MARKS = ('"', '"', "{obj}@{qblk}", "'", None, "({number}", "{obj}", "{number_pair}", "{number}")
 LEADING_KEYWORD = r"^[A-Z][A-Z_]*"
 
 
-def text_form(text: Column, rules: Sequence[tuple[str, str]] = FORM_RULES) -> Column:
-    """The text with its details replaced, rule after rule."""
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+def with_form(
+    df: DataFrame, text: str, form: str, rules: Sequence[tuple[str, str]] = FORM_RULES,
+    marks: Sequence[str | None] = FORM_MARKS,
+) -> DataFrame:
+    """Add the text with its details replaced, rule after rule.
+
+    A regular expression runs only on texts that contain its mark, which is far cheaper to
+    look for.
+    """
+    out = df.withColumn(form, F.col(text))
+    for (pattern, replacement), mark in zip(rules, marks):
+        replaced = F.regexp_replace(form, pattern, replacement)
+        if mark is not None:
+            replaced = F.when(F.col(form).contains(mark), replaced).otherwise(F.col(form))
+        out = out.withColumn(form, replaced)
+    return out
 
 
 def text_forms(
-    df: DataFrame, text: str, identifier: str, rules: Sequence[tuple[str, str]] = FORM_RULES, exact: bool = False
+    df: DataFrame, text: str, identifier: str, rules: Sequence[tuple[str, str]] = FORM_RULES,
+    marks: Sequence[str | None] = FORM_MARKS, exact: bool = False,
 ) -> DataFrame:
     """Per form: its leading keyword, a sample text and id, and the number of distinct ids.
 
     The count is approximate, as its sketches merge before the shuffle; ``exact`` adds the
     true count. Samples are the least values, so that results repeat.
     """
-    formed = df.select(text_form(F.col(text), rules).alias("form"), F.col(text).alias("_text"), F.col(identifier).alias("_id"))
+    formed = with_form(df.select(F.col(text).alias("_text"), F.col(identifier).alias("_id")), "_text", "form", rules, marks)
     measures = [F.min("_text").alias("text_sample"), F.min("_id").alias("id_sample"), F.approx_count_distinct("_id").alias("ids_estimate")]
     if exact:
         measures.append(F.count_distinct("_id").alias("ids"))
@@ -90,7 +104,7 @@ def string_agg_affix(
     delimiter: str | None,
     prefix: str | None = None,
     suffix: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """The ordered texts of each key as one text; a text of length zero becomes null.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import is_truthy, not_true, quote_name, text_concat
-from tidewatch.operators.ordered import HOT_ROWS, latest_per_key, number_rows
+from tidewatch.operators.ordered import latest_per_key, number_rows
 from tidewatch.operators.space import MB, OTHER_CONTAINERS, SYSTEM_CONTAINERS
 from tidewatch.session import staged
 
@@ -74,7 +74,7 @@ def maintenance_plan(
     transient: str | None = None,
     online: str | bool = False,
     statistics: str | bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """All steps of moving segments out of their containers and back, numbered i of n.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import cleanup, keys
@@ -15,12 +15,9 @@ def _brand_columns(t: Tables) -> DataFrame:
     first = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy("l_orderkey", "p_brand").agg(
         F.min("l_linenumber").alias("line")
     )
-    # A brand's position is the number of the order's brands that come no later: a count over
-    # an order's few brands.
-    other = first.select(F.col("l_orderkey").alias("k"), F.col("p_brand").alias("b"), F.col("line").alias("n"))
-    earlier = (F.col("n") < F.col("line")) | ((F.col("n") == F.col("line")) & (F.col("b") <= F.col("p_brand")))
-    ranked = first.join(other, (F.col("k") == F.col("l_orderkey")) & earlier)
-    return ranked.groupBy("l_orderkey", "p_brand").agg(F.count(F.lit(1)).alias("position"))
+    # At most one row per brand and order, so a window holds no more rows than there are brands.
+    by_line = Window.partitionBy("l_orderkey").orderBy("line", "p_brand")
+    return first.select("l_orderkey", "p_brand", F.row_number().over(by_line).cast("bigint").alias("position"))
 
 
 @query("uncovered_keys", """

@@ -22,8 +22,12 @@ SELECT form, nullif(regexp_extract(form, '^[A-Z][A-Z_]*'), '') AS keyword, min(h
 
 
 def _checked(forms):
-    """The estimate is compared with the exact count, as sketches differ between engines."""
-    near = F.abs(F.col("ids_estimate") - F.col("ids")) <= 0.15 * F.col("ids")
+    """The estimate is compared with the exact count, as sketches differ between engines.
+
+    Its relative error is 5 %, so 15 % is three deviations; in a small set two ids that share
+    a register make a difference of one, whatever its share.
+    """
+    near = F.abs(F.col("ids_estimate") - F.col("ids")) <= 0.15 * F.col("ids") + 2
     return forms.withColumn("estimate_near", near).drop("ids_estimate")
 
 
