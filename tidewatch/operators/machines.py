@@ -180,9 +180,15 @@ def run_machine(
     machine,
     hot_rows: int | None = None,
     chunks: int | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
-    """Add ``before``, ``after`` (states) and ``number`` (running count) to every row."""
-    rows, split = split_hot_groups(df, keys, order, hot_rows, chunks)
+    """Add ``before``, ``after`` (states) and ``number`` (running count) to every row.
+
+    ``split`` is given for rows that have their chunk numbers already.
+    """
+    rows = df
+    if split is None:
+        rows, split = split_hot_groups(df, keys, order, hot_rows, chunks)
     group = [*keys, CHUNK]
     absent = F.lit(None).cast("bigint")
     rows = rows.withColumns(
@@ -205,7 +211,7 @@ def run_machine(
     labelled = rows.mapInArrow(_label(machine), T.StructType([*rows.schema, *added]))
     if split:
         labelled = labelled.where(F.col("_w_entry").isNull())
-    return labelled.select(*df.columns, "before", "after", "number")
+    return labelled.select(*[c for c in df.columns if c != CHUNK], "before", "after", "number")
 
 
 def _fields(*pairs) -> list[T.StructField]:

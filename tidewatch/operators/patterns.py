@@ -41,7 +41,8 @@ def sections(
     flags = {f"_{s}{i}_{j}": F.coalesce(c, F.lit(False)) for i, k in enumerate(kinds)
              for s, side in (("o", k.opening), ("c", k.closing)) for j, c in enumerate(side)}
     rows = df.withColumns({**flags, "_spot": place})
-    rows = _with_next(rows, keys, order, [*flags, "_spot"], hot_rows, chunks)
+    rows, split = split_hot_groups(rows, keys, order, hot_rows, chunks)
+    rows = _with_next(rows, keys, order, [*flags, "_spot"], split)
 
     opens, closes, opened = {}, {}, {}
     for i, k in enumerate(kinds):
@@ -60,9 +61,9 @@ def sections(
         usable = F.col(f"_open{i}") & F.coalesce(F.col(f"_opened{i}") < F.col(f"_end{i}"), F.lit(False))
         bits = bits + F.when(usable, 1 << (2 * i)).otherwise(0)
         bits = bits + F.when(F.col(f"_close{i}"), 2 << (2 * i)).otherwise(0)
-    rows = rows.withColumn("_bits", bits).select(*df.columns, "_bits")
+    rows = rows.withColumn("_bits", bits).select(*df.columns, CHUNK, "_bits")
     moves, kind_of = _section_moves([(len(k.opening), len(k.closing)) for k in kinds])
-    labelled = run_machine(rows, keys, order, "_bits", Table(moves), hot_rows, chunks)
+    labelled = run_machine(rows, keys, order, "_bits", Table(moves), split=split)
     inside = labelled.where((F.col("before") != 0) | (F.col("after") != 0))
     names = F.array(*[F.lit(None if k is None else kinds[k].name) for k in kind_of])
     return inside.select(
@@ -95,14 +96,13 @@ def _section_moves(lengths: Sequence[tuple[int, int]]) -> tuple[list[list[int]],
 
 
 def _with_next(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], hot_rows: int | None, chunks: int | None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], split: bool
 ) -> DataFrame:
     """Add ``_next``: the listed columns of the following row of the key.
 
     A hot key's chunk borrows a copy of the first row of its next chunk.
     """
-    rows, split = split_hot_groups(df, keys, order, hot_rows, chunks)
-    rows = rows.withColumn("_borrowed", F.lit(False))
+    rows = df.withColumn("_borrowed", F.lit(False))
     if split:
         lowest = F.min_by(F.struct("*"), F.struct(*order)).alias("_row")
         heads = rows.groupBy(*keys, CHUNK).agg(lowest)
@@ -112,7 +112,7 @@ def _with_next(
         rows = rows.unionByName(heads)
     ordered = Window.partitionBy(*keys, CHUNK).orderBy(*order_by(order))
     rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(ordered))
-    return rows.where(~F.col("_borrowed")).drop("_borrowed", CHUNK)
+    return rows.where(~F.col("_borrowed")).drop("_borrowed")
 
 
 def key_value(df: DataFrame, text: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import text_concat, unless_null
+from tidewatch.functions.times import moment, seconds_between
 from tidewatch.operators.ordered import latest_per_key
 from tidewatch.operators.runs import run_segments
 
@@ -24,11 +25,6 @@ def procedure_name(owner: Column, object_name: Column, procedure: Column) -> Col
     return unless_null(owner, text_concat(owner, ".", object_name, tail))
 
 
-def seconds_between(start: str, end: str) -> Column:
-    """Elapsed seconds, to the microsecond, of two timestamp columns."""
-    return F.timestamp_diff("MICROSECOND", F.col(start), F.col(end)) / 1_000_000
-
-
 def _with_procedure(df: DataFrame, procedures: DataFrame, role: str, prefix: str) -> DataFrame:
     """Left join of the procedure dimension on (object_id, subprogram_id)."""
     dim = procedures.select(
@@ -47,7 +43,7 @@ def samples_in_range(
     """Samples of a time and snapshot range whose snapshot is known."""
     keys = ["snap_id", "dbid", "inst_id"]
     known = snapshots.withColumnRenamed("instance_number", "inst_id").select(*keys).distinct()
-    inside = F.col("sample_time").between(F.lit(time_from), F.lit(time_to)) & F.col("snap_id").between(snap_from, snap_to)
+    inside = F.col("sample_time").between(moment(samples, "sample_time", time_from), moment(samples, "sample_time", time_to)) & F.col("snap_id").between(snap_from, snap_to)
     return samples.where(inside).join(known, keys, "left_semi")
 
 
@@ -141,6 +137,7 @@ def peak_two_level(
         F.desc_nulls_last("peak_value"), F.desc("sample_id"), F.asc("session_id"), F.asc("session_serial")
     )
     top = peaks.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k_outer)
+    top = top.withColumn("rank", F.col("rank").cast("bigint"))
     named = top.join(users.select("user_id", "username"), "user_id", "left")
     db_user = F.coalesce(F.col("username"), text_concat("(", F.col("user_id"), ")"))
     return named.withColumn("db_user", db_user).drop("username")
@@ -201,8 +198,10 @@ def deadlock_report(
     Samples are joined to their snapshot and to the blocker's sample of the same moment; a
     deadlock without such a sample keeps its row.
     """
-    recent = samples if since is None else samples.where(F.col("sample_time") >= F.lit(since))
-    snaps = snapshots if since is None else snapshots.where(F.col("end_interval_time") >= F.lit(since))
+    recent = samples if since is None else samples.where(F.col("sample_time") >= moment(samples, "sample_time", since))
+    snaps = snapshots if since is None else snapshots.where(
+        F.col("end_interval_time") >= moment(snapshots, "end_interval_time", since)
+    )
     keys = ["snap_id", "dbid", "inst_id"]
     known = snaps.withColumnRenamed("instance_number", "inst_id").select(*keys).distinct()
     blocker = samples.select(

@@ -13,7 +13,7 @@ from tidewatch.operators.ordered import number_rows
 # Containers and owners that no space analysis touches.
 SYSTEM_CONTAINERS = ("SYSTEM", "SYSAUX")
 OTHER_CONTAINERS = ("TEMP", "USERS")
-SYSTEM_OWNERS = ("XDB", "SH", "OE", "IX", "HR", "PIERRE")
+SYSTEM_OWNERS = ("XDB", "SH", "OE", "IX", "HR")
 MB = 1_048_576
 
 

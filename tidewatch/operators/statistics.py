@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import text_concat
+from tidewatch.functions.times import moment
 from tidewatch.operators.ordered import latest_per_key, number_rows
 
 # Fixed values: (output name, statistic) of the daily roll-up, by unit.
@@ -121,7 +122,9 @@ def snapshots_in_range(
     snapshots: DataFrame, database: DataFrame, time_from: datetime, time_to: datetime
 ) -> DataFrame:
     """Intervals of the current database that overlap the range, with a report file name."""
-    overlap = (F.col("end_interval_time") >= F.lit(time_from)) & (F.col("begin_interval_time") <= F.lit(time_to))
+    overlap = (F.col("end_interval_time") >= moment(snapshots, "end_interval_time", time_from)) & (
+        F.col("begin_interval_time") <= moment(snapshots, "begin_interval_time", time_to)
+    )
     current = database.select("dbid").distinct()
     name = text_concat("instance_", F.col("instance_number"), ".", file_stamp(F.col("end_interval_time")), ".html")
     return snapshots.where(overlap).join(current, "dbid", "left_semi").withColumn("file_name", name)

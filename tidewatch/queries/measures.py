@@ -165,11 +165,11 @@ RUN_STATS = f"""base AS (
   SELECT *, (10 * (1 + day // 7) + day % 7)::INT AS run_id FROM (
     SELECT *, epoch_us(ts) // 86400000000 - {FIRST_DAY} AS day, round(value * 100)::BIGINT AS cents, {K_SQL}::BIGINT AS k FROM events)
 ), tall AS (
-  SELECT run_id, length(event_type) AS stat_class_id, event_type || ' ' || name AS stat_name, v AS stat_value_diff FROM (
+  SELECT run_id, length(event_type)::INT AS stat_class_id, event_type || ' ' || name AS stat_name, v AS stat_value_diff FROM (
     SELECT run_id, event_type, unnest(['busy time', 'buffer size', 'sent bytes', 'read bytes from cache', 'nothing', 'lowest']) AS name,
       unnest([sum(cents) * 1000, sum(k * 10000), sum(k * 777), max(cents), 0, min(k)])::BIGINT AS v FROM base GROUP BY run_id, event_type)
 ), stats AS (
-  SELECT run_id // 10 AS run_class, stat_class_id, stat_name, median(stat_value_diff)::DOUBLE AS median, stddev_samp(stat_value_diff) AS stddev,
+  SELECT (run_id // 10)::BIGINT AS run_class, stat_class_id, stat_name, median(stat_value_diff)::DOUBLE AS median, stddev_samp(stat_value_diff) AS stddev,
     count(*) AS runs FROM tall WHERE stat_value_diff <> 0 GROUP BY ALL
 ), kept AS (SELECT * FROM stats WHERE runs >= 4 AND (median <> 0 OR stddev <> 0))"""
 

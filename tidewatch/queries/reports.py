@@ -52,7 +52,7 @@ def hourly_snapshots(events: DataFrame) -> DataFrame:
 EVENT_STATS = f"""event_stats AS (
   SELECT *, epoch_us(ts) // 3600000000 AS snap_id, event_type AS sql_id, k % 3 AS plan_hash_value,
     CASE WHEN k < 90 THEN 'm' || k // 30 END AS module, NULL::VARCHAR AS action, upper(event_type) AS parsing_schema_name,
-    user_id AS parsing_user_id, 1 + k // 50 AS instance_number,
+    user_id AS parsing_user_id, (1 + k // 50)::INT AS instance_number,
     {", ".join(f"({e})::BIGINT AS {n}_delta, ({e})::BIGINT * 10 AS {n}_total" for n, e in STAND_INS.items())}
   FROM (SELECT event_id, user_id, event_type, ts, {K_SQL}::BIGINT AS k, round(value * 100)::BIGINT AS cents FROM events)
 ), hourly AS (
