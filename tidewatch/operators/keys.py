@@ -47,21 +47,25 @@ def uncovered_keys(
                              F.col("column_position").alias("index_position")),
         ["owner", "index_name"],
     ).select("table_owner", "table_name", F.col("owner").alias("index_owner"), "index_name", "column_name", "index_position")
-    matches = columns.alias("c").join(
-        places.alias("i"),
-        (F.col("c.owner") == F.col("i.table_owner"))
-        & (F.col("c.table_name") == F.col("i.table_name"))
-        & (F.col("c.column_name") == F.col("i.column_name"))
-        & (F.col("i.index_position") <= F.col("c.key_columns")),
-        "left",
-    ).select("c.*", "i.index_owner", "i.index_name")
+    def matched(some: DataFrame, how: str) -> DataFrame:
+        return some.alias("c").join(
+            places.alias("i"),
+            (F.col("c.owner") == F.col("i.table_owner"))
+            & (F.col("c.table_name") == F.col("i.table_name"))
+            & (F.col("c.column_name") == F.col("i.column_name"))
+            & (F.col("i.index_position") <= F.col("c.key_columns")),
+            how,
+        ).select("c.*", "i.index_owner", "i.index_name")
+
     covering = (
-        matches.where(F.col("index_name").isNotNull())
+        matched(columns, "inner")
         .groupBy(*key, "index_owner", "index_name", "key_columns")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= F.col("key_columns"))
     )
-    return matches.join(covering.select(*key).distinct(), key, "left_anti").select(
+    # Candidates are listed for the uncovered keys only.
+    uncovered = columns.join(covering.select(*key).distinct(), key, "left_anti")
+    return matched(uncovered, "left").select(
         *key, "column_position", "column_name",
         F.col("index_owner").alias("nearest_index_owner"), F.col("index_name").alias("nearest_index_name"),
         F.lit("N").alias("is_covering_index"),

@@ -181,20 +181,20 @@ WITH {NAMED_SEGMENTS}, ws AS (
   UNION SELECT seg_dbid::BIGINT, 0 FROM s WHERE seg_snap_id = 'MXSN' UNION SELECT seg_dbid::BIGINT, 1048576 FROM s WHERE seg_snap_id = 'MXSN'
   UNION SELECT dbid, snap_id FROM ws
 ), r AS (
-  SELECT d AS seg_dbid, CASE WHEN n_regionkey < 3 THEN 1 END AS instance_number,
+  SELECT d AS seg_dbid, CASE WHEN n_regionkey < 3 THEN n_regionkey END AS instance_number,
     CASE WHEN n_regionkey < 3 THEN TIMESTAMP '2024-01-01' END AS startup_time, n AS seg_snap_id,
     dense_rank() OVER (ORDER BY d) AS db_rank,
     CASE WHEN n_regionkey IN (1, 2) THEN 1 ELSE 0 END AS is_already_in_wdi,
-    CASE WHEN n_regionkey < 3 AND EXISTS (SELECT 1 FROM ws WHERE ws.dbid = d AND ws.snap_id = n) THEN 1 ELSE 0 END AS is_already_in_ws
+    CASE WHEN n_regionkey = 1 AND EXISTS (SELECT 1 FROM ws WHERE ws.dbid = d AND ws.snap_id = n) THEN 1 ELSE 0 END AS is_already_in_ws
   FROM ext JOIN nation ON n_nationkey = d
 )
 SELECT *, (row_number() OVER (PARTITION BY seg_dbid, instance_number ORDER BY seg_snap_id) = 1)::INT AS first_snap FROM r""")
 def mine_keys_query(t: Tables):
     startup = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("startup_time")
     nation = t.nation.select(F.col("n_nationkey").cast("bigint").alias("dbid"), "n_regionkey")
-    databases = nation.where(F.col("n_regionkey") < 3).select("dbid", F.lit(1).alias("inst_id"))
-    instances = t.region.where(F.col("r_regionkey") == 1).select(F.col("r_regionkey").alias("instance_number"), startup)
-    known = nation.where(F.col("n_regionkey").isin(1, 2)).select("dbid", F.lit(1).alias("instance_number"), startup)
+    databases = nation.where(F.col("n_regionkey") < 3).select("dbid", F.col("n_regionkey").alias("inst_id"))
+    instances = t.region.select(F.col("r_regionkey").alias("instance_number"), startup)
+    known = nation.where(F.col("n_regionkey").isin(1, 2)).select("dbid", F.col("n_regionkey").alias("instance_number"), startup)
     return keys.mine_keys(_named_segments(t), _known_snapshots(t), databases, instances, known)
 
 
