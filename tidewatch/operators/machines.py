@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.ordered import CHUNK, order_by, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, WHOLE, order_by, split_hot_groups
 
 # Executors need not have this package installed: ship the few helpers below by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -95,18 +95,55 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+class _Effect:
+    """State reached, and groups counted, from every entry state of one chunk so far.
+
+    Entry states that have come to the same state go on as one, usually after a few rows;
+    once all have, the machine is stepped like a single one.
+    """
+
+    def __init__(self, machine):
+        self.machine = machine
+        self.states = np.arange(machine.width)
+        self.added = np.zeros(machine.width, dtype=np.int64)
+        self.track = np.arange(machine.width)
+        self.counts = np.zeros(machine.width, dtype=np.int64)
+        self.steps = 0
+
+    def step(self, symbol: int) -> None:
+        if len(self.states) == 1:
+            state, added = self.machine.step(int(self.states[0]), symbol)
+            self.states[0] = state
+            self.added[0] += added
+            return
+        self.states, added = self.machine.step_all(self.states, symbol)
+        self.added += added
+        self.steps += 1
+        if self.steps % 16 == 0:
+            self.merge()
+
+    def merge(self) -> None:
+        self.counts += self.added[self.track]
+        self.states, together = np.unique(self.states, return_inverse=True)
+        self.track = together[self.track]
+        self.added = np.zeros(len(self.states), dtype=np.int64)
+
+    def arrays(self) -> list[pa.Array]:
+        self.merge()
+        values = self.states[self.track].tolist(), self.counts.tolist()
+        return [pa.array([v], pa.list_(pa.int64())) for v in values]
+
+
 def _summarise(machine) -> Callable:
-    """Per (key, chunk): the state reached, and groups counted, from every entry state."""
+    """Per (key, chunk): what the chunk does to every entry state."""
 
     def run(batches):
-        pending, states, counts = None, None, None
+        pending, effect = None, None
 
         def record():
-            ends = pa.array([states.tolist()], pa.list_(pa.int64()))
-            sums = pa.array([counts.tolist()], pa.list_(pa.int64()))
             names = [n for n in pending.schema.names if not n.startswith("_w_")]
             columns = [pending.column(pending.schema.get_field_index(n)) for n in names]
-            return pa.RecordBatch.from_arrays([*columns, ends, sums], [*names, "_ends", "_counts"])
+            return pa.RecordBatch.from_arrays([*columns, *effect.arrays()], [*names, "_ends", "_counts"])
 
         for batch in batches:
             symbols, first = _column(batch, "_w_symbol"), _column(batch, "_w_first")
@@ -114,11 +151,8 @@ def _summarise(machine) -> Callable:
                 if first[i]:
                     if pending is not None:
                         yield record()
-                    pending = batch.slice(i, 1)
-                    states = np.arange(machine.width)
-                    counts = np.zeros(machine.width, dtype=np.int64)
-                states, added = machine.step_all(states, symbol)
-                counts += added
+                    pending, effect = batch.slice(i, 1), _Effect(machine)
+                effect.step(symbol)
         if pending is not None:
             yield record()
 
@@ -198,7 +232,7 @@ def run_machine(
     first = F.row_number().over(sorted_group) == 1
 
     if split:
-        narrow = rows.select(*group, *[c.lstrip("-") for c in order if c.lstrip("-") not in keys], "_w_symbol", "_w_state")
+        narrow = rows.where(F.col(CHUNK) != WHOLE).select(*group, *[c.lstrip("-") for c in order if c.lstrip("-") not in keys], "_w_symbol", "_w_state")
         narrow = narrow.withColumn("_w_first", first).select(*group, "_w_symbol", "_w_first")
         keyed = T.StructType([narrow.schema[c] for c in group])
         longs = T.ArrayType(T.LongType())

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from tidewatch.session import shuffle_width
 
 CHUNK = "_chunk"
+WHOLE = -1  # the chunk number of keys that are not cut
 MAX_CHUNKS = 4096
 HOT_ROWS = 1_000_000
 HOT_ROWS_SETTING = "spark.tidewatch.hotRows"
@@ -86,6 +87,7 @@ def split_hot_groups(
     A key is hot when it holds more than ``hot_rows`` rows (by default the session setting
     ``spark.tidewatch.hotRows``, or a million) and more than the share of one shuffle partition; at most ``chunks`` keys can be, so their list is small by construction.
     Chunks follow the order: a row in a lower chunk never sorts after one in a higher chunk.
+    Keys that are not cut have the chunk number ``WHOLE``.
     """
     spark = df.sparkSession
     width = chunks or max(2, min(MAX_CHUNKS, shuffle_width(spark)))
@@ -95,7 +97,7 @@ def split_hot_groups(
     total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
     limit = max(hot_rows, (total or 0) // width)
     if (largest or 0) <= limit:
-        return df.withColumn(CHUNK, F.lit(0)), False
+        return df.withColumn(CHUNK, F.lit(WHOLE)), False
 
     if keys:
         heavy = counts.where(F.col("_rows") > limit).drop("_rows")
@@ -112,7 +114,7 @@ def split_hot_groups(
     )
     splits = [float("-inf"), *sorted(set(edges)), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep")
-    chunk = F.when(F.col("_hot"), F.col("_bucket").cast("int")).otherwise(F.lit(0))
+    chunk = F.when(F.col("_hot"), F.col("_bucket").cast("int")).otherwise(F.lit(WHOLE))
     return cut.transform(placed).withColumn(CHUNK, chunk).drop("_hot", "_place", "_bucket"), True
 
 
@@ -139,16 +141,20 @@ def number_rows(
     across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = across.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*group)
+        rows.where(F.col(CHUNK) != WHOLE)
+        .groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_all", F.sum("_n").over(across))
         .drop("_n")
     )
-    out = match_by(rows.withColumn(name, number), offsets, group)
-    out = out.withColumn(name, F.col(name) + F.col("_before"))
+    out = rows.withColumn(name, number)
     if total:
-        out = out.withColumn(total, F.col("_all"))
+        out = out.withColumn(total, size)
+    out = match_by(out, offsets, group)
+    out = out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+    if total:
+        out = out.withColumn(total, F.coalesce("_all", total))
     return out.drop("_before", "_all", CHUNK)
 
 

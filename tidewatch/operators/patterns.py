@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.machines import Packing, Subsequence, Table, run_machine
-from tidewatch.operators.ordered import CHUNK, match_by, order_by, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, WHOLE, match_by, order_by, split_hot_groups
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def _with_next(
     rows = df.withColumn("_borrowed", F.lit(False))
     if split:
         lowest = F.min_by(F.struct("*"), F.struct(*order)).alias("_row")
-        heads = rows.groupBy(*keys, CHUNK).agg(lowest)
+        heads = rows.where(F.col(CHUNK) != WHOLE).groupBy(*keys, CHUNK).agg(lowest)
         earlier = F.lag(CHUNK).over(Window.partitionBy(*keys).orderBy(CHUNK))
         heads = heads.withColumn("_to", earlier).where(F.col("_to").isNotNull()).select("_row.*", "_to")
         heads = heads.withColumns({CHUNK: F.col("_to"), "_borrowed": F.lit(True)}).drop("_to")

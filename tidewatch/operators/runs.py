@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import CHUNK, order_by, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, WHOLE, order_by, split_hot_groups
 
 
 def run_segments(
@@ -40,7 +40,7 @@ def run_segments(
 
     if split:
         needed = list(dict.fromkeys([*keys, *order, time, *sums, CHUNK, "_state", "_pos", "_seed"]))
-        narrow = rows.select(*needed)
+        narrow = rows.where(F.col(CHUNK) != WHOLE).select(*needed)
         seeds = _last_of_previous_chunk(narrow, keys, order)
         marked = _mark(narrow.unionByName(seeds, allowMissingColumns=True), keys, order, max_gap, on_break)
         entries = _entries(marked, keys, order, time, sums, seeds)
