@@ -23,8 +23,8 @@ def not_true(condition: Column) -> Column:
 
 def text_concat(*parts: Column | str) -> Column:
     """Concatenation in which a null part adds nothing. Plain strings are literals."""
-    columns = [F.lit(p) if isinstance(p, str) else p for p in parts]
-    return F.concat(*[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    nothing = F.lit("")
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), nothing) for p in parts])
 
 
 def unless_null(test: Column, value: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import not_true, null_if_blank
-from tidewatch.operators.ordered import match_by
+from tidewatch.operators.ordered import match_by, number_rows
 
 # A quoted identifier with an optional quoted table before it.
 QUOTED_IDENTIFIER = r'("[A-Z][A-Z0-9_$#]*"\.)?"[A-Z][A-Z0-9_$#]*"'
@@ -148,8 +148,7 @@ def mine_keys(
     rows = rows.join(have_snapshot.withColumn("_ws", F.lit(1)), list(snap_keys.values()), "left")
 
     # Ranks and firsts come from aggregates of the ids, not from windows over all rows.
-    ranks = ids.select("seg_dbid").distinct()
-    ranks = ranks.withColumn("db_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seg_dbid")).cast("bigint"))
+    ranks = number_rows(ids.select("seg_dbid").distinct(), [], ["seg_dbid"], "db_rank")
     rows = rows.withColumn("_known_startup", F.when(F.col("_wdi") == 1, F.col("startup_time")))
     group = ["seg_dbid", "instance_number", "_known_startup"]
     firsts = rows.groupBy(*group).agg(F.min("seg_snap_id").alias("_first"))

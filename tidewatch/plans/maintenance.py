@@ -133,7 +133,8 @@ def _numbered(steps: DataFrame) -> DataFrame:
     """Number the steps by block and command without sorting them all in one task.
 
     A block's commands are numbered already (from 1, or a single 0), so only the block sizes
-    have to be accumulated: two blocks per container and four more.
+    have to be accumulated: two rows per container and four more, in a catalog that has some
+    thousands of containers at most.
     """
     one_task = Window.partitionBy(F.lit(0))
     before = one_task.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
