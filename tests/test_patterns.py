@@ -94,3 +94,29 @@ def test_key_value(spark):
     df = spark.createDataFrame([("  Session Number :  12 ",), ("no pair",), ("a: b: c",), (None,)], "p string")
     assert [(r["var"], r["value"]) for r in key_value(df, "p").collect()] == [
         ("Session Number", "12"), (None, None), ("a", "b: c"), (None, None)]
+
+
+def test_deadlock_trace(spark):
+    from tidewatch.operators.deadlocks import deadlock_sections, deadlock_sessions, lock_transaction
+
+    def block(session, level=True):
+        return ["USER session identified by: x", "{", "OS Program Name: p", "Application Name: Desktop Client 9", "Action Name: Complete Case Activity now",
+                "Current SQL: q", f"Session Number: {session}", "Session Serial Number: 7", "Instance: 2", "}", "waiting for 1 lock (transaction)", "{",
+                *(["Lock Level: KJUSEREX"] if level else []), "Resource Name: TX 0xab.0x1[ext]", f"GES Transaction ID: G{session}", "}"]
+
+    body = [*block(1), *block(2, level=False), *block(3)]
+    lines = ["Global Wait-For-Graph for GES Deadlock ID=[4_5_6]", "---", *body, "----", "end of global WFG for GES deadlock"]
+    rows = [("f", 1, 2, 3, i, "kjddpgt", p) for i, p in enumerate(["before", *lines, "after"])]
+    schema = "trace_filename string, session_id int, serial int, con_uid int, line_number bigint, function_name string, payload string"
+    for how in ({}, dict(hot_rows=1, chunks=6)):
+        mined = deadlock_sections(spark.createDataFrame(rows, schema), **how)
+        assert mined.count() == len(lines) and {r.deadlock_id for r in mined.collect()} == {"4_5_6"}
+        got = sorted(deadlock_sessions(mined, **how).collect(), key=lambda r: r.match)
+        # The second block lacks its lock level, so its match runs on into the third block.
+        assert [(r.session_id, r.ges_xid, r.blocking_xid, r.app_name, r.action, r.inst_id) for r in got] == [
+            (1, "G1", "000000ab00000001", "Desktop Client", "Complete Case Activity", 2),
+            (2, "G3", "000000ab00000001", "Desktop Client", "Complete Case Activity", 2)]
+        fresh = deadlock_sessions(mined, reset_on_start=True, **how).collect()
+        assert sorted((r.session_id, r.ges_xid) for r in fresh) == [(1, "G1"), (3, "G3")]
+    df = spark.createDataFrame([("TX 0x123456789a.0x[x]",), ("TM 0x1.0x2",)], "r string")
+    assert [r.x for r in df.select(lock_transaction(F.col("r")).alias("x")).collect()] == ["3456789a00000000", "TM 0x1.0x2"]

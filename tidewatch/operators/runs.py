@@ -49,22 +49,21 @@ def run_segments(
 
     kept = marked.where((F.col("_bad") == 0) & _open_at_entry(split))
     piece = Window.partitionBy(*keys, CHUNK, "_piece")
-    first, last = _edge(order, time)
+    sample = _edge(order, time)
     kept = kept.withColumn("_row_in_piece", F.row_number().over(piece.orderBy(*order_by(order)))).withColumns(
         {
             "_n": F.count(F.lit(1)).over(piece),
-            "_first": F.min(first).over(piece),
-            "_last": F.max(last).over(piece),
+            "_first": F.min(sample).over(piece),
+            "_last": F.max(sample).over(piece),
             **{f"_sum_{c}": F.sum(c).over(piece) for c in sums},
         }
     )
     return _finish(kept, tags, split, order, time, sums)
 
 
-def _edge(order: Sequence[str], time: str) -> tuple[Column, Column]:
-    """Comparable records whose minimum and maximum are a run's first and last sample."""
-    record = F.struct(*[F.col(c) for c in order], F.col(time).alias("_at"))
-    return record, record
+def _edge(order: Sequence[str], time: str) -> Column:
+    """A comparable record whose minimum and maximum are a run's first and last sample."""
+    return F.struct(*[F.col(c) for c in order], F.col(time).alias("_at"))
 
 
 def _mark(
@@ -120,7 +119,7 @@ def _entries(
     seeds: DataFrame,
 ) -> DataFrame:
     """Per chunk: runs begun before it, and totals of the runs crossing its two borders."""
-    first, last = _edge(order, time)
+    sample = _edge(order, time)
     kept = F.col("_bad") == 0
     head, tail = F.col("_piece") == 0, F.col("_piece") == F.col("_pieces")
 
@@ -128,8 +127,8 @@ def _entries(
         use = part & kept
         return [
             F.count(F.when(use, 1)).alias(f"{prefix}_n"),
-            F.min(F.when(use, first)).alias(f"{prefix}_first"),
-            F.max(F.when(use, last)).alias(f"{prefix}_last"),
+            F.min(F.when(use, sample)).alias(f"{prefix}_first"),
+            F.max(F.when(use, sample)).alias(f"{prefix}_last"),
             *[F.sum(F.when(use, F.col(c))).alias(f"{prefix}_sum_{c}") for c in sums],
         ]
 

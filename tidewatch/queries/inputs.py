@@ -95,13 +95,6 @@ def event_snapshots(samples: DataFrame) -> DataFrame:
     )
 
 
-EVENT_SNAPSHOTS = """event_snapshots AS (
-  SELECT dbid, inst_id AS instance_number, snap_id, min(sample_time) AS begin_interval_time,
-    max(sample_time) AS end_interval_time
-  FROM event_samples GROUP BY dbid, inst_id, snap_id
-)"""
-
-
 def part_objects(part: DataFrame) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("object_id"), F.col("p_brand").alias("owner"),

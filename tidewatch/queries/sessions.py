@@ -6,13 +6,14 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidewatch.operators.deadlocks import deadlock_sections, deadlock_sessions
 from tidewatch.operators.patterns import SectionKind, greedy_pack, ordered_fields, sections
 from tidewatch.operators.runs import run_segments
 from tidewatch.operators.sessions import (
     blocked_latest, deadlock_report, enrich_runs, peak_two_level, samples_in_range, usage_pivot_topk,
 )
 from tidewatch.queries.inputs import (
-    DIMENSIONS, EVENT_SAMPLES, EVENT_SNAPSHOTS, customer_users, event_samples, event_snapshots, hour_number, inst_of, money,
+    DIMENSIONS, EVENT_SAMPLES, customer_users, event_samples, event_snapshots, hour_number, inst_of, money,
     nation_procedures, part_objects,
 )
 from tidewatch.queries.registry import Tables, query
@@ -299,6 +300,53 @@ def deadlock_report_query(t: Tables):
     )
 
 
+def order_trace(t: Tables):
+    """Orders as a deadlock trace: a graph for most, one that lacks a line for some, and a
+    blocker dump for finished orders. Each priority is a trace file."""
+    o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    graph = [
+        F.concat(F.lit("Global Wait-For-Graph(WFG) for GES Deadlock ID=[1_"), o, F.lit("_2]")), F.lit("-----"),
+        F.lit("user session identified by:"), F.lit("{"), F.lit("  OS Program Name : prog"), F.lit("  Application Name : Desktop  Client 7"),
+        F.concat(F.lit("  Action Name : job"), c, F.lit(".thread 1/2 of x")), F.lit("  Current SQL: select a:b"),
+        F.concat(F.lit("  Session Number : "), c), F.concat(F.lit("  Session Serial Number : "), o), F.lit("  Instance : 1"), F.lit("}"),
+        F.lit("waiting for the lock (Transaction):"), F.lit("{"),
+        F.when(F.col("o_orderstatus") == "P", "  no level").otherwise("  Lock Level : KJUSEREX"),
+        F.concat(F.lit("  Resource Name : TX 0x"), F.lower(F.hex("o_custkey")), F.lit(".0x1"), F.lower(F.hex("o_orderkey")), F.lit("(ext)")),
+        F.concat(F.lit("  GES Transaction ID : G"), o), F.lit("}"), F.lit("-----"), F.lit("End of Global WFG for GES Deadlock"),
+    ]
+    dump = [F.lit("Global blockers dump start:---"), F.concat(F.lit("User : "), c), F.lit("Global blockers dump end:---")]
+    finished = F.col("o_orderstatus") == "F"
+    lines = t.orders.select(
+        "o_orderkey", F.col("o_orderpriority").alias("trace_filename"), F.lit(None).cast("int").alias("session_id"),
+        F.lit(None).cast("int").alias("serial"), F.lit(None).cast("int").alias("con_uid"),
+        F.when(finished, "kjddgblkerdmp").otherwise("kjddpgt").alias("function_name"),
+        F.posexplode(F.when(finished, F.array(*dump)).otherwise(F.array(*graph))).alias("line", "payload"),
+    )
+    return lines.withColumn("line_number", F.col("o_orderkey") * 20 + F.col("line")).drop("o_orderkey", "line")
+
+
+@query("deadlock_sections", """
+WITH n AS (
+  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS section FROM orders
+)
+SELECT o_orderpriority AS trace_filename, section, CASE WHEN o_orderstatus = 'F' THEN 'blockers' ELSE 'WFG' END AS kind,
+  CASE WHEN o_orderstatus <> 'F' THEN '1_' || o_orderkey || '_2' END AS deadlock_id, CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 20 END::BIGINT AS lines,
+  CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'P' THEN 9 ELSE 10 END::BIGINT AS named FROM n""")
+def deadlock_sections_query(t: Tables):
+    return deadlock_sections(order_trace(t)).groupBy("trace_filename", "section", "kind", "deadlock_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.count("var").alias("named")
+    )
+
+
+@query("deadlock_sessions", """
+SELECT '1_' || o_orderkey || '_2' AS deadlock_id, 1::BIGINT AS match, o_custkey AS session_id, o_orderkey AS session_serial, 1::BIGINT AS inst_id,
+  lpad(lower(to_hex(o_custkey)), 8, '0') || lpad('1' || lower(to_hex(o_orderkey)), 8, '0') AS blocking_xid, 'KJUSEREX' AS lock_level,
+  'G' || o_orderkey AS ges_xid, 'prog' AS os_program, 'select a:b' AS current_sql, 'Desktop  Client' AS app_name,
+  'job' || o_custkey || '.thread 1/2' AS action FROM orders WHERE o_orderstatus = 'O'""")
+def deadlock_sessions_query(t: Tables):
+    return deadlock_sessions(deadlock_sections(order_trace(t)))
+
+
 @query("greedy_pack", """
 WITH RECURSIVE n AS (
   SELECT p_brand, p_partkey, length(p_name) + 4 AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part
