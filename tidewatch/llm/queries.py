@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import token_counts
+from tidewatch.llm import language_crf, token_counts
+from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,9 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document; a text over 2,048 tokens is marked."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return token_counts.token_counts(table(spark, folder, "documents"), tokenizer, limit=2048)
+
+
+@query("op1_language_crf")
+def op1_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Main language of every document; documents whose fold is 1 of 3 are not learned from."""
+    return language_crf.main_language(spark, table(spark, folder, "documents"), fold("doc_id", 3) == 1)
