@@ -87,7 +87,7 @@ def _posterior(emit: np.ndarray, begins: np.ndarray, transitions: np.ndarray, st
     b = np.ones((chunks * steps, k))
     b[:n] = np.exp(emit - emit.max(axis=1, keepdims=True))
     reset = np.zeros(chunks * steps, dtype=bool)
-    reset[:n], reset[0] = begins, True
+    reset[:n], reset[0], reset[n:] = begins, True, True
     b, reset = b.reshape(chunks, steps, k).transpose(1, 0, 2), reset.reshape(chunks, steps).T
     a, first = np.exp(transitions), np.exp(start)
 
