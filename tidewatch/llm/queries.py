@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import language_crf, token_counts
+from tidewatch.llm import language_crf, source_mix, token_counts
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -37,3 +37,10 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op1_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     """Main language of every document; documents whose fold is 1 of 3 are not learned from."""
     return language_crf.main_language(spark, table(spark, folder, "documents"), fold("doc_id", 3) == 1)
+
+
+@query("op8_source_mix", source_mix.MIX_SQL)
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed: sources weigh 5, 2, 1 in turn, none goes over three times its size."""
+    mixed = source_mix.mix(table(spark, folder, "documents"), weights=(5, 2, 1), most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
