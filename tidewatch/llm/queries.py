@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import language_crf, source_mix, token_counts
+from tidewatch.llm import language_crf, maxscore, source_mix, token_counts
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -44,3 +45,21 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed: sources weigh 5, 2, 1 in turn, none goes over three times its size."""
     mixed = source_mix.mix(table(spark, folder, "documents"), weights=(5, 2, 1), most=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, x -> floor(256 * x::DOUBLE))) AS terms FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.terms, v.terms)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op2_maxscore", TOP_SQL)
+def op2_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector, against all vectors."""
+    return maxscore.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
