@@ -49,8 +49,8 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 TOP_SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, x -> floor(256 * x::DOUBLE))) AS terms FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+  SELECT vec_id, min([floor(256 * x::DOUBLE) for x in embedding]) AS terms FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
 scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.terms, v.terms)::BIGINT AS score
   FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
