@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import language_crf, maxscore, source_mix, token_counts
+from tidewatch.llm import language_crf, maxscore, ngram_join, source_mix, token_counts
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -63,3 +63,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op2_maxscore(spark: SparkSession, folder: str) -> DataFrame:
     """The five highest integer inner products of every fiftieth vector, against all vectors."""
     return maxscore.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's class of near duplicates and number of links: five words, similarity 0.8 or more."""
+    return ngram_join.near_duplicates(table(spark, folder, "documents"), n=5, threshold=0.8, recall=0.9999)
