@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import language_crf, maxscore, ngram_join, source_mix, token_counts
+from tidewatch.llm import decontamination, language_crf, maxscore, ngram_join, source_mix, token_counts
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -69,3 +69,9 @@ def op2_maxscore(spark: SparkSession, folder: str) -> DataFrame:
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's class of near duplicates and number of links: five words, similarity 0.8 or more."""
     return ngram_join.near_duplicates(table(spark, folder, "documents"), n=5, threshold=0.8, recall=0.9999)
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark item, with up to 3 of 13 words substituted."""
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
