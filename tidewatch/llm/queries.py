@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, language_crf, maxscore, ngram_join, source_mix, token_counts
+from tidewatch.llm import decontamination, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -75,3 +75,9 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that holds a benchmark item, with up to 3 of 13 words substituted."""
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extract(table(spark, folder, "pages"))
