@@ -38,20 +38,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
-    """About ``per_label`` rows of each label, chosen by a hash of the key, never more than twice that.
+    """About ``per_label`` rows of each label, chosen by a hash of the key, never more than twice that on average.
 
-    Labels are counted first (one pass over two columns), so that rare labels come whole.
-    Null labels are left out.
+    Labels are counted first (one pass over two columns), so that rare labels come whole; the
+    new column ``weight`` says how many rows each sampled one stands for. Null labels are left out.
     """
     present = df.where(F.col(label).isNotNull())
     counts = {r[0]: r[1] for r in present.groupBy(label).count().collect()}
     if not counts:
-        return present.limit(0)
+        return present.withColumn("weight", F.lit(1.0)).limit(0)
     place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30))
     share = F.coalesce(*[
         F.when(F.col(label) == F.lit(value), F.lit(min(1 << 30, int((per_label << 30) / n)))) for value, n in counts.items()
     ])
-    return present.where(place < share).limit(2 * per_label * len(counts))
+    weight = F.coalesce(*[F.when(F.col(label) == F.lit(value), F.lit(max(1.0, n / per_label))) for value, n in counts.items()])
+    return present.where(place < share).withColumn("weight", weight).limit(2 * per_label * len(counts))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, per_label: int) -> list[tuple[str, int, float]]:
+    """(text, label, weight) of a bounded sample of labelled documents, in an order that repeats.
+
+    The sample is drawn from the labels; only it meets the documents. At most four documents of
+    one id are taken for each sampled label.
+    """
+    chosen = bounded_sample(labels.select(F.col(key).alias("k"), F.col(label).alias("label")), "label", "k", per_label)
+    most = 4 * per_label * 2
+    met = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").limit(4 * most).collect()
+    return [(t or "", int(v), w) for _, t, v, w in sorted(((str(r.k), r.text, r.label, r.weight) for r in met), key=str)]
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts
+from tidewatch.llm import decontamination, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -81,3 +81,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html_extraction.extract(table(spark, folder, "pages"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels whose fold is 0 of 5 are not learned from."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.toxicity(documents, labels, fold("doc_id", 5) == 0)
