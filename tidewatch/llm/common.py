@@ -67,6 +67,23 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, key: str, tex
     return [(t or "", int(v), w) for _, t, v, w in sorted(((str(r.k), r.text, r.label, r.weight) for r in met), key=str)]
 
 
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows whose column may be among the keys (a frame of one column), for a join that follows.
+
+    The keys' bitmap has at most 2^(bits - 6) rows of two numbers, whatever the number of keys,
+    so it may be broadcast; rows that it lets through wrongly are left to the join.
+    """
+    def slot(value: str) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(1 << bits)).cast("int")
+
+    key = slot(keys.columns[0])
+    words = keys.select(F.shiftright(key, 6).alias("_word"), key.bitwiseAND(F.lit(63)).alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    at = slot(column)
+    passed = df.withColumns({"_at": F.shiftright(at, 6), "_flag": at.bitwiseAND(F.lit(63))}).join(F.broadcast(words), F.col("_at") == F.col("_word"))
+    return passed.where("shiftrightunsigned(_bits, _flag) & 1 = 1").select(df.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of Arrow batches whose texts (null: empty) together hold at most ``most`` characters, or one text."""
     for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import BASE, MIX_2, Words, first_in_group, mixed, slices, written
+from tidewatch.llm.common import BASE, MIX_2, Words, first_in_group, maybe_in, mixed, slices, written
 from tidewatch.llm.components import components
 
 BLOCK_NODES, BLOCK_GRAMS = 512, 400_000
@@ -171,7 +171,8 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     """(node, root) of all nodes that share a band with another, directly or through others."""
     bands = nodes.select(F.col("_node").alias("node"), F.explode("_bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("band", "a")
-    ties = bands.join(shared, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    shared = written(shared, "shared")
+    ties = maybe_in(bands, "band", shared.select("band")).join(shared, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     return components(written(ties, "ties"))
 
 
@@ -193,7 +194,7 @@ def linked_nodes(sketches: DataFrame, text: str, n: int, threshold: float) -> tu
     texts = sketches.select("_row", F.col(text).alias("text"))
     spread = placed.select("_row", "node", "copies", "block", F.col("root").alias("component"), group, whole.alias("whole"), other)
     spread = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    spread = texts.join(spread, "_row").drop("_row")
+    spread = maybe_in(texts, "_row", members.select("_row")).join(spread, "_row").drop("_row")
     schema = "component long, node long, links long, root long"
     verified = spread.groupBy("group", "whole", "i", "j").applyInArrow(lambda t: _verify(t, n, threshold), schema)
     verified = written(verified, "verified")
