@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
+from tidewatch.llm import compression_quality, decontamination, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -88,3 +88,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; labels whose fold is 0 of 5 are not learned from."""
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return toxicity.toxicity(documents, labels, fold("doc_id", 5) == 0)
+
+
+@query("op9_compression_quality")
+def op9_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; labels whose fold is 2 of 4 are not learned from."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return compression_quality.quality(documents, labels, fold("doc_id", 4) == 2)

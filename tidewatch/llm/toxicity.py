@@ -101,7 +101,9 @@ def features(texts: list[str], learned: np.ndarray, weights: np.ndarray) -> np.n
     out[:, 10] = np.bincount(text_of_char[mark], minlength=n) / np.maximum(chars, 1)
     again = np.append(False, mark[1:] & (points[1:] == points[:-1]))
     out[:, 11] = np.bincount(text_of_char[again], minlength=n) / np.maximum(chars, 1)
-    odd = np.flatnonzero((mark | digit)[1:-1] & words.mask[:-2] & words.mask[2:]) + 1
+    letter, solid = np.append(words.mask, [False] * 4), ~np.append(space, [True] * 4)
+    ahead = letter[2:-2] | (solid[2:-2] & letter[3:-1]) | (solid[2:-2] & solid[3:-1] & letter[4:])  # up to three symbols on
+    odd = np.flatnonzero((mark | digit)[1:] & words.mask[:-1] & ahead[: len(points) - 1]) + 1
     out[:, 12] = np.bincount(text_of_char[odd], minlength=n) / np.maximum(per, 1)
     starts = np.concatenate(([0], words.text_ends[:-1]))
     for at in odd[(points[odd] != 39) & (points[odd] != 8217)]:
@@ -197,11 +199,12 @@ class BoostedTrees:
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing function of x that fits y best (pool adjacent violators)."""
-    order = np.argsort(x, kind="stable")
+    x, at = np.unique(x, return_inverse=True)
+    weight = np.bincount(at, w)
     blocks: list[list[float]] = []  # weight, mean, lowest x, highest x
-    for a, v, m in zip(x[order], y[order], w[order]):
+    for a, v, m in zip(x, np.bincount(at, w * y) / weight, weight):
         blocks.append([m, v, a, a])
-        while len(blocks) > 1 and (blocks[-2][1] >= blocks[-1][1] or blocks[-2][3] == blocks[-1][2]):
+        while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
             m2, v2, _, high = blocks.pop()
             last = blocks[-1]
             last[1] = (last[0] * last[1] + m2 * v2) / (last[0] + m2)
