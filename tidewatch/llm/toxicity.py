@@ -154,8 +154,9 @@ class BoostedTrees:
         return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> BoostedTrees:
-        steps = np.linspace(0, 1, self.bins + 1)[1:-1]
-        self.edges = [np.unique(np.append(np.quantile(c, steps), np.quantile(c[c > 0], steps[::4]) if (c > 0).any() else [])) for c in x.T]
+        steps = np.linspace(0, 1, self.bins + 1)
+        values = [np.unique(np.append(np.quantile(c, steps), np.quantile(c[c > 0], steps[::4]) if (c > 0).any() else [])) for c in x.T]
+        self.edges = [(v[1:] + v[:-1]) / 2 for v in values]  # halfway between neighbouring quantiles
         b, width = self._binned(x), self.bins + 16
         share = np.clip((w * y).sum() / w.sum(), 1e-6, 1 - 1e-6)
         self.base = float(np.log(share / (1 - share)))
