@@ -50,8 +50,9 @@ def test_features():
 def _samples(n=400):
     rng = np.random.default_rng(5)
     words = np.array(CLEAN.split())
-    good = [" ".join(rng.choice(words, 60)) for _ in range(n)]
-    bad = [" ".join(w + "###" for w in rng.choice(words, 60)) + (" you stupid idiot" if i % 2 else "") for i in range(n)]
+    size = lambda: int(rng.choice([20, 60, 300, 900]))
+    good = [" ".join(rng.choice(words, size())) for _ in range(n)]
+    bad = [" ".join(w + "###" for w in rng.choice(words, size())) + (" you stupid idiot" if i % 2 else "") for i in range(n)]
     return [(t, 1, 1.0) for t in good] + [(t, 0, 1.0) for t in bad]
 
 
