@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import compression_quality, decontamination, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
+from tidewatch.llm import attention_lm, compression_quality, decontamination, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -95,3 +95,10 @@ def op9_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document; labels whose fold is 2 of 4 are not learned from."""
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return compression_quality.quality(documents, labels, fold("doc_id", 4) == 2)
+
+
+@query("op10_attention_lm")
+def op10_attention_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of every document; documents whose fold is 2 of 7 are not learned from."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return attention_lm.score(table(spark, folder, "documents"), fold("doc_id", 7) == 2, tokenizer)
