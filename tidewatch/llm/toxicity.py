@@ -141,10 +141,10 @@ class BoostedTrees:
     """Additive logistic trees on binned features, grown level by level."""
 
     rounds: int = 60
-    depth: int = 3
+    depth: int = 2
     rate: float = 0.2
     bins: int = 32
-    least_weight: float = 8.0
+    least_weight: float = 2.0
     penalty: float = 1.0
     base: float = 0.0
     edges: list[np.ndarray] = field(default_factory=list)
@@ -245,8 +245,9 @@ def _learned_words(texts: list[str], y: np.ndarray, least: int = 8, ratio: float
 def fit(samples: list[tuple[str, int, float]], seed: int = 3) -> Toxicity:
     """Learns from (text, 0 or 1, weight), in memory: hand in a bounded sample.
 
-    A third of it gives the learned words, half the trees, the rest the calibration, so that no
-    step is judged on what it was fitted to. A sample of one label gives its share as every score.
+    A third of it gives the learned words, the rest the trees. The calibration is fitted to
+    margins of trees that did not see the text: the rest is cut into five, and each part is
+    judged by trees grown on the others. A sample of one label gives its share as every score.
     """
     y = np.array([v for _, v, _ in samples], dtype=int)
     w = np.array([m for *_, m in samples], dtype=float)
@@ -254,17 +255,22 @@ def fit(samples: list[tuple[str, int, float]], seed: int = 3) -> Toxicity:
     if len(set(y)) < 2:
         return Toxicity(*none, None, none, float(y[0]) if len(y) else 0.0)
     texts = [t for t, *_ in samples]
-    part = np.random.default_rng(seed).permutation(len(texts)) % 6
-    chosen = part < 2
-    learned = _learned_words([t for t, c in zip(texts, chosen) if c], y[chosen])
+    part = np.empty(len(texts), dtype=int)
+    for v in (0, 1):  # labels are spread evenly over the parts, and the trees see either
+        of = np.random.default_rng(seed + v).permutation(np.flatnonzero(y == v))
+        part[of] = np.append(7, np.arange(1, len(of)) % 8)[: len(of)]
+    chosen = part < 3
+    learned = _learned_words([t for t, c in zip(texts, chosen) if c], y[chosen]) if chosen.any() else none
     rest = np.flatnonzero(~chosen)
     x = np.concatenate([features([texts[i] for i in rest[at : at + 200]], *learned) for at in range(0, len(rest), 200)])
-    grown, y, w = part[rest] < 5, y[rest], w[rest] / w.mean()
-    if len(set(y[grown])) < 2 or len(set(y[~grown])) < 2:
-        grown[:] = True
-    trees = BoostedTrees().fit(x[grown], y[grown], w[grown])
-    held = ~grown if (~grown).any() else grown
-    return Toxicity(*learned, trees, isotonic(trees.margin(x[held]), y[held], w[held]), 0.0)
+    part, y, w = part[rest], y[rest], w[rest] / w.mean()
+    margin = np.empty(len(y))
+    for fold in range(3, 8):
+        held = part == fold
+        if held.any():
+            grown = ~held if len(set(y[~held])) == 2 else np.ones(len(y), dtype=bool)
+            margin[held] = BoostedTrees().fit(x[grown], y[grown], w[grown]).margin(x[held])
+    return Toxicity(*learned, BoostedTrees().fit(x, y, w), isotonic(margin, y, w), 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 2000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Toxicity:
