@@ -89,3 +89,55 @@ def test_latest_per_key(spark):
     df = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (None, 1, "z"), (None, 3, None)], "k int, t int, s string")
     got = latest_per_key(df, ["k"], [F.col("t")]).collect()
     assert sorted([tuple(r) for r in got], key=str) == sorted([(1, 7, "y"), (None, 3, None)], key=str)
+
+
+ZONES = ["UTC", "America/New_York"]
+
+
+@pytest.fixture(params=ZONES)
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def odd_rows(spark):
+    """Ties, nulls in every order column, a common start of names, clocks that go back."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        key = rng.choice([1, 1, 1, 2, None])
+        second = 1_730_610_000 + rng.randrange(20) * 900  # around a change of clocks
+        name = rng.choice([None, "common start of names " + str(rng.randrange(40)), "zz"])
+        rows.append((i, key, rng.choice([None, second, second, second]), name, rng.choice([None, 0.5, float("nan"), -2.0]), rng.choice(["a", "b", None])))
+    df = spark.createDataFrame(rows, "id int, k int, s bigint, name string, x double, state string")
+    return df.withColumn("t", F.timestamp_seconds("s")).withColumn("n", F.to_timestamp_ntz(F.date_format("t", "yyyy-MM-dd HH:mm:ss")))
+
+
+@pytest.mark.parametrize("order", [["t", "id"], ["-t", "id"], ["name", "x", "id"], ["-name", "-x", "-id"], ["n", "-id"], ["x", "t", "name", "id"]])
+def test_split_and_plain_numbers_agree(spark, zone, order):
+    df = odd_rows(spark)
+    plain = {r.id: (r.no, r.n_all) for r in number_rows(df, ["k"], order, "no", "n_all").collect()}
+    split = {r.id: (r.no, r.n_all) for r in number_rows(df, ["k"], order, "no", "n_all", hot_rows=1, chunks=9).collect()}
+    assert split == plain and len(split) == 600
+    whole = {r.id: r.no for r in number_rows(df, [], order, "no", hot_rows=1, chunks=9).collect()}
+    assert whole == {r.id: r.no for r in number_rows(df, [], order, "no").collect()}
+
+
+@pytest.mark.parametrize("order", [["s", "name", "id"], ["-s", "id"]])
+def test_split_and_plain_runs_agree(spark, order):
+    df = odd_rows(spark).withColumn("v", F.lit(1))
+    plain, split = (
+        sorted(map(tuple, run_segments(df, ["k"], order, "state", "t", ["v"], max_gap=1000, on_break="split", **how).drop("x").collect()), key=str)
+        for how in (PLAIN, dict(hot_rows=1, chunks=9)))
+    assert plain == split
+
+
+def test_chunks_are_balanced(spark):
+    from tidewatch.operators.ordered import CHUNK, split_hot_groups
+
+    rows = [(1, 0, "the same start of every name " + str(i)) for i in range(4000)] + [(2, i, "x") for i in range(2000)] + [(1, 0, "zzz")]
+    df = spark.createDataFrame(rows, "k int, hour int, name string")
+    out, split = split_hot_groups(df, ["k"], ["hour", "name"], hot_rows=100, chunks=10)
+    sizes = {(r.k, r[CHUNK]): r["count"] for r in out.groupBy("k", CHUNK).count().collect()}
+    assert split and max(sizes.values()) <= 2 * 600 and len(sizes) >= 10

@@ -2,18 +2,17 @@
 
 A window over a key puts all rows of that key in one task. That is right for ordinary keys
 and wrong for a key holding a third of the table. ``split_hot_groups`` finds such keys and
-cuts only them into ordered chunks, by quantiles of the leading order column, so that no
-(key, chunk) group exceeds an average shuffle partition. Ordered operators then work inside
-(key, chunk) and carry state between chunks through summaries: one row per chunk, at most
-``MAX_CHUNKS`` of them for a key.
+cuts only them into ordered chunks, at quantiles of the whole order tuple, so that no
+(key, chunk) group is much larger than an average shuffle partition. Ordered operators then
+work inside (key, chunk) and carry state between chunks through summaries: one row per chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +20,9 @@ from tidewatch.session import shuffle_width
 
 CHUNK = "_chunk"
 WHOLE = -1  # the chunk number of keys that are not cut
-MAX_CHUNKS = 4096
 HOT_ROWS = 1_000_000
 HOT_ROWS_SETTING = "spark.tidewatch.hotRows"
+SAMPLES_PER_CHUNK = 32
 
 
 def order_by(order: Sequence[str]) -> list[Column]:
@@ -53,26 +52,49 @@ def match_by(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return joined.drop(*[name for _, name in pairs])
 
 
-def _numeric_order(df: DataFrame, name: str) -> Column:
-    """A double that never decreases as the column increases; used only to place chunks."""
-    column = F.col(name)
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        day = F.unix_date(column.cast("date")).cast("double") * 86400
-        if isinstance(kind, T.DateType):
-            return day
-        return day + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
-    if isinstance(kind, T.StringType):
-        # Six UTF-8 bytes after the prefix that all values share keep the order of the strings.
-        low, high = df.agg(F.min(column), F.max(column)).first()
-        shared = 0
-        for a, b in zip((low or "").encode(), (high or "").encode()):
-            if a != b:
-                break
-            shared += 1
-        digits = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), shared + 1, 6)), 12, "0")
-        return F.conv(digits, 16, 10).cast("double")
-    return column.cast("double")
+def comparable(df: DataFrame, order: Sequence[str]) -> Column:
+    """A struct without nulls or time zones that sorts as ``order_by(order)`` does.
+
+    Times are exact microseconds, so they never step back when clocks do.
+    """
+    parts = []
+    for i, name in enumerate(order):
+        down, column = name.startswith("-"), F.col(name.lstrip("-"))
+        kind = df.schema[name.lstrip("-")].dataType
+        if isinstance(kind, T.TimestampType):
+            value = F.unix_micros(column)
+        elif isinstance(kind, T.TimestampNTZType):
+            clock = F.hour(column) * 3600 + F.minute(column) * 60
+            value = (F.unix_date(column.cast("date")).cast("bigint") * 86_400 + clock) * 1_000_000 + (
+                F.extract(F.lit("SECOND"), column) * 1_000_000).cast("bigint")
+        elif isinstance(kind, T.DateType):
+            value = F.unix_date(column).cast("bigint")
+        elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+            value = column.cast("bigint")
+        else:
+            value = column
+        parts.append(column.isNull().alias(f"null_{i}"))
+        if isinstance(kind, (T.FloatType, T.DoubleType)):  # NaN is the largest number
+            parts.append(F.coalesce(F.isnan(column) != F.lit(down), F.lit(False)).alias(f"nan_{i}"))
+            value = F.when(~F.isnan(column), column.cast("double"))
+        if down:
+            if isinstance(kind, T.StringType):
+                digits = F.translate(F.hex(F.encode(column, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210")
+                value = F.concat(digits, F.lit("G"))  # an end above every digit: the longer text comes first
+            elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+                value = -value
+            elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.IntegralType, T.BooleanType)):
+                value = F.bitwise_not(value)
+            else:
+                raise ValueError(f"no descending order for {kind.simpleString()}: {name}")
+        parts.append(value.alias(f"value_{i}"))
+    return F.struct(*parts)
+
+
+def _two_levels(borders: list) -> tuple[list, list[list]]:
+    """Sorted borders as every n-th one, and those between, so that a row compares with few."""
+    step = max(1, math.isqrt(len(borders) + 1))
+    return borders[step - 1 :: step], [borders[i : i + step - 1] for i in range(0, len(borders) + 1, step)]
 
 
 def split_hot_groups(
@@ -85,37 +107,56 @@ def split_hot_groups(
     """Add the chunk number, and say whether any key had to be cut.
 
     A key is hot when it holds more than ``hot_rows`` rows (by default the session setting
-    ``spark.tidewatch.hotRows``, or a million) and more than the share of one shuffle partition; at most ``chunks`` keys can be, so their list is small by construction.
-    Chunks follow the order: a row in a lower chunk never sorts after one in a higher chunk.
-    Keys that are not cut have the chunk number ``WHOLE``.
+    ``spark.tidewatch.hotRows``, or a million) and more than the share of one shuffle
+    partition; fewer keys than ``chunks`` can be, so their list is small by construction. A hot
+    key gets as many chunks as it holds such shares, cut at quantiles of a sample of its own
+    order tuples. A row in a lower chunk never sorts after one in a higher chunk; only rows
+    equal in the whole order share a chunk whatever their number. Keys that are not cut have
+    the chunk number ``WHOLE``. One pass counts; a second, if a key is hot, samples.
     """
     spark = df.sparkSession
-    width = chunks or max(2, min(MAX_CHUNKS, shuffle_width(spark)))
+    width = chunks or max(2, shuffle_width(spark))
     if hot_rows is None:
         hot_rows = int(spark.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    limit = max(hot_rows, (total or 0) // width)
-    if (largest or 0) <= limit:
+    counted = Observation()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).observe(counted, F.sum("_rows").alias("total"))
+    largest = counts.orderBy(F.desc("_rows")).limit(width + 1).collect()
+    limit = max(hot_rows, (counted.get["total"] or 0) // width if largest else 0)
+    heavy = [row for row in largest if row["_rows"] > limit]
+    if not heavy:
         return df.withColumn(CHUNK, F.lit(WHOLE)), False
 
+    place = comparable(df, order)
+    wanted = {tuple(row)[:-1]: -(-row["_rows"] // max(1, limit)) for row in heavy}
+    share = min(1.0, SAMPLES_PER_CHUNK * sum(wanted.values()) / sum(row["_rows"] for row in heavy))
+    placed = df.select(*keys, place.alias("_place"))
+    key_schema = T.StructType([df.schema[k] for k in keys])
     if keys:
-        heavy = counts.where(F.col("_rows") > limit).drop("_rows")
-        listed = spark.createDataFrame(heavy.collect(), heavy.schema)
-        flagged = match_by(df, F.broadcast(listed.withColumn("_hot", F.lit(True))), keys)
-    else:
-        flagged = df.withColumn("_hot", F.lit(True))
-
-    leading = order[0].lstrip("-")
-    sign = -1.0 if order[0].startswith("-") else 1.0
-    placed = flagged.withColumn("_place", _numeric_order(df, leading) * sign)
-    edges = placed.where("_hot").approxQuantile(
-        "_place", [i / width for i in range(1, width)], 1 / (4 * width)
-    )
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep")
-    chunk = F.when(F.col("_hot"), F.col("_bucket").cast("int")).otherwise(F.lit(WHOLE))
-    return cut.transform(placed).withColumn(CHUNK, chunk).drop("_hot", "_place", "_bucket"), True
+        placed = match_by(placed, F.broadcast(spark.createDataFrame(list(wanted), key_schema)), keys, "inner")
+    sampled: dict[tuple, list] = {key: [] for key in wanted}
+    for row in placed.sample(share, 7).collect():
+        sampled[tuple(row)[:-1]].append(row["_place"])
+    kind = placed.schema["_place"].dataType
+    cut = []
+    for key, tuples in sampled.items():
+        tuples.sort()
+        ends = [tuples[len(tuples) * i // wanted[key]] for i in range(1, wanted[key])] if tuples else []
+        cut.append((*key, *_two_levels(sorted(set(ends)))))
+    levels = T.StructType([T.StructField("_tops", T.ArrayType(kind)), T.StructField("_between", T.ArrayType(T.ArrayType(kind)))])
+    listed = spark.createDataFrame(cut, T.StructType(key_schema.fields + levels.fields))
+    if not keys:
+        listed, df = listed.withColumn("_all", F.lit(True)), df.withColumn("_all", F.lit(True))
+    flagged = match_by(df, F.broadcast(listed), keys or ["_all"])
+    flagged = flagged.withColumn("_place", F.when(F.col("_tops").isNotNull(), comparable(df, order)))
+
+    def reached(borders: Column) -> Column:
+        return F.size(F.filter(borders, lambda b: b <= F.col("_place")))
+
+    flagged = flagged.withColumn("_top", reached(F.col("_tops")))
+    step = F.size(F.element_at("_between", 1)) + 1
+    chunk = F.col("_top") * step + reached(F.element_at("_between", F.col("_top") + 1))
+    chunk = F.when(F.col("_tops").isNull(), F.lit(WHOLE)).otherwise(chunk).cast("int")
+    return flagged.withColumn(CHUNK, chunk).drop("_place", "_top", "_tops", "_between", "_all"), True
 
 
 def number_rows(
@@ -137,7 +178,7 @@ def number_rows(
         out = rows.withColumn(name, number)
         return (out.withColumn(total, size) if total else out).drop(CHUNK)
 
-    # One row per chunk: at most MAX_CHUNKS for a key.
+    # One row per chunk.
     across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = across.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

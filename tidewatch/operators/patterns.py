@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.machines import Packing, Subsequence, Table, run_machine
-from tidewatch.operators.ordered import CHUNK, WHOLE, match_by, order_by, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, WHOLE, comparable, match_by, order_by, split_hot_groups
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ def sections(
     """
     if any(not 1 <= len(side) <= 2 for k in kinds for side in (k.opening, k.closing)):
         raise ValueError("an opening or closing has one or two rows")
-    place = F.struct(*[F.col(c) for c in order])
+    place = comparable(df, order)
     flags = {f"_{s}{i}_{j}": F.coalesce(c, F.lit(False)) for i, k in enumerate(kinds)
              for s, side in (("o", k.opening), ("c", k.closing)) for j, c in enumerate(side)}
     rows = df.withColumns({**flags, "_spot": place})
@@ -104,7 +104,7 @@ def _with_next(
     """
     rows = df.withColumn("_borrowed", F.lit(False))
     if split:
-        lowest = F.min_by(F.struct("*"), F.struct(*order)).alias("_row")
+        lowest = F.min_by(F.struct("*"), comparable(rows, order)).alias("_row")
         heads = rows.where(F.col(CHUNK) != WHOLE).groupBy(*keys, CHUNK).agg(lowest)
         earlier = F.lag(CHUNK).over(Window.partitionBy(*keys).orderBy(CHUNK))
         heads = heads.withColumn("_to", earlier).where(F.col("_to").isNotNull()).select("_row.*", "_to")
@@ -128,7 +128,7 @@ def key_value(df: DataFrame, text: str) -> DataFrame:
 def section_heads(df: DataFrame, keys: Sequence[str], order: Sequence[str], **facts: Column) -> DataFrame:
     """Attach facts computed on the first row of each section to all of its rows."""
     group = [*keys, "section"]
-    first = F.min(F.struct(*order, *[c.alias(n) for n, c in facts.items()])).alias("_head")
+    first = F.min_by(F.struct(*[c.alias(n) for n, c in facts.items()]), comparable(df, order)).alias("_head")
     heads = df.groupBy(*group).agg(first).select(*group, *[F.col(f"_head.{n}").alias(n) for n in facts])
     return match_by(df, heads, group)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import CHUNK, WHOLE, order_by, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, WHOLE, comparable, order_by, split_hot_groups
 
 
 def run_segments(
@@ -24,7 +24,7 @@ def run_segments(
 ) -> DataFrame:
     """Split each key's ordered samples into runs of one state.
 
-    The first order column is the sample number. A run starts at a key's first row or where
+    The first order column is the sample number, or with a leading ``-`` counts down. A run starts at a key's first row or where
     the state changes, null counting as a state. A run of null state goes on only while the
     sample number grows by 1 to ``max_gap``; a row breaking that rule, and the rest of its
     stretch, is dropped (``on_break='drop'``) or opens a new run (``'split'``).
@@ -36,10 +36,11 @@ def run_segments(
         raise ValueError("on_break must be 'drop' or 'split'")
     rows, split = split_hot_groups(df, keys, order, hot_rows, chunks)
     tags = list(df.columns)
-    rows = rows.withColumns({"_state": F.col(state), "_pos": F.col(order[0]), "_seed": F.lit(False)})
+    names = [c.lstrip("-") for c in order]
+    rows = rows.withColumns({"_state": F.col(state), "_pos": F.col(names[0]), "_seed": F.lit(False), "_order": comparable(df, order)})
 
     if split:
-        needed = list(dict.fromkeys([*keys, *order, time, *sums, CHUNK, "_state", "_pos", "_seed"]))
+        needed = list(dict.fromkeys([*keys, *names, time, *sums, CHUNK, "_state", "_pos", "_seed", "_order"]))
         narrow = rows.where(F.col(CHUNK) != WHOLE).select(*needed)
         seeds = _last_of_previous_chunk(narrow, keys, order)
         marked = _mark(narrow.unionByName(seeds, allowMissingColumns=True), keys, order, max_gap, on_break)
@@ -63,7 +64,7 @@ def run_segments(
 
 def _edge(order: Sequence[str], time: str) -> Column:
     """A comparable record whose minimum and maximum are a run's first and last sample."""
-    return F.struct(*[F.col(c) for c in order], F.col(time).alias("_at"))
+    return F.struct("_order", F.col(order[0].lstrip("-")).alias("_sample"), F.col(time).alias("_at"))
 
 
 def _mark(
@@ -82,6 +83,7 @@ def _mark(
     ordered = group.orderBy(F.col("_seed").desc(), *order_by(order))
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.col("_pos") - F.lag("_pos").over(ordered)
+    step = -step if order[0].startswith("-") else step
     has_previous = F.lag(F.col("_pos").isNotNull()).over(ordered)
     starts = ~F.coalesce(has_previous, F.lit(False)) | ~F.col("_state").eqNullSafe(F.lag("_state").over(ordered))
     in_step = F.coalesce((step > 0) & (step <= max_gap), F.lit(False))
@@ -104,7 +106,7 @@ def _mark(
 
 def _last_of_previous_chunk(narrow: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     ends = narrow.groupBy(*keys, CHUNK).agg(
-        F.max_by(F.struct("_state", "_pos"), F.struct(*order)).alias("_end")
+        F.max_by(F.struct("_state", "_pos"), "_order").alias("_end")
     )
     ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys).orderBy(CHUNK)))
     return ends.select(*keys, CHUNK, "_end._state", "_end._pos", F.lit(True).alias("_seed"))
@@ -232,8 +234,8 @@ def _finish(
         (F.col("_piece") + base).cast("bigint").alias("run_id"),
         (F.col("_row_in_piece") + ahead).cast("bigint").alias("run_row"),
         total("_n", "n").cast("bigint").alias("run_samples"),
-        first[order[0]].alias("run_start_sample"),
-        last[order[0]].alias("run_end_sample"),
+        first["_sample"].alias("run_start_sample"),
+        last["_sample"].alias("run_end_sample"),
         first["_at"].alias("run_start_time"),
         last["_at"].alias("run_end_time"),
         *[total(f"_sum_{c}", f"sum_{c}").alias(f"run_{c}") for c in sums],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.nulls import null_if_blank
-from tidewatch.operators.ordered import CHUNK, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, comparable, split_hot_groups
 
 # Fixed values: (pattern, replacement), applied in this order. Each reduces one kind of
 # detail: query blocks, objects, objects in a query block, strings, numbers, pairs of
@@ -115,12 +115,12 @@ def string_agg_affix(
     rows, split = split_hot_groups(df, keys, order, hot_rows, chunks)
     gap = delimiter or ""
 
-    def joined(place: list[str], value: str) -> Column:
-        listed = F.array_sort(F.collect_list(F.struct(*place, F.coalesce(value, F.lit("")).alias("_text"))))
+    def joined(place: Column, value: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.struct(place.alias("_at"), F.coalesce(value, F.lit("")).alias("_text"))))
         return F.array_join(F.transform(listed, lambda e: e["_text"]), gap)
 
-    parts = rows.groupBy(*keys, CHUNK).agg(joined(list(order), text).alias("_part"))
-    whole = parts.groupBy(*keys).agg(joined([CHUNK], "_part").alias("_part")) if split else parts
+    parts = rows.groupBy(*keys, CHUNK).agg(joined(comparable(df, order), text).alias("_part"))
+    whole = parts.groupBy(*keys).agg(joined(F.col(CHUNK), "_part").alias("_part")) if split else parts
     return whole.select(*keys, null_if_blank(_affixed(F.col("_part"), prefix, suffix)).alias(out))
 
 
