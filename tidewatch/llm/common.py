@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import work_folder
+
 BATCH_CHARS = 1 << 20
 MIX_1, MIX_2, BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -24,10 +25,7 @@ def fold(key: str, parts: int) -> Column:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which all executors and the driver share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return work_folder(spark, label)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
