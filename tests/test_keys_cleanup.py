@@ -78,7 +78,7 @@ def test_usage_report(spark):
            for r in keys.usage_report(objs, lines, stats, snaps, texts).collect()}
     assert got == {
         ("I1", "Y", "N"): (1, 100, 100, "q1", "SQL Developer"), ("I1", "N", "N"): (1, 200, 200, "q1", "APEX:APP ..."),
-        ("I1", "Y", "Y"): (1, 100, 100, "q2", ""), ("I1", "N", "Y"): (1, 100, 100, "q2", "m"), ("I2", None, None): (1, None, None, None, None)}
+        ("I1", "Y", "Y"): (1, 100, 100, "q2", None), ("I1", "N", "Y"): (1, 100, 100, "q2", "m"), ("I2", None, None): (1, None, None, None, None)}
 
 
 def test_orphans_template_and_update(spark):

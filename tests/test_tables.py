@@ -84,3 +84,26 @@ def test_log_mining_from_files(spark):
     assert [(r.line_number, r.section, r.kind, r.deadlock_id) for r in got] == [
         *[(i, 1, "WFG", "1_2_3") for i in range(2, 8)], *[(i, 2, "blockers", None) for i in range(8, 11)]]
     assert [(r["var"], r["value"]) for r in got[2:4]] == [("Session Number", "12"), ("Instance", "1")]
+
+
+def test_purges_keep_rows_without_and_with_negative_keys(spark, tmp_path):
+    rows = [(k, str(k)) for k in [None, -1000, -5, -1, 0, 5, 999, 1000, 1500, 2500]]
+    df = spark.createDataFrame(rows, "k bigint, v string")
+    assert {r.k for r in tables.purge_range(df, "k", 0, 999).collect()} == {None, -1000, -5, -1, 1000, 1500, 2500}
+    spark.sql(f"CREATE DATABASE purge_signs LOCATION '{tmp_path}/db'")
+    tables.create_range_table(df, "purge_signs.t", "k", 1000)
+    assert {r.k for r in tables.purge_partitions(spark, "purge_signs.t", "k", 1000, 0, 999).collect()} == {None, -1000, -5, -1, 1000, 1500, 2500}
+    assert {r.k for r in tables.purge_partitions(spark, "purge_signs.t", "k", 1000, -3, 1200).collect()} == {None, -1000, -5, 1500, 2500}
+    spark.sql("DROP DATABASE purge_signs CASCADE")
+
+
+def test_store_replaced_by_nothing_and_post_time(spark, tmp_path):
+    store = tables.MeasurementStore(spark, str(tmp_path / "store"), ["k"], ["m"])
+    rows = spark.createDataFrame([("a", 1), (None, 2)], "k string, m bigint")
+    store.save_pre(1, rows)
+    store.save_pre(2, rows)
+    store.save_post(2, spark.createDataFrame([(None, 5), ("b", 6)], "k string, m bigint"))
+    got = {r.k: (r.m_pre, r.m_post, r.d_pre is not None, r.d_post is not None) for r in store.read().where("run_id = 2").collect()}
+    assert got == {"a": (1, None, True, False), None: (2, 5, True, True), "b": (None, 6, True, True)}
+    store.save_pre(1, rows.limit(0))
+    assert {r.run_id for r in store.read().collect()} == {2}

@@ -30,13 +30,15 @@ def test_text_forms(spark):
 
 
 def test_xml(spark):
-    rows = [(1, "<o><d><h>a</h><h><![CDATA[b<c]]></h></d></o>"), (2, "<o><d/></o>"), (3, None), (4, "<o><d><h>z</h></d></o>")]
+    rows = [(1, "<o><d><h>a</h><h><![CDATA[b<c]]></h></d></o>"), (2, "<o><d/></o>"), (3, None), (4, "<o><d><h>z</h></d></o>"), (5, "<o><d><h>cut"), (6, "")]
     df = spark.createDataFrame(rows, "id int, x string")
-    assert sorted(tuple(r) for r in text.xml_explode(df, "x", "/o/d/h/text()", "h").collect()) == [(1, "a"), (1, "b<c"), (4, "z")]
-    docs = spark.createDataFrame([(1, "<R><ROW><A>x</A><B>5</B></ROW><ROW><A>y</A><B>50</B></ROW></R>"), (2, "<R><ROW><A>z</A></ROW></R>"), (3, None)], "id int, x string")
+    assert sorted((tuple(r) for r in text.xml_explode(df, "x", "/o/d/h/text()", "h").collect()), key=str) == [
+        (1, False, "a"), (1, False, "b<c"), (4, False, "z"), (5, True, None), (6, True, None)]
+    docs = spark.createDataFrame([(1, "<R><ROW><A>x</A><B>5</B></ROW><ROW><A>y</A><B>50</B></ROW></R>"), (2, "<R><ROW><A>z</A></ROW></R>"), (3, None), (4, "<R><ROW>")], "id int, x string")
     schema = T.StructType([T.StructField("A", T.StringType()), T.StructField("B", T.LongType())])
-    assert sorted((tuple(r) for r in text.xml_rows(docs, "x", "ROW", schema).collect()), key=str) == [(1, "x", 5), (1, "y", 50), (2, "z", None)]
-    assert [tuple(r) for r in text.xml_rows(docs, "x", "ROW", schema, below=("B", 50)).collect()] == [(1, "x", 5)]
+    assert sorted((tuple(r) for r in text.xml_rows(docs, "x", "ROW", schema).collect()), key=str) == [
+        (1, False, "x", 5), (1, False, "y", 50), (2, False, "z", None), (4, True, None, None)]
+    assert [tuple(r) for r in text.xml_rows(docs, "x", "ROW", schema, below=("B", 50)).collect()] == [(1, False, "x", 5), (4, True, None, None)]
 
 
 @pytest.mark.parametrize("how", [{}, SPLIT], ids=["plain", "split"])
@@ -172,7 +174,7 @@ def test_rollup_and_detail(spark):
     assert set(days) == {"2024-01-01 monday", "2024-01-02 tuesday"}
     monday = days["2024-01-01 monday"]
     assert (monday.execs, monday.pio_reads_mb, monday.ela_time_s, monday.users, monday.modules) == (10 * 1_048_576, 10.0, 10.486, "R|S", "m1")
-    assert days["2024-01-02 tuesday"].execs is None and days["2024-01-02 tuesday"].modules == ""
+    assert days["2024-01-02 tuesday"].execs is None and days["2024-01-02 tuesday"].modules is None
     users = spark.createDataFrame([(4, "U4")], "user_id int, username string")
     detail = {r.snap_id: r for r in stats_detail(rows.where("sql_id = 'q'"), snaps, users).collect()}
     assert [(detail[i]["rank"], detail[i].p_user) for i in (1, 2, 3)] == [(2, "U4"), (1, "U4"), (1, "U4")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordered import latest_per_key
@@ -93,5 +93,7 @@ def purge_report(tables: Mapping[str, DataFrame], remaining: Mapping[str, DataFr
         before = tables[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), F.col("n").alias("d"))
         part = counted.unionByName(before)
         report = part if report is None else report.unionByName(part)
+    if report is None:
+        return SparkSession.active().createDataFrame([], "table_name string, rows_deleted bigint")
     return report.groupBy("table_name").agg(F.sum("d").alias("rows_deleted"))
 

@@ -37,7 +37,7 @@ def assign_ids(
 
 
 def random_text(seed: Column, length: int, salt: str) -> Column:
-    """A repeatable text of capital letters and digits, drawn from hashes of the seed."""
+    """A repeatable text of hexadecimal digits in capitals, drawn from hashes of the seed."""
     blocks = [F.md5(F.concat_ws(":", F.lit(salt), seed.cast("string"), F.lit(i))) for i in range(-(-length // 32))]
     return F.upper(F.substring(F.concat(*blocks), 1, length))
 

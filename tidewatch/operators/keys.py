@@ -232,8 +232,8 @@ def usage_report(
     )
     used = fine.groupBy("index_owner", "index_name", *flags).agg(
         F.sum("_rows").alias("rows"), F.min("_first").alias("first_use"), F.max("_last").alias("last_use"),
-        F.array_join(F.array_sort(F.collect_set("sql_id")), ", ").alias("sql_ids"),
-        F.array_join(F.array_sort(F.collect_set("module")), ", ").alias("modules"),
+        null_if_blank(F.array_join(F.array_sort(F.collect_set("sql_id")), ", ")).alias("sql_ids"),
+        null_if_blank(F.array_join(F.array_sort(F.collect_set("module")), ", ")).alias("modules"),
     )
     listed = objects.select(F.col("owner").alias("index_owner"), "index_name", "table_name")
     return listed.join(used, ["index_owner", "index_name"], "left").withColumn("rows", F.coalesce("rows", F.lit(1)))

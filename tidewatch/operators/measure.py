@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import match_by, number_rows
+from tidewatch.operators.ordered import match_by, number_rows, same_keys
 
 # The statement counters that a measurement records.
 COUNTERS = (
@@ -59,14 +59,15 @@ def merge_post(saved: DataFrame, post: DataFrame, keys: Sequence[str], measures:
 
     ``saved`` has ``<measure>_pre`` and ``<measure>_post``; ``post`` has ``<measure>``. Saved
     rows without a new value keep what they had; new rows have a null pre value. The key is
-    unique on both sides.
+    unique on both sides; a null in it matches a null.
     """
     others = [c for c in post.columns if c not in (*keys, *measures)]
     left = saved.withColumns({f"_old_{c}": F.col(c) for c in others if c in saved.columns}).drop(
         *others, *[f"{m}_diff" for m in measures]
     )
-    fresh = post.withColumn("_seen", F.lit(True))
-    joined = left.join(fresh, list(keys), "full")
+    fresh = post.withColumn("_seen", F.lit(True)).withColumnsRenamed({k: f"_post_{k}" for k in keys})
+    joined = left.join(fresh, same_keys(left, fresh, [(k, f"_post_{k}") for k in keys]), "full")
+    joined = joined.withColumns({k: F.when(F.col("_seen"), F.col(f"_post_{k}")).otherwise(F.col(k)) for k in keys})
     columns = {m: F.when(F.col("_seen"), F.col(m)).otherwise(F.col(f"{m}_post")).alias(f"{m}_post") for m in measures}
     kept = [F.coalesce(f"_old_{c}", c).alias(c) if c in saved.columns else F.col(c) for c in others]
     out = joined.select(*keys, *kept, *[F.col(f"{m}_pre") for m in measures], *columns.values())

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.nulls import text_concat, unless_null
+from tidewatch.functions.nulls import null_if_blank, text_concat, unless_null
 from tidewatch.functions.times import moment, seconds_between
 from tidewatch.operators.ordered import latest_per_key
 from tidewatch.operators.runs import run_segments
@@ -174,7 +174,7 @@ def usage_pivot_topk(
         F.min("username").alias("username"),
         F.min("sql_id").alias("sql_id"),
         *measures,
-        F.array_join(F.array_sort(F.collect_set(unspotted)), ",").alias("segtypes_unspotted"),
+        null_if_blank(F.array_join(F.array_sort(F.collect_set(unspotted)), ",")).alias("segtypes_unspotted"),
     )
     total = sum((F.col(f"temp_{t.lower()}_mb") for t in types), F.lit(0.0)) / 1024
     keyed = pivot.withColumn("temp_total_gb", total).join(sessions, ["inst_id", "session_serial", "saddr"])

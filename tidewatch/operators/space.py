@@ -70,8 +70,8 @@ def right_size(
         "tablespace_name", "file_name", "file_id", "last_block_id", "block_size",
         (F.col("bytes") / MB).alias("current_mb"),
         rounding.alias("rounding_mb"),
-        (F.ceil(needed / growth_mb) * growth_mb).cast("bigint").alias("min_mb"),
-        (F.ceil(needed / rounding) * rounding).cast("bigint").alias("opt_mb"),
+        F.ceil(F.ceil(needed / growth_mb) * growth_mb).cast("bigint").alias("min_mb"),
+        F.ceil(F.ceil(needed / rounding) * rounding).cast("bigint").alias("opt_mb"),
     )
 
     def saving(target: str) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.nulls import text_concat
+from tidewatch.functions.nulls import null_if_blank, text_concat
 from tidewatch.functions.times import moment
 from tidewatch.operators.ordered import latest_per_key, number_rows
 
@@ -74,8 +74,8 @@ def daily_rollup(
         *[F.sum(name).alias(out) for out, name in DAILY_COUNTS],
         *[F.round(F.sum(name) / 1_048_576, 0).alias(out) for out, name in DAILY_MB],
         *[F.round(F.sum(name) / 1_000_000, 3).alias(out) for out, name in DAILY_SECONDS],
-        F.array_join(F.array_sort(F.collect_set("parsing_schema_name")), "|").alias("users"),
-        F.array_join(F.array_sort(F.collect_set("module")), "|").alias("modules"),
+        null_if_blank(F.array_join(F.array_sort(F.collect_set("parsing_schema_name")), "|")).alias("users"),
+        null_if_blank(F.array_join(F.array_sort(F.collect_set("module")), "|")).alias("modules"),
     )
 
 

@@ -65,22 +65,35 @@ def text_forms(
     return formed.groupBy("form").agg(*measures).withColumn("keyword", keyword)
 
 
+def malformed(xml: Column) -> Column:
+    """Whether a text is no XML element that ends."""
+    return F.from_xml(xml, "_corrupt_record string")["_corrupt_record"].isNotNull()
+
+
 def xml_explode(df: DataFrame, xml: str, path: str, name: str) -> DataFrame:
-    """One row per text found at an XPath; rows without XML or without a match give none."""
-    return df.where(F.col(xml).isNotNull()).withColumn(name, F.explode(F.xpath(F.col(xml), F.lit(path)))).drop(xml)
+    """One row per text found at an XPath; rows without XML or without a match give none.
+
+    A malformed text gives one row without a value, marked in the column ``rejected``.
+    """
+    rows = df.where(F.col(xml).isNotNull()).withColumn("rejected", malformed(F.col(xml)))
+    found = F.when(F.col("rejected"), F.array(F.lit(None).cast("string"))).otherwise(F.xpath(F.col(xml), F.lit(path)))
+    return rows.withColumn(name, F.explode(found)).drop(xml)
 
 
 def xml_rows(df: DataFrame, xml: str, element: str, schema: T.StructType, below: tuple[str, int] | None = None) -> DataFrame:
     """The repeated elements of an XML text as rows with typed columns.
 
-    ``below`` keeps the rows whose named column is under a bound.
+    ``below`` keeps the rows whose named column is under a bound. A malformed text gives one
+    row without values, marked in the column ``rejected``, which no bound takes away.
     """
     wrapper = T.StructType([T.StructField(element, T.ArrayType(schema))])
-    records = F.explode(F.from_xml(F.col(xml), wrapper.simpleString())[element])
-    rows = df.where(F.col(xml).isNotNull()).withColumn("_record", records)
+    rows = df.where(F.col(xml).isNotNull()).withColumn("rejected", malformed(F.col(xml)))
+    none = F.array(F.lit(None).cast(schema))
+    records = F.when(F.col("rejected"), none).otherwise(F.from_xml(F.col(xml), wrapper.simpleString())[element])
+    rows = rows.withColumn("_record", F.explode(records))
     fields = [F.col(f"_record.{f.name}").alias(f.name) for f in schema]
-    out = rows.select(*[c for c in df.columns if c != xml], *fields)
-    return out if below is None else out.where(F.col(below[0]) < below[1])
+    out = rows.select(*[c for c in df.columns if c != xml], "rejected", *fields)
+    return out if below is None else out.where(F.col("rejected") | (F.col(below[0]) < below[1]))
 
 
 def _affixed(body: Column, prefix: str | None, suffix: str | None) -> Column:

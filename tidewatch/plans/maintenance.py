@@ -51,8 +51,10 @@ def move_text(has_transient: bool, online: bool, statistics: bool) -> Column:
     warning = text_concat(
         "-- WARNING: Dunno how to move ", F.lower(kind), ' "', F.col("owner"), '"."', F.col("segment_name"), '"'
     )
+    unknown = kind.isin("LOBSEGMENT", "LOB PARTITION", "LOB SUBPARTITION") & (F.col("lob_table").isNull() | F.col("lob_column").isNull())
     return (
-        F.when((kind == "TABLE") & whole, table(own))
+        F.when(unknown, warning)  # the catalog does not say whose large object it is
+        .when((kind == "TABLE") & whole, table(own))
         .when(kind == "NESTED TABLE", table(own))
         .when((kind == "INDEX") & (F.col("index_type") == "IOT - TOP"), table(_qualified("index_table_owner", "index_table")))
         .when(kind == "TABLE PARTITION", table(own, " partition ", part))

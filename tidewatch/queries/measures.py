@@ -69,7 +69,7 @@ def measure_pre_query(t: Tables):
     store.save_pre(10, _totals(dated, F.expr(EARLY)))
     store.save_pre(11, _totals(dated, F.expr(EARLY)))
     store.save_pre(10, _totals(dated, F.expr(LATE)))
-    return store.read().drop("d_pre")
+    return store.read().drop("d_pre", "d_post")
 
 
 @query("measure_diff", f"""
@@ -79,7 +79,7 @@ def measure_diff_query(t: Tables):
     store, dated = _store(t), _dated(t)
     store.save_pre(10, _totals(dated, F.expr(EARLY)))
     store.save_post(10, _totals(dated, F.expr(LATE)))
-    return measure.with_difference(store.read().drop("d_pre"), ["stat_value"])
+    return measure.with_difference(store.read().drop("d_pre", "d_post"), ["stat_value"])
 
 
 MEASURED = ("total_waits", "total_timeouts", "time_waited", "average_wait", "max_wait", "time_waited_micro")

@@ -284,7 +284,7 @@ WITH {EXTENTS}, {FILES}, x AS (
     (2 + coalesce(last_block_id, 0)) * block_size / 1048576 AS needed
   FROM files f JOIN tbs USING (tablespace_name) LEFT JOIN x USING (file_id)
 ), g AS (
-  SELECT *, (ceil(needed / 8) * 8)::BIGINT AS min_mb, (ceil(needed / rounding_mb) * rounding_mb)::BIGINT AS opt_mb FROM d
+  SELECT *, (ceil(needed / 8) * 8)::BIGINT AS min_mb, ceil(ceil(needed / rounding_mb) * rounding_mb)::BIGINT AS opt_mb FROM d
 ), p AS (
   SELECT *, CASE WHEN min_mb > 1 THEN 1::BIGINT << length(bin(min_mb - 1)) ELSE 1 END AS max_mb FROM g
 )
@@ -380,12 +380,14 @@ WITH {CLASSIFIED}, texts AS (
     WHEN segment_type = 'TABLE SUBPARTITION' THEN 'alter table ' || {own} || ' move subpartition ' || {part} || {to} || {par} || ' online'
     WHEN segment_type = 'INDEX' THEN 'alter index ' || {own} || ' rebuild online' || {to} || {par} || ' compute statistics'
     WHEN segment_type = 'INDEX PARTITION' THEN 'alter index ' || {own} || ' rebuild partition ' || {part} || ' online' || {to} || {par} || ' compute statistics'
+    WHEN segment_type IN ('LOBSEGMENT', 'LOB PARTITION') AND (lob_table IS NULL OR lob_column IS NULL) THEN
+      '-- WARNING: Dunno how to move ' || lower(segment_type) || ' "' || owner || '"."' || segment_name || '"'
     WHEN segment_type = 'LOBSEGMENT' AND varray_table IS NOT NULL THEN 'alter table ' || {lob_table} || ' move' || {par} || ' online varray '
       || {_quote('lob_column')} || ' store as lob ' || {_quote('segment_name')} || ' (tablespace ${{tablespace}})'
-    WHEN segment_type = 'LOBSEGMENT' THEN 'alter table ' || coalesce({lob_table}, '.') || ' move' || {par} || ' online'
-      || coalesce({lob}, ' lob () store as') || ' ' || {_quote('segment_name')} || ' (tablespace ${{tablespace}})'
-    WHEN segment_type = 'LOB PARTITION' THEN 'alter table ' || coalesce({lob_table}, '.') || ' move partition '
-      || coalesce({_quote('lob_table_partition')}, '') || {par} || ' online' || coalesce({lob}, ' lob () store as') || ' (tablespace ${{tablespace}})'
+    WHEN segment_type = 'LOBSEGMENT' THEN 'alter table ' || {lob_table} || ' move' || {par} || ' online'
+      || {lob} || ' ' || {_quote('segment_name')} || ' (tablespace ${{tablespace}})'
+    WHEN segment_type = 'LOB PARTITION' THEN 'alter table ' || {lob_table} || ' move partition '
+      || coalesce({_quote('lob_table_partition')}, '') || {par} || ' online' || {lob} || ' (tablespace ${{tablespace}})'
     END AS txt FROM classified
 ), owners AS (SELECT DISTINCT owner FROM texts), steps AS (
   SELECT '10:' || md5(tablespace_name) || ':01:move to transient' AS block,

@@ -344,7 +344,7 @@ SELECT '1_' || o_orderkey || '_2' AS deadlock_id, 1::BIGINT AS match, o_custkey
   'G' || o_orderkey AS ges_xid, 'prog' AS os_program, 'select a:b' AS current_sql, 'Desktop  Client' AS app_name,
   'job' || o_custkey || '.thread 1/2' AS action FROM orders WHERE o_orderstatus = 'O'""")
 def deadlock_sessions_query(t: Tables):
-    return deadlock_sessions(deadlock_sections(order_trace(t)))
+    return deadlock_sessions(deadlock_sections(order_trace(t)), short_app=r"^(Desktop\s+Client).*$", short_action=r"^(.*?\.thread \d+/\d+).*$")
 
 
 @query("greedy_pack", """

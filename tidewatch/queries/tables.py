@@ -69,11 +69,15 @@ def assign_ids_query(t: Tables):
 
 
 # A third of the keys is removed, as a closed range from 1.
+# Some keys are null and some negative; their rows stay.
 PURGED = """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem
-WHERE NOT l_orderkey BETWEEN 1 AND (SELECT max(l_orderkey) // 3 FROM lineitem)"""
-LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-WIDTH = 1000
+WITH keyed AS (SELECT *, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN -l_orderkey ELSE l_orderkey END AS key FROM lineitem)
+SELECT * FROM keyed WHERE key IS NULL OR NOT key BETWEEN 1 AND (SELECT max(l_orderkey) // 3 FROM lineitem)"""
+
+
+def _keyed(t: Tables) -> DataFrame:
+    number, key = F.col("l_linenumber"), F.col("l_orderkey")
+    return t.lineitem.withColumn("key", F.when(number == 7, None).when(number == 6, -key).otherwise(key))
 
 
 def _bound(t: Tables) -> int:
@@ -82,15 +86,15 @@ def _bound(t: Tables) -> int:
 
 @query("purge_range", PURGED)
 def purge_range_query(t: Tables):
-    return tables.purge_range(t.lineitem.select(*LINE), "l_orderkey", 1, _bound(t))
+    return tables.purge_range(_keyed(t), "key", 1, _bound(t))
 
 
 @query("purge_keys", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem
+SELECT * FROM lineitem
 WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def purge_keys_query(t: Tables):
     finished = t.orders.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("l_orderkey"))
-    return tables.purge_keys(t.lineitem.select(*LINE), finished, "l_orderkey")
+    return tables.purge_keys(t.lineitem, finished, "l_orderkey")
 
 
 @query("purge_partitions", PURGED)
@@ -100,8 +104,9 @@ def purge_partitions_query(t: Tables):
     database = path.rsplit("/", 1)[1].replace("-", "_")
     t.spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
     name = f"{database}.lines"
-    tables.create_range_table(t.lineitem.select(*LINE), name, "l_orderkey", WIDTH)
-    return tables.purge_partitions(t.spark, name, "l_orderkey", WIDTH, 1, _bound(t)).select(*LINE)
+    width = max(1, _bound(t) // 7)  # a share of the key range, so that partitions do not grow in number with it
+    tables.create_range_table(_keyed(t), name, "key", width)
+    return tables.purge_partitions(t.spark, name, "key", width, 1, _bound(t)).drop("bucket")
 
 
 @query("partitioned_rewrite", """

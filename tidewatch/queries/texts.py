@@ -61,20 +61,25 @@ def text_forms_hints_query(t: Tables):
 
 
 @query("xml_explode", """
-SELECT event_id, unnest([event_type, 'K' || regexp_extract(props, '\\d+')]) AS hint FROM events WHERE event_type <> 'error'""")
+SELECT event_id, user_id % 50 = 0 AS rejected,
+  unnest(CASE WHEN user_id % 50 = 0 THEN [NULL] ELSE [event_type, 'K' || regexp_extract(props, '\\d+')] END) AS hint
+FROM events WHERE event_type <> 'error'""")
 def xml_explode_query(t: Tables):
     k = F.regexp_extract("props", r"(\d+)", 1)
     xml = F.concat(
         F.lit("<other_xml><info>x</info><outline_data><hint>"), F.col("event_type"), F.lit("</hint><hint><![CDATA[K"), k,
         F.lit("]]></hint></outline_data></other_xml>"),
     )
+    xml = F.when(F.col("user_id") % 50 == 0, F.substring(xml, 1, 40)).otherwise(xml)  # texts that were cut off
     rows = t.events.select("event_id", F.when(F.col("event_type") != "error", xml).alias("xml"))
     return text.xml_explode(rows, "xml", "/other_xml/outline_data/hint/text()", "hint")
 
 
 @query("xml_rows", """
-SELECT o_orderkey, o_orderstatus AS partition_name, 1 AS partition_position, o_totalprice AS high_value FROM orders WHERE o_totalprice < 100000
-UNION ALL SELECT o_orderkey, 'C' || o_custkey, 2, o_custkey::DOUBLE FROM orders WHERE o_custkey < 100000""")
+WITH good AS (SELECT * FROM orders WHERE o_orderkey % 40 <> 0)
+SELECT o_orderkey, false AS rejected, o_orderstatus AS partition_name, 1 AS partition_position, o_totalprice AS high_value FROM good WHERE o_totalprice < 100000
+UNION ALL SELECT o_orderkey, false, 'C' || o_custkey, 2, o_custkey::DOUBLE FROM good WHERE o_custkey < 100000
+UNION ALL SELECT o_orderkey, true, NULL, NULL, NULL FROM orders WHERE o_orderkey % 40 = 0""")
 def xml_rows_query(t: Tables):
     def record(name, position, value):
         return [F.lit("<ROW><PARTITION_NAME>"), name, F.lit(f"</PARTITION_NAME><PARTITION_POSITION>{position}</PARTITION_POSITION><HIGH_VALUE>"),
@@ -84,12 +89,13 @@ def xml_rows_query(t: Tables):
     xml = F.concat(
         F.lit("<ROWSET>"), *record(F.col("o_orderstatus"), 1, F.col("o_totalprice")), *record(cust, 2, F.col("o_custkey").cast("double")), F.lit("</ROWSET>")
     )
+    xml = F.when(F.col("o_orderkey") % 40 == 0, F.substring(xml, 1, 30)).otherwise(xml)  # texts that were cut off
     schema = T.StructType([
         T.StructField("PARTITION_NAME", T.StringType()), T.StructField("PARTITION_POSITION", T.IntegerType()),
         T.StructField("HIGH_VALUE", T.DoubleType()),
     ])
     return text.xml_rows(t.orders.select("o_orderkey", xml.alias("xml")), "xml", "ROW", schema, below=("HIGH_VALUE", 100_000)).select(
-        "o_orderkey", *[F.col(f.name).alias(f.name.lower()) for f in schema]
+        "o_orderkey", "rejected", *[F.col(f.name).alias(f.name.lower()) for f in schema]
     )
 
 

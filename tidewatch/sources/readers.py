@@ -16,14 +16,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text log lines as (trace_filename, line_number, payload), numbered from 1 per file.
 
-    A large file is read by many tasks. A line is placed by the start of the file block it
+    Files are told apart by their whole path, so files of one name in several folders are
+    numbered each on its own. A large file is read by many tasks. A line is placed by the start of the file block it
     came from and by its position in that block, and then numbered along that order.
     """
     lines = spark.read.text(path).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("trace_filename"),
+        F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("payload"),
     )
-    numbered = number_rows(lines, ["trace_filename"], ["_block", "_row"], "line_number")
-    return numbered.select("trace_filename", "line_number", "payload")
+    numbered = number_rows(lines, ["_path"], ["_block", "_row"], "line_number")
+    return numbered.select(F.element_at(F.split("_path", "/"), -1).alias("trace_filename"), "line_number", "payload")

@@ -9,13 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.nulls import not_true
 from tidewatch.operators.measure import merge_post
+from tidewatch.operators.ordered import match_by
 from tidewatch.session import staged
 
 
+# Fixed value: the name of the partition of rows without a partition value; Spark may show it as null.
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+
+
 def rewrite_partitioned(df: DataFrame, partition: str, expression: Column, path: str) -> DataFrame:
     """Write the rows partitioned by an expression and read them back.
 
@@ -27,8 +33,8 @@ def rewrite_partitioned(df: DataFrame, partition: str, expression: Column, path:
 
 
 def purge_range(table: DataFrame, key: str, low: int, high: int) -> DataFrame:
-    """Rows outside the closed key range."""
-    return table.where(~F.col(key).between(low, high))
+    """Rows outside the closed key range; a row without a key stays."""
+    return table.where(not_true(F.col(key).between(low, high)))
 
 
 def purge_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -37,8 +43,12 @@ def purge_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def create_range_table(df: DataFrame, name: str, key: str, width: int) -> None:
-    """A catalog table partitioned into key ranges of the given width (``bucket``)."""
-    rows = df.withColumn("bucket", F.expr(f"{key} div {width}"))
+    """A catalog table partitioned into key ranges of the given width (``bucket``).
+
+    Bucket b holds the keys from b * width on, negative ones too; rows without a key have a
+    partition of their own.
+    """
+    rows = df.withColumn("bucket", F.expr(f"(`{key}` - pmod(`{key}`, {width})) div {width}"))
     rows.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").format("parquet").saveAsTable(name)
 
 
@@ -48,13 +58,14 @@ def purge_partitions(spark: SparkSession, name: str, key: str, width: int, low:
 
     Only partition names come to the driver.
     """
-    specs = [row.partition for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
-    buckets = sorted(int(spec.split("=", 1)[1]) for spec in specs)
-    dropped = [b for b in buckets if low <= b * width and (b + 1) * width - 1 <= high]
-    touched = [b for b in buckets if b not in dropped and b * width <= high and (b + 1) * width - 1 >= low]
+    specs = [row.partition.split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
+    buckets = sorted(int(spec) for spec in specs if spec != NO_KEY)
+    met = [b for b in buckets if b * width <= high and (b + 1) * width - 1 >= low]
+    dropped = [b for b in met if low <= b * width and (b + 1) * width - 1 <= high]
+    touched = sorted(set(met) - set(dropped))
     if touched:
         kept = staged(purge_range(spark.table(name).where(F.col("bucket").isin(touched)), key, low, high), "boundary")
-        left = [row.bucket for row in kept.select("bucket").distinct().collect()]
+        left = {row.bucket for row in kept.select("bucket").distinct().collect()}
         dropped += [b for b in touched if b not in left]
         _replace_partitions(kept, name)
     for start in range(0, len(dropped), 500):
@@ -92,8 +103,12 @@ class MeasurementStore:
         self.keys, self.measures = list(keys), list(measures)
 
     def _replace(self, run: int, rows: DataFrame) -> None:
-        tagged = rows.withColumn("run_id", F.lit(run))
+        written = Observation()
+        tagged = rows.withColumn("run_id", F.lit(run)).observe(written, F.count(F.lit(1)).alias("rows"))
         tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path)
+        if not written.get["rows"]:  # an overwrite with no rows replaces nothing
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/run_id={run}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def save_pre(self, run: int, rows: DataFrame) -> None:
         """Replace everything saved for the run with fresh pre values."""
@@ -102,16 +117,16 @@ class MeasurementStore:
         for m in self.measures:
             columns[f"{m}_pre"] = F.col(m)
             columns[f"{m}_post"] = F.lit(None).cast(kinds[m])
-        self._replace(run, rows.withColumns({**columns, "d_pre": F.current_timestamp()}).drop(*self.measures))
+        self._replace(run, rows.withColumns({**columns, "d_pre": F.current_timestamp(), "d_post": F.lit(None).cast("timestamp")}).drop(*self.measures))
 
     def save_post(self, run: int, rows: DataFrame) -> None:
-        """Merge post values into the run. The merged rows are staged before the partition
-        they were read from is replaced."""
+        """Merge post values into the run, and say when. The merged rows are staged before the
+        partition they were read from is replaced."""
         saved = self.read().where(F.col("run_id") == run)
-        merged = merge_post(saved.drop("run_id", "d_pre"), rows, self.keys, self.measures)
-        times = saved.select(*self.keys, "d_pre")
-        merged = merged.drop(*[f"{m}_diff" for m in self.measures]).join(times, self.keys, "left")
-        merged = merged.withColumn("d_pre", F.coalesce("d_pre", F.current_timestamp()))
+        merged = merge_post(saved.drop("run_id", "d_pre", "d_post"), rows, self.keys, self.measures)
+        merged = match_by(merged.drop(*[f"{m}_diff" for m in self.measures]), saved.select(*self.keys, "d_pre", "d_post"), self.keys)
+        merged = match_by(merged, rows.select(*self.keys, F.current_timestamp().alias("_now")), self.keys)
+        merged = merged.withColumns({"d_pre": F.coalesce("d_pre", "_now"), "d_post": F.coalesce("_now", "d_post")}).drop("_now")
         self._replace(run, staged(merged, "measurement"))
 
     def read(self) -> DataFrame:
