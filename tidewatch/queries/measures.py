@@ -47,7 +47,7 @@ def _totals(events: DataFrame, until: Column) -> DataFrame:
     return events.where(until).groupBy("user_id", F.col("event_type").alias("stat_name")).agg(F.sum(cents).alias("stat_value"))
 
 
-EARLY, LATE = "day <= 3", "day BETWEEN 2 AND 20"
+EARLY, LATE = "day <= 3", "day >= 2"
 TOTALS = f"""d AS (SELECT *, epoch_us(ts) // 86400000000 - {FIRST_DAY} AS day, round(value * 100)::BIGINT AS cents FROM events),
 pre AS (SELECT user_id, event_type AS stat_name, sum(cents)::BIGINT AS v FROM d WHERE {EARLY} GROUP BY 1, 2),
 post AS (SELECT user_id, event_type AS stat_name, sum(cents)::BIGINT AS v FROM d WHERE {LATE} GROUP BY 1, 2)"""
@@ -97,8 +97,8 @@ def _waits(events: DataFrame, until: str) -> DataFrame:
 WAITS = f"""d AS (SELECT *, epoch_us(ts) // 86400000000 - {FIRST_DAY} AS day, round(value * 100)::BIGINT AS cents, {K_SQL}::BIGINT AS k FROM events),
 """ + ", ".join(f"""{name} AS (SELECT user_id, event_type AS event, count(*) AS total_waits, sum(CASE WHEN k > 50 THEN 1 END)::BIGINT AS total_timeouts,
   sum(k)::BIGINT AS time_waited, min(k) AS average_wait, max(k) AS max_wait, sum(cents)::BIGINT AS time_waited_micro
-  FROM d WHERE {rule} GROUP BY 1, 2)""" for name, rule in (("pre", EARLY), ("post", "day <= 8 AND (event_type <> 'view' OR day > 3)")))
-POST_RULE = "day <= 8 and (event_type <> 'view' or day > 3)"
+  FROM d WHERE {rule} GROUP BY 1, 2)""" for name, rule in (("pre", EARLY), ("post", "event_type <> 'view' OR day > 3")))
+POST_RULE = "event_type <> 'view' or day > 3"
 
 
 def _waits_diff(null_as_zero: bool) -> str:
@@ -142,7 +142,7 @@ def changed_events_query(t: Tables):
 
 
 def _run_stats(events: DataFrame) -> DataFrame:
-    """A day is a run, a week a run class; users' amounts and counts are statistics."""
+    """Days are dealt into runs, and runs into four classes of four; users' amounts and counts are statistics."""
     cents, k = F.round(F.col("value") * 100).cast("bigint"), k_of(F.col("props")).cast("bigint")
     days = _run_days(events)
     wide = days.groupBy("run_id", F.col("event_type")).agg(
@@ -158,11 +158,11 @@ def _run_stats(events: DataFrame) -> DataFrame:
 
 def _run_days(events: DataFrame) -> DataFrame:
     day = day_number(F.col("ts")) - FIRST_DAY
-    return events.withColumn("run_id", (10 * (1 + F.floor(day / 7)) + day % 7).cast("int"))
+    return events.withColumn("run_id", (10 * (1 + F.floor(day / 4) % 4) + day % 4).cast("int"))
 
 
 RUN_STATS = f"""base AS (
-  SELECT *, (10 * (1 + day // 7) + day % 7)::INT AS run_id FROM (
+  SELECT *, (10 * (1 + (day // 4) % 4) + day % 4)::INT AS run_id FROM (
     SELECT *, epoch_us(ts) // 86400000000 - {FIRST_DAY} AS day, round(value * 100)::BIGINT AS cents, {K_SQL}::BIGINT AS k FROM events)
 ), tall AS (
   SELECT run_id, length(event_type)::INT AS stat_class_id, event_type || ' ' || name AS stat_name, v AS stat_value_diff FROM (
