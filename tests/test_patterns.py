@@ -111,12 +111,13 @@ def test_deadlock_trace(spark):
     for how in ({}, dict(hot_rows=1, chunks=6)):
         mined = deadlock_sections(spark.createDataFrame(rows, schema), **how)
         assert mined.count() == len(lines) and {r.deadlock_id for r in mined.collect()} == {"4_5_6"}
-        got = sorted(deadlock_sessions(mined, **how).collect(), key=lambda r: r.match)
+        names = dict(short_app=r"^(Desktop\s+Client).*$", short_action=r"^(Complete\s+Case\s+Activity).*$")
+        got = sorted(deadlock_sessions(mined, **names, **how).collect(), key=lambda r: r.match)
         # The second block lacks its lock level, so its match runs on into the third block.
         assert [(r.session_id, r.ges_xid, r.blocking_xid, r.app_name, r.action, r.inst_id) for r in got] == [
             (1, "G1", "000000ab00000001", "Desktop Client", "Complete Case Activity", 2),
             (2, "G3", "000000ab00000001", "Desktop Client", "Complete Case Activity", 2)]
-        fresh = deadlock_sessions(mined, reset_on_start=True, **how).collect()
+        fresh = deadlock_sessions(mined, reset_on_start=True, **names, **how).collect()
         assert sorted((r.session_id, r.ges_xid) for r in fresh) == [(1, "G1"), (3, "G3")]
     df = spark.createDataFrame([("TX 0x123456789a.0x[x]",), ("TM 0x1.0x2",)], "r string")
     assert [r.x for r in df.select(lock_transaction(F.col("r")).alias("x")).collect()] == ["3456789a00000000", "TM 0x1.0x2"]
