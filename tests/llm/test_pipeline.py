@@ -2,8 +2,10 @@
 
 import os
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -50,6 +52,21 @@ def test_stages(spark, tmp_path):
     assert 0.9 * total < taken <= total and all(r.taken <= 3 * r.size for r in kept["mix"].values())
 
 
+def test_the_mix_is_carried_out(spark, tmp_path, monkeypatch):
+    """``run`` yields the documents taken, with texts; those cut off are gone, equal ids are kept apart."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("all", lambda spark, docs, sf_dir: docs), corpus_pipeline.STAGES[-1]])
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = docs.limit(400).union(docs.limit(400).withColumn("text", F.reverse("text")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    stage = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+    texts = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert 0 < len(got) < len(stage) and Counter((r.doc_id, r.copies, r.taken) for r in got) == Counter(
+        (r.doc_id, r.copies, r.taken) for r in stage if r.copies)
+    assert all(r.copies > 0 and r.size == len((r.text or "").split()) for r in got)
+    assert not Counter((r.doc_id, r.text) for r in got) - texts
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

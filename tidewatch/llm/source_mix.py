@@ -62,7 +62,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: (doc_id, source, size, source_size, target, copies, taken).
 
@@ -71,10 +72,10 @@ def mix(
     words) lasts, so it ends within one document of the target unless the budget ends first.
     The order is a hash of the key; equal keys go by size, and rows equal in both are
     interchangeable. A null text has size 0; documents without words are never taken. An empty
-    table gives no rows. Other columns are not read.
+    table gives no rows. The columns ``keep`` come along; others are not read.
     """
     place = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), place.alias("place"))
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), place.alias("place"), *keep)
     sized = written(sized, "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     targets = written(targets, "targets")
@@ -87,7 +88,7 @@ def mix(
     totals = totals.select("rank", "piece", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
     own = Window.partitionBy("rank", "piece").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = pieces.withColumn("within", F.sum("size").over(own)).join(totals, ["rank", "piece"])
-    queued = queued.select("doc_id", "source", "size", "rank", "source_size", "target", (F.col("before") + F.col("within")).alias("upto"))
+    queued = queued.select("doc_id", "source", "size", "rank", "source_size", "target", (F.col("before") + F.col("within")).alias("upto"), *keep)
     queued = written(queued, "queue")
 
     passes = F.array(*[F.lit(i).cast("long") for i in range(most)])
@@ -110,7 +111,7 @@ def mix(
 
         taken = sum((goes(n) for n in range(1, most)), goes(0))
     queued = queued.withColumn("copies", taken)
-    return queued.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
 MIX_SQL = r"""
