@@ -18,6 +18,14 @@ BATCH_CHARS = 1 << 20
 MIX_1, MIX_2, BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A name like the given one that none of the columns has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(key: str, parts: int) -> Column:
     """Remainder of the CRC-32 of a key's decimal text; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import attention_lm, compression_quality, decontamination, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
+from tidewatch.llm import attention_lm, compression_quality, decontamination, fill_in_middle, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -102,3 +102,12 @@ def op10_attention_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Probability of every document; documents whose fold is 2 of 7 are not learned from."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return attention_lm.score(table(spark, folder, "documents"), fold("doc_id", 7) == 2, tokenizer)
+
+
+@query("op12_fill_in_middle", fill_in_middle.FILL_SQL)
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document cut in three and put together for filling in; digests of the output and of the text rebuilt from it."""
+    cut = fill_in_middle.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
