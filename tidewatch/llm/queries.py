@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import attention_lm, compression_quality, decontamination, fill_in_middle, html_extraction, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
+from tidewatch.llm import attention_lm, compression_quality, decontamination, fill_in_middle, html_extraction, importance_resampling, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -111,3 +111,10 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op13_importance_resampling", importance_resampling.RESAMPLE_SQL)
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn by likeness to the benchmark's words; all documents with their scores."""
+    chosen = importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return chosen.select("doc_id", "n_features", "weight", "score", "rank")
