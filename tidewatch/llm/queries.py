@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import attention_lm, compression_quality, decontamination, fill_in_middle, html_extraction, importance_resampling, language_crf, maxscore, ngram_join, source_mix, token_counts, toxicity
+from tidewatch.llm import attention_lm, compression_quality, decontamination, fill_in_middle, html_extraction, importance_resampling, language_crf, maxscore, ngram_join, quality_rules, source_mix, token_counts, toxicity
 from tidewatch.llm.common import fold
 
 QUERIES: dict = {}
@@ -118,3 +118,10 @@ def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """A tenth of the documents of 20 words or more, drawn by likeness to the benchmark's words; all documents with their scores."""
     chosen = importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return chosen.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_quality_rules")
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document, and whether the base rule and the learned rules keep it."""
+    judged = quality_rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
