@@ -15,11 +15,11 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.ordered import CHUNK, WHOLE, order_by, split_hot_groups
+from tidewatch.operators.ordered import CHUNK, WHOLE, order_by
 
 # Executors need not have this package installed: ship the few helpers below by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -212,28 +212,23 @@ def run_machine(
     order: Sequence[str],
     symbol: str,
     machine,
-    hot_rows: int | None = None,
-    chunks: int | None = None,
-    split: bool | None = None,
+    split: bool,
 ) -> DataFrame:
-    """Add ``before``, ``after`` (states) and ``number`` (running count) to every row.
+    """Keys, order and chunk of every row, with ``before``, ``after`` (states) and ``number`` (running count).
 
-    ``split`` is given for rows that have their chunk numbers already.
+    ``df`` has its chunk numbers (``split``: whether any key was cut). Nothing but keys, order, chunk
+    and symbol goes through Python: callers hand in the rows that can change the state and give
+    the labels to the others with ``carried``.
     """
-    rows = df
-    if split is None:
-        rows, split = split_hot_groups(df, keys, order, hot_rows, chunks)
     group = [*keys, CHUNK]
+    names = [n for n in dict.fromkeys(c.lstrip("-") for c in order) if n not in group]
     absent = F.lit(None).cast("bigint")
-    rows = rows.withColumns(
-        {"_w_symbol": F.col(symbol).cast("bigint"), "_w_state": absent, "_w_count": absent}
-    )
+    rows = df.select(*group, *names, F.col(symbol).cast("bigint").alias("_w_symbol"), absent.alias("_w_state"), absent.alias("_w_count"))
     sorted_group = Window.partitionBy(*group).orderBy(F.col("_w_state").asc_nulls_last(), *order_by(order))
     first = F.row_number().over(sorted_group) == 1
 
     if split:
-        narrow = rows.where(F.col(CHUNK) != WHOLE).select(*group, *[c.lstrip("-") for c in order if c.lstrip("-") not in keys], "_w_symbol", "_w_state")
-        narrow = narrow.withColumn("_w_first", first).select(*group, "_w_symbol", "_w_first")
+        narrow = rows.where(F.col(CHUNK) != WHOLE).withColumn("_w_first", first).select(*group, "_w_symbol", "_w_first")
         keyed = T.StructType([narrow.schema[c] for c in group])
         longs = T.ArrayType(T.LongType())
         effects = narrow.mapInArrow(_summarise(machine), T.StructType([*keyed, *_fields(("_ends", longs), ("_counts", longs))]))
@@ -245,7 +240,31 @@ def run_machine(
     labelled = rows.mapInArrow(_label(machine), T.StructType([*rows.schema, *added]))
     if split:
         labelled = labelled.where(F.col("_w_entry").isNull())
-    return labelled.select(*[c for c in df.columns if c != CHUNK], "before", "after", "number")
+    return labelled.select(*group, *names, "before", "after", "number")
+
+
+def carried(rows: DataFrame, labels: DataFrame, keys: Sequence[str], order: Sequence[str], start: int = 0) -> tuple[DataFrame, WindowSpec]:
+    """Gives the labels of some rows (from ``run_machine``) to all rows, and the window that did it.
+
+    A labelled row gets its label; a row between labels the state after the last one, as
+    ``before`` and ``after``, and its number; a row before all labels of its chunk the state
+    ``start`` and number 0. Labels and rows meet by a running window inside (key, chunk), which
+    holds one row at a time. The order must tell the rows of a key apart.
+    """
+    label = F.struct("before", "after", "number")
+    names = [n for n in dict.fromkeys(c.lstrip("-") for c in order) if n not in keys]
+    tagged = rows.withColumns({"_w_label": F.lit(None).cast(labels.select(label.alias("x")).schema["x"].dataType), "_w_row": F.lit(1)})
+    marks = labels.select(*keys, CHUNK, *names, label.alias("_w_label"), F.lit(0).alias("_w_row"))
+    ordered = Window.partitionBy(*keys, CHUNK).orderBy(*order_by(order), "_w_row")
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = tagged.unionByName(marks, allowMissingColumns=True)
+    both = both.withColumns({"_w_last": F.last("_w_label", ignorenulls=True).over(running), "_w_own": F.lag("_w_row").over(ordered) == 0})
+    after = F.coalesce("_w_last.after", F.lit(start))
+    given = both.where("_w_row = 1").withColumns({
+        "before": F.when(F.col("_w_own"), F.col("_w_last.before")).otherwise(after), "after": after,
+        "number": F.coalesce("_w_last.number", F.lit(0))})
+    return given.drop("_w_label", "_w_row", "_w_last", "_w_own"), Window.partitionBy(*keys, CHUNK).orderBy(*order_by(order)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
 
 
 def _fields(*pairs) -> list[T.StructField]:

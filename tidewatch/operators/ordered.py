@@ -52,15 +52,16 @@ def match_by(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return joined.drop(*[name for _, name in pairs])
 
 
-def comparable(df: DataFrame, order: Sequence[str]) -> Column:
+def comparable(df: DataFrame, order: Sequence[str], prefix: str = "") -> Column:
     """A struct without nulls or time zones that sorts as ``order_by(order)`` does.
 
-    Times are exact microseconds, so they never step back when clocks do.
+    Times are exact microseconds, so they never step back when clocks do. ``prefix`` stands before
+    the names of the columns to read.
     """
     parts = []
     for i, name in enumerate(order):
-        down, column = name.startswith("-"), F.col(name.lstrip("-"))
-        kind = df.schema[name.lstrip("-")].dataType
+        down, column = name.startswith("-"), F.col(prefix + name.lstrip("-"))
+        kind = df.schema[prefix + name.lstrip("-")].dataType
         if isinstance(kind, T.TimestampType):
             value = F.unix_micros(column)
         elif isinstance(kind, T.TimestampNTZType):

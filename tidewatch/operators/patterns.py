@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.machines import Packing, Subsequence, Table, run_machine
+from tidewatch.functions.nulls import null_if_blank
+from tidewatch.operators.machines import Packing, Subsequence, Table, carried, run_machine
 from tidewatch.operators.ordered import CHUNK, WHOLE, comparable, match_by, order_by, split_hot_groups
 
 
@@ -28,51 +29,95 @@ def sections(
     kinds: Sequence[SectionKind],
     hot_rows: int | None = None,
     chunks: int | None = None,
+    facts: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Rows inside the shortest, non-overlapping sections, in order of appearance.
 
     Kinds are alternatives tried in the given order at each row. An opening with no closing
     of its kind later in the same key opens nothing. Adds ``section`` (numbered from 1 per
-    key) and ``kind``.
+    key), ``kind``, and the ``facts``: expressions on the first row of a section. The order must
+    tell the rows of a key apart.
+
+    Only rows where a section can open or close are looked at one by one, by key, order and a
+    number; all columns are shuffled once, to meet what those rows say about them.
     """
     if any(not 1 <= len(side) <= 2 for k in kinds for side in (k.opening, k.closing)):
         raise ValueError("an opening or closing has one or two rows")
-    place = comparable(df, order)
-    flags = {f"_{s}{i}_{j}": F.coalesce(c, F.lit(False)) for i, k in enumerate(kinds)
-             for s, side in (("o", k.opening), ("c", k.closing)) for j, c in enumerate(side)}
-    rows = df.withColumns({**flags, "_spot": place})
-    rows, split = split_hot_groups(rows, keys, order, hot_rows, chunks)
-    rows = _with_next(rows, keys, order, [*flags, "_spot"], split)
-
-    opens, closes, opened = {}, {}, {}
-    for i, k in enumerate(kinds):
-        two = len(k.opening) == 2
-        opens[f"_open{i}"] = F.col(f"_o{i}_0") & (F.coalesce(F.col(f"_next._o{i}_1"), F.lit(False)) if two else F.lit(True))
-        opened[f"_opened{i}"] = F.col("_next._spot") if two else F.col("_spot")
-        two = len(k.closing) == 2
-        closes[f"_close{i}"] = F.col(f"_c{i}_0") & (F.coalesce(F.col(f"_next._c{i}_1"), F.lit(False)) if two else F.lit(True))
-    rows = rows.withColumns({**opens, **closes, **opened}).drop("_next", *flags)
-    ends = rows.groupBy(*keys).agg(
-        *[F.max(F.when(F.col(f"_close{i}"), F.col("_spot"))).alias(f"_end{i}") for i in range(len(kinds))]
-    )
-    rows = match_by(rows, ends, keys)
-    bits = F.lit(0)
-    for i in range(len(kinds)):
-        usable = F.col(f"_open{i}") & F.coalesce(F.col(f"_opened{i}") < F.col(f"_end{i}"), F.lit(False))
-        bits = bits + F.when(usable, 1 << (2 * i)).otherwise(0)
-        bits = bits + F.when(F.col(f"_close{i}"), 2 << (2 * i)).otherwise(0)
-    rows = rows.withColumn("_bits", bits).select(*df.columns, CHUNK, "_bits")
+    facts = dict(facts or {})
+    rows, split = split_hot_groups(df, keys, order, hot_rows, chunks)
+    marks = _section_marks(rows, keys, order, kinds, split)
     moves, kind_of = _section_moves([(len(k.opening), len(k.closing)) for k in kinds])
-    labelled = run_machine(rows, keys, order, "_bits", Table(moves), split=split)
-    inside = labelled.where((F.col("before") != 0) | (F.col("after") != 0))
+    labels = run_machine(marks, keys, order, "_bits", Table(moves), split)
+    rows, window = carried(rows, labels, keys, order)
+    if facts:
+        starts = (F.col("before") == 0) & (F.col("after") != 0)
+        rows = rows.withColumn("_first", F.last(F.when(starts, F.struct(*[c.alias(n) for n, c in facts.items()])), ignorenulls=True).over(window))
+        if split:  # a section may go on in later chunks of its key
+            group = [*keys, CHUNK]
+            opened = rows.where(F.col(CHUNK) != WHOLE).groupBy(*group).agg(F.max_by("_first", comparable(rows, order)).alias("_first"))
+            before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+            entry = F.last("_first", ignorenulls=True).over(before)
+            rows = match_by(rows, opened.select(*group, entry.alias("_entry")), group)
+            rows = rows.withColumn("_first", F.coalesce("_first", "_entry"))
+    inside = rows.where((F.col("before") != 0) | (F.col("after") != 0))
     names = F.array(*[F.lit(None if k is None else kinds[k].name) for k in kind_of])
     return inside.select(
         *df.columns,
         F.col("number").alias("section"),
         F.element_at(names, (F.greatest("before", "after") + 1).cast("int")).alias("kind"),
+        *[F.col(f"_first.{n}").alias(n) for n in facts],
     )
 
 
+def _section_marks(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], kinds: Sequence[SectionKind], split: bool
+) -> DataFrame:
+    """Keys, order, chunk and ``_bits`` of the rows that may change what section a row is in:
+    first and second rows of openings and closings, and the first row of each chunk of a cut key.
+
+    Bit 2k of ``_bits`` says that kind k opens here, bit 2k + 1 that it closes.
+    """
+    group = [*keys, CHUNK]
+    names = [n for n in dict.fromkeys(c.lstrip("-") for c in order) if n not in group]
+    flag, flags = {}, F.lit(0)
+    for i, k in enumerate(kinds):
+        for side, conditions in (("o", k.opening), ("c", k.closing)):
+            for j, condition in enumerate(conditions):
+                flag[side, i, j] = 1 << len(flag)
+                flags = flags + F.when(condition, flag[side, i, j]).otherwise(0)
+    narrow = _with_neighbours(rows.select(*group, *names, flags.alias("_flags")), keys, order, split)
+    narrow = narrow.withColumns({"_spot": comparable(narrow, order), "_next_spot": comparable(narrow, order, "_next_")})
+
+    def meets(column: Column, side: str, i: int, j: int) -> Column:
+        return F.coalesce(column.bitwiseAND(flag[side, i, j]) != 0, F.lit(False))
+
+    own, following, previous = F.col("_flags"), F.col("_next__flags"), F.col("_previous")
+    marked, begins, opened = F.col("_edge"), {}, {}
+    for i, k in enumerate(kinds):
+        for side, conditions in (("o", k.opening), ("c", k.closing)):
+            begins[f"_{side}{i}"] = meets(own, side, i, 0)
+            if len(conditions) == 2:
+                begins[f"_{side}{i}"] = begins[f"_{side}{i}"] & meets(following, side, i, 1)
+                marked = marked | (meets(previous, side, i, 0) & meets(own, side, i, 1))
+            marked = marked | begins[f"_{side}{i}"]
+        opened[i] = F.col("_next_spot") if len(k.opening) == 2 else F.col("_spot")
+    marks = narrow.where(marked).select(*group, *names, "_spot", *[c.alias(n) for n, c in begins.items()], *[c.alias(f"_opened{i}") for i, c in opened.items()])
+
+    # The last closing of each kind in the key: in the chunk itself, and in the chunks after it.
+    last = {f"_end{i}": F.max(F.when(F.col(f"_c{i}"), F.col("_spot"))) for i in range(len(kinds))}
+    found = marks.withColumns({n: c.over(Window.partitionBy(*group)) for n, c in last.items()})
+    if split:
+        later = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+        ends = marks.where(F.col(CHUNK) != WHOLE).groupBy(*group).agg(*[c.alias(n) for n, c in last.items()])
+        ends = ends.select(*group, *[F.max(n).over(later).alias(f"{n}_later") for n in last])
+        found = match_by(found, ends, group).withColumns({n: F.greatest(n, f"{n}_later") for n in last})
+    bits = F.lit(0)
+    for i in range(len(kinds)):
+        usable = F.col(f"_o{i}") & F.coalesce(F.col(f"_opened{i}") < F.col(f"_end{i}"), F.lit(False))
+        bits = bits + F.when(usable, 1 << (2 * i)).otherwise(0) + F.when(F.col(f"_c{i}"), 2 << (2 * i)).otherwise(0)
+    return found.select(*group, *names, bits.alias("_bits"))
+
+
 def _section_moves(lengths: Sequence[tuple[int, int]]) -> tuple[list[list[int]], list[int | None]]:
     """Transition table over the open/close bits of all kinds, and the kind of each state."""
     kind_of, opening, inside, closing = [None], {}, {}, {}
@@ -95,34 +140,38 @@ def _section_moves(lengths: Sequence[tuple[int, int]]) -> tuple[list[list[int]],
     return moves, kind_of
 
 
-def _with_next(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], split: bool
-) -> DataFrame:
-    """Add ``_next``: the listed columns of the following row of the key.
+def _with_neighbours(narrow: DataFrame, keys: Sequence[str], order: Sequence[str], split: bool) -> DataFrame:
+    """Add ``_previous`` (flags of the row before in the key), ``_next_`` columns (flags and order of
+    the row after) and ``_edge`` (whether the row is the first of a chunk of a cut key).
 
-    A hot key's chunk borrows a copy of the first row of its next chunk.
+    A hot key's chunk borrows a copy of the row after it and of the row before it.
     """
-    rows = df.withColumn("_borrowed", F.lit(False))
+    rows = narrow.withColumn("_borrowed", F.lit(False))
     if split:
-        lowest = F.min_by(F.struct("*"), comparable(rows, order)).alias("_row")
-        heads = rows.where(F.col(CHUNK) != WHOLE).groupBy(*keys, CHUNK).agg(lowest)
-        earlier = F.lag(CHUNK).over(Window.partitionBy(*keys).orderBy(CHUNK))
-        heads = heads.withColumn("_to", earlier).where(F.col("_to").isNotNull()).select("_row.*", "_to")
-        heads = heads.withColumns({CHUNK: F.col("_to"), "_borrowed": F.lit(True)}).drop("_to")
-        rows = rows.unionByName(heads)
+        whole, place = F.struct("*"), comparable(rows, order)
+        ends = rows.where(F.col(CHUNK) != WHOLE).groupBy(*keys, CHUNK).agg(
+            F.min_by(whole, place).alias("_head"), F.max_by(whole, place).alias("_tail"))
+        chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+        ends = ends.withColumns({"_up": F.lag(CHUNK).over(chunks), "_down": F.lead(CHUNK).over(chunks)})
+        for row, to in (("_head", "_up"), ("_tail", "_down")):
+            lent = ends.where(F.col(to).isNotNull()).select(f"{row}.*", to)
+            rows = rows.unionByName(lent.withColumns({CHUNK: F.col(to), "_borrowed": F.lit(True)}).drop(to))
     ordered = Window.partitionBy(*keys, CHUNK).orderBy(*order_by(order))
-    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(ordered))
-    return rows.where(~F.col("_borrowed")).drop("_borrowed")
+    following = [c for c in narrow.columns if c not in keys and c != CHUNK] + [c.lstrip("-") for c in order if c.lstrip("-") in keys]
+    rows = rows.withColumns({
+        **{f"_next_{c}": F.lead(c).over(ordered) for c in following},
+        "_previous": F.lag("_flags").over(ordered), "_before": F.lag("_borrowed").over(ordered)})
+    rows = rows.withColumn("_edge", (F.col(CHUNK) != WHOLE) & F.coalesce("_before", F.lit(True)))
+    return rows.where(~F.col("_borrowed")).drop("_borrowed", "_before")
 
 
 def key_value(df: DataFrame, text: str) -> DataFrame:
     """Split ``name: value`` lines into trimmed ``var`` and ``value``; other lines give nulls."""
     # Fixed value: the line shape.
     line = r"^\s*([^:]+?)\s*:\s*(.+?)\s*$"
-    hit = F.col(text).rlike(line)
-    return df.withColumns(
-        {"var": F.when(hit, F.regexp_extract(text, line, 1)), "value": F.when(hit, F.regexp_extract(text, line, 2))}
-    )
+    paired = F.contains(F.col(text), F.lit(":"))
+    return df.withColumns({
+        name: F.when(paired, null_if_blank(F.regexp_extract(text, line, i))) for i, name in ((1, "var"), (2, "value"))})
 
 
 def section_heads(df: DataFrame, keys: Sequence[str], order: Sequence[str], **facts: Column) -> DataFrame:
@@ -142,20 +191,26 @@ def ordered_fields(
     reset_on_start: bool = False,
     hot_rows: int | None = None,
     chunks: int | None = None,
+    mask: Column | None = None,
 ) -> DataFrame:
     """One row per ordered, non-overlapping match of the symbols, with any rows in between.
 
     ``symbols`` maps each name, in order, to its condition. ``fields`` maps an output name to
-    (symbol, expression on the row matched as that symbol).
+    (symbol, expression on the row matched as that symbol). ``mask``, where the rows have it
+    already, says the same as the conditions: bit i is set if the row satisfies the i-th symbol.
     """
     names = list(symbols)
-    mask = F.lit(0)
-    for i, name in enumerate(names):
-        mask = mask + F.when(symbols[name], 1 << i).otherwise(0)
-    picked = {f"_f_{out}": F.when(F.col("_mask") > 0, value) for out, (_, value) in fields.items()}
-    rows = df.withColumn("_mask", mask).where("_mask > 0").withColumns(picked)
-    rows = rows.select(*dict.fromkeys([*keys, *order]), "_mask", *picked)
-    labelled = run_machine(rows, keys, order, "_mask", Subsequence(len(names), reset_on_start), hot_rows, chunks)
+    if mask is None:
+        mask = F.lit(0)
+        for i, name in enumerate(names):
+            mask = mask + F.when(symbols[name], 1 << i).otherwise(0)
+    rows = df.withColumn("_mask", mask).where("_mask > 0")
+    rows = rows.withColumns({
+        f"_f_{out}": F.when(F.col("_mask").bitwiseAND(1 << names.index(symbol)) != 0, value) for out, (symbol, value) in fields.items()})
+    rows = rows.select(*dict.fromkeys([*keys, *[n.lstrip("-") for n in order]]), "_mask", *[f"_f_{out}" for out in fields])
+    rows, split = split_hot_groups(rows, keys, order, hot_rows, chunks)
+    labels = run_machine(rows, keys, order, "_mask", Subsequence(len(names), reset_on_start), split)
+    labelled, _ = carried(rows, labels, keys, order)
     state = F.when(F.lit(reset_on_start) & (F.col("_mask").bitwiseAND(1) > 0), 0).otherwise(F.col("before"))
     used = labelled.withColumn("_taken", state.cast("int"))
     used = used.where(F.expr("shiftright(_mask, _taken) & 1 = 1"))
@@ -185,6 +240,20 @@ def greedy_pack(
     any group gets a group number of its own.
     """
     # A quoted name costs two quotes, and each name after the first a two-character separator.
-    rows = df.withColumn("_weight", F.length(text) + 4)
-    packed = run_machine(rows, keys, order, "_weight", Packing(limit + 2, first_alone), hot_rows, chunks)
+    rows, split = split_hot_groups(df.withColumn("_weight", F.coalesce(F.length(text), F.lit(0)) + 4), keys, order, hot_rows, chunks)
+    labels = run_machine(rows, keys, order, "_weight", Packing(limit + 2, first_alone), split)
+    packed, _ = carried(rows, labels, keys, order)
     return packed.select(*df.columns, F.col("number").alias("pack"))
+
+
+def pack_lists(packed: DataFrame, keys: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
+    """One row per group of ``greedy_pack``: its members' quoted names in order, as one list text.
+
+    A group's list fits the packing's limit, so it is one small cell; a name too long for any
+    group is a list of its own. Null names are not listed, but a group of nothing else keeps its row.
+    """
+    quoted = F.concat(F.lit('"'), F.col(text), F.lit('"'))
+    named = F.when(F.col(text).isNotNull(), F.struct(comparable(packed, order).alias("at"), quoted.alias("name")))
+    members = F.array_sort(F.collect_list(named))
+    return packed.groupBy(*keys, "pack").agg(
+        null_if_blank(F.array_join(F.transform(members, lambda m: m["name"]), ", ")).alias("part_list"), F.count(F.lit(1)).alias("parts"))

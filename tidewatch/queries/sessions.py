@@ -316,7 +316,8 @@ def order_trace(t: Tables):
     ]
     dump = [F.lit("Global blockers dump start:---"), F.concat(F.lit("User : "), c), F.lit("Global blockers dump end:---")]
     finished = F.col("o_orderstatus") == "F"
-    lines = t.orders.select(
+    dealt = t.orders.repartition("o_orderkey")  # lines are made by many tasks, however few files hold the orders
+    lines = dealt.select(
         "o_orderkey", F.col("o_orderpriority").alias("trace_filename"), F.lit(None).cast("int").alias("session_id"),
         F.lit(None).cast("int").alias("serial"), F.lit(None).cast("int").alias("con_uid"),
         F.when(finished, "kjddgblkerdmp").otherwise("kjddpgt").alias("function_name"),
