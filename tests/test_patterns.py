@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators.patterns import SectionKind, greedy_pack, key_value, ordered_fields, section_heads, sections
+from tidewatch.operators.patterns import SectionKind, greedy_pack, key_value, ordered_fields, pack_lists, section_heads, sections
 
 HOW = pytest.mark.parametrize("how", [{}, dict(hot_rows=1, chunks=5)], ids=["plain", "split"])
 
@@ -29,6 +29,8 @@ def test_sections_two_kinds(spark, how):
     ]
     got = sections(df, ["k"], ["i"], kinds, **how)
     assert sorted([(r.k, r.i, r.section, r.kind) for r in got.collect()], key=str) == sorted(want, key=str)
+    given = sections(df, ["k"], ["i"], kinds, facts={"opener": c, "nothing": F.lit(None).cast("int")}, **how).collect()
+    assert len(given) == len(want) and all(r.opener == ("H" if r.kind == "graph" else "S") and r.nothing is None for r in given)
     heads = section_heads(got, ["k"], ["i"], opener=F.col("c")).collect()
     assert len(heads) == len(want) and all(r.opener == ("H" if r.kind == "graph" else "S") for r in heads)
 
@@ -121,3 +123,26 @@ def test_deadlock_trace(spark):
         assert sorted((r.session_id, r.ges_xid) for r in fresh) == [(1, "G1"), (3, "G3")]
     df = spark.createDataFrame([("TX 0x123456789a.0x[x]",), ("TM 0x1.0x2",)], "r string")
     assert [r.x for r in df.select(lock_transaction(F.col("r")).alias("x")).collect()] == ["3456789a00000000", "TM 0x1.0x2"]
+
+
+def test_pack_lists(spark):
+    rows = [(1, 3, "c"), (1, 1, "a"), (1, 2, "b"), (2, 1, None), (2, 2, "x" * 60), (None, 1, "n")]
+    packed = greedy_pack(spark.createDataFrame(rows, "k int, i int, name string"), ["k"], ["i"], "name", limit=10)
+    got = {(r.k, r.pack): (r.part_list, r.parts) for r in pack_lists(packed, ["k"], ["i"], "name").collect()}
+    assert got == {(1, 1): ('"a"', 1), (1, 2): ('"b", "c"', 2), (2, 1): (None, 1), (2, 2): (f'"{"x" * 60}"', 1), (None, 1): ('"n"', 1)}
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_only_marks_go_through_python(spark, split):
+    """No text column of the rows is in an Arrow schema."""
+    df = spark.createDataFrame([(1, i, c, "payload") for i, c in enumerate("aHDxDFb" * 5)], "k int, i int, c string, payload string")
+    how = dict(hot_rows=1, chunks=4) if split else {}
+    c = F.col("c")
+    plans = [
+        sections(df, ["k"], ["i"], [SectionKind("g", (c == "H", c == "D"), (c == "D", c == "F"))], **how),
+        ordered_fields(df, ["k"], ["i"], {"H": c == "H", "F": c == "F"}, {"p": ("H", F.col("payload"))}, **how),
+        greedy_pack(df, ["k"], ["i"], "payload", limit=30, **how)]
+    for frame in plans:
+        plan = frame._jdf.queryExecution().analyzed().toString()
+        arrow = [line for line in plan.split("\n") if "MapInArrow" in line or "FlatMapGroupsInArrow" in line]
+        assert arrow and not any("payload" in line or " c#" in line for line in arrow)

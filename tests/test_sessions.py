@@ -27,7 +27,8 @@ def test_blocked_latest(spark):
 
 def _peak_samples(spark, rows):
     schema = "sample_id int, inst_id int, session_id int, session_serial int, user_id int, qc_instance_id int, qc_session_id int, qc_session_serial int, temp_space_allocated bigint"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema).withColumns({
+        "plsql_entry_object_id": F.lit(4), "plsql_entry_subprogram_id": F.lit(5), "plsql_object_id": F.lit(6), "plsql_subprogram_id": F.lit(7)})
 
 
 def test_peak_two_level(spark):
@@ -40,11 +41,17 @@ def test_peak_two_level(spark):
         *[(6, 2, s, 1, 2, None, None, None, 100 + s) for s in range(7)],
     ]
     users = spark.createDataFrame([(1, "ANNA")], "user_id int, username string")
-    got = peak_two_level(_peak_samples(spark, rows), users, min_value=60).collect()
+    procs = spark.createDataFrame([(4, 5, "O", "P", "Q"), (6, 7, "O", "R", None)], "object_id int, subprogram_id int, owner string, object_name string, procedure_name string")
+    live = spark.createDataFrame([(1, 10, 1, "root"), (1, 10, 2, "other"), (2, 6, 1, None)], "inst_id int, session_id int, session_serial int, os_user string")
+    got = peak_two_level(_peak_samples(spark, rows), users, procs, live, min_value=60).collect()
+    by = {(r.inst_id, r.session_id): r for r in got}
+    assert (by[1, 10].os_user, by[1, 10].plsql_entry_call, by[1, 10].plsql_call) == ("root", "O.P.Q", "O.R")
+    assert by[1, 11].os_user == "(no v$session)" and by[2, 6].os_user is None and by[1, 11].plsql_call == "O.R"
+    assert by[1, 10].peak_gb == 100 / 1024**3
     first = sorted((r["rank"], r.session_id, r.sample_id, r.peak_value, r.child_rows, r.db_user) for r in got if r.inst_id == 1)
     assert first == [(1, 10, 2, 100, 0, "ANNA"), (2, 11, 3, 60, 0, "(2)")]
     assert [(r["rank"], r.session_id) for r in sorted(got, key=lambda r: r["rank"]) if r.inst_id == 2] == [(i + 1, 6 - i) for i in range(5)]
-    both = peak_two_level(_peak_samples(spark, rows), users, min_value=60, k_inner=2, k_outer=3).collect()
+    both = peak_two_level(_peak_samples(spark, rows), users, procs, live, min_value=60, k_inner=2, k_outer=3).collect()
     assert sorted((r.session_id, r.sample_id) for r in both if r.inst_id == 1) == [(10, 1), (10, 2), (11, 3)]
 
 
@@ -96,16 +103,37 @@ def test_samples_in_range_and_enrichment(spark):
     assert {r.run_total_seconds for r in rows} == {120.0} and len({r.run_part_key for r in rows}) == 1
 
 
-def test_deadlock_report_keeps_unseen(spark):
+def _report_inputs(spark):
     fields = spark.createDataFrame(
         [("d1", 5, 1, 1, "00ab", "m", "a", "p"), ("d1", 6, 1, 1, "00CD", "m", "a", "p")],
-        "deadlock_id string, session_id int, session_serial int, inst_id int, blocking_xid string, module string, action string, program string")
+        "deadlock_id string, session_id int, session_serial int, inst_id int, blocking_xid string, app_name string, action string, os_program string")
     schema = "sample_id int, snap_id int, dbid int, session_id int, session_serial int, inst_id int, xid string, module string, action string, program string, blocking_session int, blocking_session_serial int, blocking_inst_id int, current_obj int, time_waited bigint"
     samples = spark.createDataFrame([
         (1, 1, 1, 5, 1, 1, "x", "seen", None, None, 9, 1, 1, 3, 2_000_000), (1, 1, 1, 9, 1, 1, "00AB", None, None, None, None, None, None, None, 0),
-        (2, 1, 1, 5, 1, 1, "x", "seen", None, None, 9, 1, 1, 3, 2_000_000)], schema)
-    snaps = spark.createDataFrame([(1, 1, 1)], "snap_id int, dbid int, instance_number int")
+        (2, 1, 1, 5, 1, 1, "x", "seen", None, None, 9, 1, 1, 3, 2_000_000), (1, 1, 1, 8, 1, 1, "y", "not logged", None, None, 9, 1, 1, 3, 1)], schema)
+    samples = samples.withColumns({
+        "plsql_entry_object_id": F.lit(4), "plsql_entry_subprogram_id": F.lit(5), "plsql_object_id": F.lit(None).cast("int"), "plsql_subprogram_id": F.lit(5),
+        "sample_time": F.expr("timestampadd(MINUTE, sample_id, timestamp_ntz'2024-01-01')")})
+    snaps = spark.createDataFrame([(1, 1, 1)], "snap_id int, dbid int, instance_number int").withColumn("end_interval_time", F.expr("timestamp_ntz'2024-01-02'"))
     objects = spark.createDataFrame([(3, "O", "T", "TABLE")], "object_id int, owner string, object_name string, object_type string")
-    got = deadlock_report(fields, samples, snaps, objects).collect()
-    assert sorted((r.session_id, r.sample_id, r.module, r.action, r.blocking_xid, r.curr_obj_name, r.time_waited_s) for r in got) == [
-        (5, 1, "seen", "a", "00AB", "T", 2.0), (6, None, "m", "a", "00CD", None, None)]
+    procs = spark.createDataFrame([(4, 5, "P", "Q", "R", "2")], "object_id int, subprogram_id int, owner string, object_name string, procedure_name string, overload string")
+    return fields, samples, snaps, objects, procs
+
+
+def test_deadlock_report_keeps_unseen(spark):
+    got = deadlock_report(*_report_inputs(spark)).collect()
+    assert sorted((r.session_id, r.sample_id, r.module, r.action, r.program, r.blocking_xid, r.curr_obj_name, r.time_waited_s) for r in got) == [
+        (5, 1, "seen", "a", "p", "00AB", "T", 2.0), (6, None, "m", "a", "p", "00CD", None, None)]
+    assert [(r.plentry_object, r.plentry_procedure, r.plentry_overload, r.plsql_object) for r in got if r.session_id == 5] == [("Q", "R", "2", None)]
+    for since, seen in ((datetime(2024, 1, 1, 0, 1), 1), (datetime(2024, 1, 1, 0, 2), None), (datetime(2024, 1, 3), None)):
+        got = deadlock_report(*_report_inputs(spark), since=since).collect()
+        assert len(got) == 2 and {r.session_id: r.sample_id for r in got}[5] == seen
+
+
+def test_deadlock_report_scans_only_logged_sessions(spark, tmp_path):
+    fields, samples, *dims = _report_inputs(spark)
+    samples.write.parquet(str(tmp_path / "samples"))
+    report = deadlock_report(fields, spark.read.parquet(str(tmp_path / "samples")), *dims)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    above = [[x.strip(" :+-") for x in plan.split("\n")[:i]] for i, line in enumerate(plan.split("\n")) if "Relation [sample_id" in line and "parquet" in line]
+    assert above and all(any("LeftSemi" in x for x in lines) for lines in above)

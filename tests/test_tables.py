@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.patterns import SectionKind, key_value, section_heads, sections
 from tidewatch.session import staged, work_folder
-from tidewatch.sources import tables
+from tidewatch.sources import readers, tables
 from tidewatch.sources.readers import read_log_lines
 
 
@@ -107,3 +107,64 @@ def test_store_replaced_by_nothing_and_post_time(spark, tmp_path):
     assert got == {"a": (1, None, True, False), None: (2, 5, True, True), "b": (None, 6, True, True)}
     store.save_pre(1, rows.limit(0))
     assert {r.run_id for r in store.read().collect()} == {2}
+
+
+def test_ordered_text_round_trip(spark, tmp_path):
+    rows = [(i * 7 % 3000, f"line {i * 7 % 3000}") for i in range(3000)] + [(3000, None), (3001, ""), (3002, "é: x")]
+    df = spark.createDataFrame(rows, "n int, t string").repartition(5)
+    tables.write_ordered_text(df, ["n"], "t", str(tmp_path / "a"), tasks=6)
+    assert len([f for f in os.listdir(tmp_path / "a") if f.startswith("part-")]) > 1
+    want = [f"line {i}" for i in range(3000)] + ["", "", "é: x"]
+    got = readers.read_ordered_text(spark, str(tmp_path / "a")).orderBy("line_number").collect()
+    assert [(r.line_number, r.line) for r in got] == list(enumerate(want, 1))
+    tables.write_ordered_text(df, ["-n"], "t", str(tmp_path / "b"))
+    assert [r.line for r in readers.read_ordered_text(spark, str(tmp_path / "b")).orderBy("line_number").collect()] == want[::-1]
+    tables.write_ordered_text(df.limit(0), ["n"], "t", str(tmp_path / "c"))
+    assert spark.read.text(str(tmp_path / "c")).count() == 0
+
+
+def test_header_state_across_blocks_and_parts(spark, tmp_path):
+    """Header lines hold over file blocks and over the files of one log, and never over logs."""
+    pattern = r"^\*\*\* BY:\((\w*)\)"
+    lines = {"x": [], "y": []}
+    for log, rows in lines.items():
+        for i in range(400):
+            rows.append(f"*** BY:({'' if i == 350 else log + str(i)})" if i % 50 == 25 and i != 125 else f"{log} line {i} " + "z" * 30)
+    for log, rows in lines.items():
+        os.makedirs(tmp_path / "files", exist_ok=True)
+        (tmp_path / "files" / f"{log}.trc").write_text("\n".join(rows) + "\n")
+        os.makedirs(tmp_path / "parts" / f"log={log}")
+        for n in range(4):
+            (tmp_path / "parts" / f"log={log}" / f"part-{n:05d}.txt").write_text("\n".join(rows[n * 100 : n * 100 + 100]) + "\n")
+    (tmp_path / "files" / "empty.trc").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        for folder, parts in (("files", False), ("parts", True)):
+            got = readers.read_log_lines(spark, str(tmp_path / folder), {"by": pattern}, parts)
+            assert got.rdd.getNumPartitions() > 0
+            found = sorted((r.trace_filename.removesuffix(".trc"), r.line_number, r.payload, r.by) for r in got.collect())
+            want = []
+            for log, rows in lines.items():
+                by = None
+                for n, text in enumerate(rows, 1):
+                    by = text[8:-1] if text.startswith("***") else by
+                    want.append((log, n, text, by))
+            assert found == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_read_traces(spark, tmp_path):
+    from datetime import datetime
+
+    from tidewatch.operators.deadlocks import read_traces
+
+    text = ["before", "*** 2024-01-01T10:00:00.5+01:00 (DB(1))", "*** SESSION ID:(12.34) 2024-01-01", "*** CONTAINER ID:(3) x", "*** FUNCTION:(kjddpgt)", "a",
+            "*** 2024-01-02 00:00:00", "b"]
+    (tmp_path / "one.trc").write_text("\n".join(text))
+    got = read_traces(spark, str(tmp_path)).orderBy("line_number").collect()
+    assert [(r.payload, r.session_id, r.serial, r.con_uid, r.function_name) for r in got][-3:] == [(p, 12, 34, 3, "kjddpgt") for p in text[-3:]]
+    assert got[0].line_time is None and got[1].line_time == datetime(2024, 1, 1, 10, 0, 0, 500000)
+    late = read_traces(spark, str(tmp_path), since=datetime(2024, 1, 2)).collect()
+    assert sorted(r.line_number for r in late) == [7, 8]

@@ -18,6 +18,9 @@ SESSION_KEYS = (
     "top_level_sql_id", "plsql_entry_object_id", "con_dbid", "con_id",
 )
 
+# Fixed value: stands for the user of a session that is no longer there.
+NO_SESSION = "(no v$session)"
+
 
 def procedure_name(owner: Column, object_name: Column, procedure: Column) -> Column:
     """``owner.object[.procedure]``, null when there is no owner."""
@@ -25,7 +28,7 @@ def procedure_name(owner: Column, object_name: Column, procedure: Column) -> Col
     return unless_null(owner, text_concat(owner, ".", object_name, tail))
 
 
-def _with_procedure(df: DataFrame, procedures: DataFrame, role: str, prefix: str) -> DataFrame:
+def _with_procedure(df: DataFrame, procedures: DataFrame, role: str, prefix: str, overload: bool = False) -> DataFrame:
     """Left join of the procedure dimension on (object_id, subprogram_id)."""
     dim = procedures.select(
         F.col("object_id").alias(f"{role}_object_id"),
@@ -33,10 +36,21 @@ def _with_procedure(df: DataFrame, procedures: DataFrame, role: str, prefix: str
         F.col("owner").alias(f"{prefix}_owner"),
         F.col("object_name").alias(f"{prefix}_object"),
         F.col("procedure_name").alias(f"{prefix}_procedure"),
+        *[F.col("overload").alias(f"{prefix}_overload")] * overload,
     )
     return df.join(dim, [f"{role}_object_id", f"{role}_subprogram_id"], "left")
 
 
+def _with_calls(df: DataFrame, procedures: DataFrame) -> DataFrame:
+    """Adds the names of the entry procedure and of the procedure called (``plsql_entry_call``, ``plsql_call``)."""
+    named = _with_procedure(_with_procedure(df, procedures, "plsql_entry", "_pe"), procedures, "plsql", "_po")
+    calls = {
+        out: procedure_name(F.col(f"{p}_owner"), F.col(f"{p}_object"), F.col(f"{p}_procedure"))
+        for out, p in (("plsql_entry_call", "_pe"), ("plsql_call", "_po"))
+    }
+    return named.withColumns(calls).drop(*[f"{p}_{c}" for p in ("_pe", "_po") for c in ("owner", "object", "procedure")])
+
+
 def samples_in_range(
     samples: DataFrame, snapshots: DataFrame, time_from: datetime, time_to: datetime, snap_from: int, snap_to: int
 ) -> DataFrame:
@@ -104,6 +118,8 @@ def blocked_latest(samples: DataFrame, waiting: Column, blocked: Column, tie: st
 def peak_two_level(
     samples: DataFrame,
     users: DataFrame,
+    procedures: DataFrame,
+    sessions: DataFrame,
     value: str = "temp_space_allocated",
     min_value: float = 2 * 1024 * 1048576,
     k_inner: int = 1,
@@ -111,7 +127,9 @@ def peak_two_level(
 ) -> DataFrame:
     """Sessions with the highest peak per instance, parallel children added to their parent.
 
-    Ties go to the later sample, then to the lower session.
+    Ties go to the later sample, then to the lower session. The few rows that remain get the
+    peak in gigabytes, the user's name (or its number in brackets), the names of both procedures,
+    and the operating-system user of the session, if ``sessions`` still has it.
     """
     child_keys = {"qc_instance_id": "inst_id", "qc_session_id": "session_id", "qc_session_serial": "session_serial"}
     children = (
@@ -139,8 +157,14 @@ def peak_two_level(
     top = peaks.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k_outer)
     top = top.withColumn("rank", F.col("rank").cast("bigint"))
     named = top.join(users.select("user_id", "username"), "user_id", "left")
-    db_user = F.coalesce(F.col("username"), text_concat("(", F.col("user_id"), ")"))
-    return named.withColumn("db_user", db_user).drop("username")
+    named = _with_calls(named, procedures)
+    live = sessions.select(*session, F.col("os_user").alias("_os_user"), F.lit(True).alias("_live"))
+    named = named.join(live, session, "left")
+    return named.withColumns({
+        "db_user": F.coalesce(F.col("username"), text_concat("(", F.col("user_id"), ")")),
+        "os_user": F.when(F.col("_live"), F.col("_os_user")).otherwise(NO_SESSION),
+        "peak_gb": F.col("peak_value") / 1_048_576 / 1024,
+    }).drop("username", "_os_user", "_live")
 
 
 def usage_pivot_topk(
@@ -181,43 +205,41 @@ def usage_pivot_topk(
     top = keyed.orderBy(
         F.desc_nulls_last("temp_total_gb"), "inst_id", "session_serial", "saddr", "tablespace", "contents"
     ).limit(k)
-    named = _with_procedure(_with_procedure(top, procedures, "plsql_entry", "_pe"), procedures, "plsql", "_po")
-    calls = {
-        out: procedure_name(F.col(f"{p}_owner"), F.col(f"{p}_object"), F.col(f"{p}_procedure"))
-        for out, p in (("plsql_entry_call", "_pe"), ("plsql_call", "_po"))
-    }
-    helpers = [f"{p}_{c}" for p in ("_pe", "_po") for c in ("owner", "object", "procedure")]
-    return named.withColumns(calls).drop(*helpers)
+    return _with_calls(top, procedures)
 
 
 def deadlock_report(
-    fields: DataFrame, samples: DataFrame, snapshots: DataFrame, objects: DataFrame, since: datetime | None = None
+    fields: DataFrame, samples: DataFrame, snapshots: DataFrame, objects: DataFrame, procedures: DataFrame, since: datetime | None = None
 ) -> DataFrame:
-    """Deadlocked sessions from the log, with the blocked samples seen for them.
+    """Deadlocked sessions from the log (``deadlock_sessions``), with the blocked samples seen for them.
 
     Samples are joined to their snapshot and to the blocker's sample of the same moment; a
-    deadlock without such a sample keeps its row.
+    deadlock without such a sample keeps its row. ``app_name`` and ``os_program`` of the log stand
+    in for a missing ``module`` and ``program``. Object and both procedures are named.
+
+    The few logged sessions come first: samples of other sessions go before any join, and of the
+    remaining ones only the blockers' samples are looked for.
     """
+    session = ["session_id", "session_serial", "inst_id"]
     recent = samples if since is None else samples.where(F.col("sample_time") >= moment(samples, "sample_time", since))
+    recent = recent.join(fields.select(*session).distinct(), session, "left_semi")
     snaps = snapshots if since is None else snapshots.where(
         F.col("end_interval_time") >= moment(snapshots, "end_interval_time", since)
     )
     keys = ["snap_id", "dbid", "inst_id"]
     known = snaps.withColumnRenamed("instance_number", "inst_id").select(*keys).distinct()
+    recent = recent.join(known, keys, "left_semi")
+    blocker_keys = ["sample_id", "snap_id", "dbid", "blocking_session", "blocking_session_serial", "blocking_inst_id"]
     blocker = samples.select(
-        "sample_id", "snap_id", "dbid",
-        F.col("session_id").alias("blocking_session"),
-        F.col("session_serial").alias("blocking_session_serial"),
-        F.col("inst_id").alias("blocking_inst_id"),
+        "sample_id", "snap_id", "dbid", *[F.col(c).alias(b) for c, b in zip(session, blocker_keys[3:])],
         F.col("xid").alias("_blocking_xid"),
     )
-    blocker_keys = ["sample_id", "snap_id", "dbid", "blocking_session", "blocking_session_serial", "blocking_inst_id"]
-    seen = recent.join(known, keys, "left_semi").join(blocker, blocker_keys)
-    session = ["session_id", "session_serial", "inst_id"]
+    blocker = blocker.join(recent.select(*blocker_keys[3:]).distinct(), blocker_keys[3:], "left_semi")
+    seen = recent.join(blocker, blocker_keys)
     # The transaction id is compared in any letter case.
     seen = seen.withColumn("_xid_key", F.upper("_blocking_xid"))
     logged = fields.withColumn("_xid_key", F.upper("blocking_xid")).withColumnsRenamed(
-        {c: f"_log_{c}" for c in ("module", "action", "program")}
+        {"app_name": "_log_module", "action": "_log_action", "os_program": "_log_program"}
     )
     out = logged.join(seen, [*session, "_xid_key"], "left")
     object_dim = objects.select(
@@ -225,6 +247,7 @@ def deadlock_report(
         F.col("object_name").alias("curr_obj_name"), F.col("object_type").alias("curr_obj_type"),
     )
     out = out.join(object_dim, "current_obj", "left")
+    out = _with_procedure(_with_procedure(out, procedures, "plsql_entry", "plentry", True), procedures, "plsql", "plsql", True)
     return out.withColumns(
         {
             "module": F.coalesce("module", "_log_module"),

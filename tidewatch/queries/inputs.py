@@ -107,6 +107,15 @@ def nation_procedures(nation: DataFrame) -> DataFrame:
         F.col("n_regionkey").alias("object_id"), F.col("n_nationkey").alias("subprogram_id"),
         F.lit("APP").alias("owner"), F.concat(F.lit("PKG_"), F.col("n_regionkey").cast("string")).alias("object_name"),
         F.when(F.col("n_nationkey") >= 10, F.col("n_name")).alias("procedure_name"),
+        F.when(F.col("n_nationkey") >= 15, (F.col("n_nationkey") % 3).cast("string")).alias("overload"),
+    )
+
+
+def customer_sessions(customer: DataFrame) -> DataFrame:
+    """Sessions still there: customers whose balance is not negative; some have no user name."""
+    return customer.where("c_acctbal >= 0").select(
+        F.col("c_nationkey").alias("inst_id"), F.col("c_custkey").alias("session_id"), F.lit(1).alias("session_serial"),
+        F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("os"), F.col("c_custkey").cast("string"))).alias("os_user"),
     )
 
 
@@ -123,6 +132,7 @@ DIMENSIONS = """users AS (
   SELECT p_partkey AS object_id, p_brand AS owner, p_name AS object_name, p_type AS object_type FROM part
 ), procedures AS (
   SELECT n_regionkey AS object_id, n_nationkey AS subprogram_id, 'APP' AS owner,
-    'PKG_' || n_regionkey AS object_name, CASE WHEN n_nationkey >= 10 THEN n_name END AS procedure_name
+    'PKG_' || n_regionkey AS object_name, CASE WHEN n_nationkey >= 10 THEN n_name END AS procedure_name,
+    CASE WHEN n_nationkey >= 15 THEN (n_nationkey % 3)::VARCHAR END AS overload
   FROM nation
 )"""

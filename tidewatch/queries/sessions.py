@@ -6,17 +6,19 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators.deadlocks import deadlock_sections, deadlock_sessions
-from tidewatch.operators.patterns import SectionKind, greedy_pack, ordered_fields, sections
+from tidewatch.operators.deadlocks import deadlock_sections, deadlock_sessions, read_traces
+from tidewatch.operators.patterns import SectionKind, greedy_pack, ordered_fields, pack_lists, sections
 from tidewatch.operators.runs import run_segments
 from tidewatch.operators.sessions import (
     blocked_latest, deadlock_report, enrich_runs, peak_two_level, samples_in_range, usage_pivot_topk,
 )
 from tidewatch.queries.inputs import (
-    DIMENSIONS, EVENT_SAMPLES, customer_users, event_samples, event_snapshots, hour_number, inst_of, money,
+    DIMENSIONS, EVENT_SAMPLES, customer_sessions, customer_users, event_samples, event_snapshots, hour_number, inst_of, money,
     nation_procedures, part_objects,
 )
 from tidewatch.queries.registry import Tables, query
+from tidewatch.session import work_folder
+from tidewatch.sources.tables import write_ordered_text
 
 FOREVER = datetime(2000, 1, 1), datetime(2100, 1, 1)
 
@@ -190,13 +192,22 @@ WITH children AS (
   SELECT *, row_number() OVER (PARTITION BY inst_id ORDER BY peak_value DESC, sample_id DESC, session_id) AS rank FROM peaks WHERE r = 1
 )
 SELECT inst_id, session_id, sample_id, peak_value::DOUBLE AS peak_value, child_rows, rank,
-  CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_name ELSE '(' || session_id || ')' END AS db_user
-FROM ranked JOIN customer ON c_custkey = session_id WHERE rank <= 5""")
+  CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_name ELSE '(' || session_id || ')' END AS db_user,
+  CASE WHEN c_acctbal >= 0 THEN CASE WHEN session_id % 7 <> 0 THEN 'os' || session_id END ELSE '(no v$session)' END AS os_user,
+  round(peak_value::DOUBLE / 1073741824, 9) AS peak_gb,
+  CASE WHEN n.n_name IS NOT NULL THEN 'APP.PKG_' || n.n_regionkey || CASE WHEN n.n_nationkey >= 10 THEN '.' || n.n_name ELSE '' END END AS plsql_entry_call,
+  CASE WHEN m.n_name IS NOT NULL THEN 'APP.PKG_' || m.n_regionkey || CASE WHEN m.n_nationkey >= 10 THEN '.' || m.n_name ELSE '' END END AS plsql_call
+FROM ranked JOIN customer ON c_custkey = session_id
+  LEFT JOIN nation n ON n.n_nationkey = inst_id AND n.n_regionkey = inst_id % 5
+  LEFT JOIN nation m ON m.n_nationkey = inst_id AND m.n_regionkey = sample_id % 5
+WHERE rank <= 5""")
 def peak_two_level_query(t: Tables):
     parents = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
         F.col("o_orderkey").alias("sample_id"), F.col("c_nationkey").alias("inst_id"), F.col("o_custkey").alias("session_id"),
         F.lit(1).alias("session_serial"), F.col("o_custkey").alias("user_id"),
         money(F.col("o_totalprice")).alias("temp_space_allocated"),
+        (F.col("c_nationkey") % 5).alias("plsql_entry_object_id"), F.col("c_nationkey").alias("plsql_entry_subprogram_id"),
+        (F.col("o_orderkey") % 5).alias("plsql_object_id"), F.col("c_nationkey").alias("plsql_subprogram_id"),
     )
     # A child belongs to the session and instance of its order.
     owner = parents.select(
@@ -208,9 +219,11 @@ def peak_two_level_query(t: Tables):
         money(F.col("l_extendedprice")).alias("temp_space_allocated"),
     )
     samples = parents.unionByName(children, allowMissingColumns=True)
-    peaks = peak_two_level(samples, customer_users(t.customer), min_value=200_000)
+    peaks = peak_two_level(
+        samples, customer_users(t.customer), nation_procedures(t.nation), customer_sessions(t.customer), min_value=200_000)
     return peaks.select(
-        "inst_id", "session_id", "sample_id", F.col("peak_value").cast("double").alias("peak_value"), "child_rows", "rank", "db_user"
+        "inst_id", "session_id", "sample_id", F.col("peak_value").cast("double").alias("peak_value"), "child_rows", "rank", "db_user",
+        "os_user", F.round(F.col("peak_gb").cast("double"), 9).alias("peak_gb"), "plsql_entry_call", "plsql_call",
     )
 
 
@@ -270,6 +283,9 @@ def ordered_fields_query(t: Tables):
     return _ordered_fields(t).drop("inst_id")
 
 
+PROCEDURE_COLUMNS = [f"{role}_{c}" for role in ("plentry", "plsql") for c in ("owner", "object", "procedure", "overload")]
+
+
 @query("deadlock_report", f"""
 WITH RECURSIVE {ORDERED_FIELDS}, {EVENT_SAMPLES}, {DIMENSIONS}, seen AS (
   SELECT a.*, b.xid AS b_xid FROM event_samples a
@@ -281,22 +297,26 @@ WITH RECURSIVE {ORDERED_FIELDS}, {EVENT_SAMPLES}, {DIMENSIONS}, seen AS (
   FROM ordered_fields f JOIN event_samples v ON v.event_id = f.view_id
 )
 SELECT l.session_id, l.inst_id, l.match, s.event_id, s.sample_time, coalesce(s.module, l.module) AS module,
-  coalesce(s.b_xid, l.blocking_xid) AS blocking_xid, s.sql_id, owner AS curr_obj_owner, object_name AS curr_obj_name,
-  object_type AS curr_obj_type, round(s.time_waited / 1000000, 3) AS time_waited_s
+  coalesce(s.b_xid, l.blocking_xid) AS blocking_xid, s.sql_id, o.owner AS curr_obj_owner, o.object_name AS curr_obj_name,
+  object_type AS curr_obj_type, round(s.time_waited / 1000000, 3) AS time_waited_s,
+  pe.owner AS plentry_owner, pe.object_name AS plentry_object, pe.procedure_name AS plentry_procedure, pe.overload AS plentry_overload,
+  pp.owner AS plsql_owner, pp.object_name AS plsql_object, pp.procedure_name AS plsql_procedure, pp.overload AS plsql_overload
 FROM logged l LEFT JOIN seen s ON s.session_id = l.session_id AND s.inst_id = l.inst_id AND upper(s.b_xid) = upper(l.blocking_xid)
-  LEFT JOIN objects ON object_id = s.current_obj""")
+  LEFT JOIN objects o ON o.object_id = s.current_obj
+  LEFT JOIN procedures pe ON pe.object_id = s.plsql_entry_object_id AND pe.subprogram_id = s.plsql_entry_subprogram_id
+  LEFT JOIN procedures pp ON pp.object_id = s.plsql_object_id AND pp.subprogram_id = s.plsql_subprogram_id""")
 def deadlock_report_query(t: Tables):
     nothing = F.lit(None).cast("string")
     samples = event_samples(t.events).withColumns({"action": nothing, "program": nothing})
     logged = _ordered_fields(t).select(
         F.col("user_id").alias("session_id"), F.lit(1).alias("session_serial"), "inst_id", "match",
-        F.lit("app").alias("module"), F.lit("step").alias("action"), F.lit("client").alias("program"),
+        F.lit("app").alias("app_name"), F.lit("step").alias("action"), F.lit("client").alias("os_program"),
         F.when(F.col("match") > 2, "Purchase").otherwise("SIGNUP").alias("blocking_xid"),
     )
-    report = deadlock_report(logged, samples, event_snapshots(samples), part_objects(t.part))
+    report = deadlock_report(logged, samples, event_snapshots(samples), part_objects(t.part), nation_procedures(t.nation))
     return report.select(
         "session_id", "inst_id", "match", "event_id", "sample_time", "module", "blocking_xid", "sql_id",
-        "curr_obj_owner", "curr_obj_name", "curr_obj_type", "time_waited_s",
+        "curr_obj_owner", "curr_obj_name", "curr_obj_type", "time_waited_s", *PROCEDURE_COLUMNS,
     )
 
 
@@ -348,6 +368,77 @@ def deadlock_sessions_query(t: Tables):
     return deadlock_sessions(deadlock_sections(order_trace(t)), short_app=r"^(Desktop\s+Client).*$", short_action=r"^(.*?\.thread \d+/\d+).*$")
 
 
+CHAIN_SINCE = datetime(1996, 7, 1)
+REPORT_SINCE = datetime(2024, 1, 10)
+
+
+@query("deadlock_chain", f"""
+WITH {EVENT_SAMPLES}, {DIMENSIONS}, logged AS (
+  SELECT '1_' || o_orderkey || '_2' AS deadlock_id, o_custkey AS session_id, 1::BIGINT AS session_serial, 1 + o_orderkey % 2 AS inst_id,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'SignUp' WHEN o_orderkey % 3 = 1 THEN 'PURCHASE'
+      ELSE lpad(lower(to_hex(o_custkey)), 8, '0') || lpad('1' || lower(to_hex(o_orderkey)), 8, '0') END AS blocking_xid,
+    'KJUSEREX' AS lock_level, 'job' || o_custkey || '.thread 1/2' AS action
+  FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '{CHAIN_SINCE}'
+), snaps AS (SELECT snap_id, dbid, inst_id, max(sample_time) AS ended FROM event_samples GROUP BY ALL
+), seen AS (
+  SELECT a.*, b.xid AS b_xid FROM event_samples a JOIN snaps s USING (snap_id, dbid, inst_id)
+  JOIN event_samples b ON b.sample_id = a.sample_id AND b.snap_id = a.snap_id AND b.dbid = a.dbid
+    AND b.session_id = a.blocking_session AND b.session_serial = a.blocking_session_serial AND b.inst_id = a.blocking_inst_id
+  WHERE a.sample_time >= TIMESTAMP '{REPORT_SINCE}' AND s.ended >= TIMESTAMP '{REPORT_SINCE}'
+)
+SELECT l.deadlock_id, l.session_id, l.inst_id, l.lock_level, l.action, s.event_id, s.sample_time, coalesce(s.module, 'Desktop  Client') AS module,
+  'prog' AS program, coalesce(s.b_xid, l.blocking_xid) AS blocking_xid, o.object_name AS curr_obj_name,
+  pe.object_name AS plentry_object, pp.procedure_name AS plsql_procedure, pp.overload AS plsql_overload
+FROM logged l LEFT JOIN seen s ON s.session_id = l.session_id AND s.session_serial = l.session_serial AND s.inst_id = l.inst_id
+    AND upper(s.b_xid) = upper(l.blocking_xid)
+  LEFT JOIN objects o ON o.object_id = s.current_obj
+  LEFT JOIN procedures pe ON pe.object_id = s.plsql_entry_object_id AND pe.subprogram_id = s.plsql_entry_subprogram_id
+  LEFT JOIN procedures pp ON pp.object_id = s.plsql_object_id AND pp.subprogram_id = s.plsql_subprogram_id""")
+def deadlock_chain_query(t: Tables):
+    """From trace files to the report: traces written in order, read with their header state, searched, joined to samples."""
+    folder = work_folder(t.spark, "traces")
+    write_ordered_text(trace_lines(t), ["line_number"], "payload", folder, partition="trace_filename")
+    lines = read_traces(t.spark, folder, since=CHAIN_SINCE, parts=True)
+    logged = deadlock_sessions(
+        deadlock_sections(lines), short_app=r"^(Desktop\s+Client).*$", short_action=r"^(.*?\.thread \d+/\d+).*$")
+    nothing = F.lit(None).cast("string")
+    samples = event_samples(t.events).withColumns({"action": nothing, "program": nothing})
+    report = deadlock_report(
+        logged, samples, event_snapshots(samples), part_objects(t.part), nation_procedures(t.nation), since=REPORT_SINCE)
+    return report.select(
+        "deadlock_id", "session_id", "inst_id", "lock_level", "action", "event_id", "sample_time", "module", "program", "blocking_xid",
+        "curr_obj_name", "plentry_object", "plsql_procedure", "plsql_overload")
+
+
+def trace_lines(t: Tables):
+    """Orders as the text of trace files: header lines that say when, whose and what, then the graph or dump."""
+    o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    finished = F.col("o_orderstatus") == "F"
+    time = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    headers = [
+        F.concat(F.lit("*** "), time, F.lit(".000000+00:00 (DB(1))")), F.concat(F.lit("*** SESSION ID:("), (F.col("o_custkey") % 10).cast("string"), F.lit(".77) "), time),
+        F.concat(F.lit("*** FUNCTION:("), F.when(finished, "kjddgblkerdmp").otherwise("kjddpgt"), F.lit(")")),
+    ]
+    resource = F.when(F.col("o_orderkey") % 3 == 0, "SignUp").when(F.col("o_orderkey") % 3 == 1, "PURCHASE").otherwise(
+        F.concat(F.lit("TX 0x"), F.lower(F.hex("o_custkey")), F.lit(".0x1"), F.lower(F.hex("o_orderkey")), F.lit("(ext)")))
+    graph = [
+        F.concat(F.lit("Global Wait-For-Graph(WFG) for GES Deadlock ID=[1_"), o, F.lit("_2]")), F.lit("-----"),
+        F.lit("user session identified by:"), F.lit("{"), F.lit("  OS Program Name : prog"), F.lit("  Application Name : Desktop  Client 7"),
+        F.concat(F.lit("  Action Name : job"), c, F.lit(".thread 1/2 of x")), F.lit("  Current SQL: select a:b"),
+        F.concat(F.lit("  Session Number : "), c), F.lit("  Session Serial Number : 1"),
+        F.concat(F.lit("  Instance : "), (1 + F.col("o_orderkey") % 2).cast("string")), F.lit("}"),
+        F.lit("waiting for the lock (Transaction):"), F.lit("{"),
+        F.when(F.col("o_orderstatus") == "P", "  no level").otherwise("  Lock Level : KJUSEREX"),
+        F.concat(F.lit("  Resource Name : "), resource), F.concat(F.lit("  GES Transaction ID : G"), o), F.lit("}"),
+        F.lit("-----"), F.lit("End of Global WFG for GES Deadlock"),
+    ]
+    dump = [F.lit("Global blockers dump start:---"), F.concat(F.lit("User : "), c), F.lit("Global blockers dump end:---")]
+    lines = t.orders.repartition("o_orderkey").select(
+        F.regexp_replace("o_orderpriority", r"\W+", "_").alias("trace_filename"), "o_orderkey",
+        F.posexplode(F.concat(F.array(*headers), F.when(finished, F.array(*dump)).otherwise(F.array(*graph)))).alias("line", "payload"))
+    return lines.select("trace_filename", (F.col("o_orderkey") * 30 + F.col("line")).alias("line_number"), "payload")
+
+
 @query("greedy_pack", """
 WITH RECURSIVE n AS (
   SELECT p_brand, p_partkey, length(p_name) + 4 AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part
@@ -362,3 +453,20 @@ SELECT p_brand, p_partkey, pack::BIGINT AS pack FROM walk""")
 def greedy_pack_query(t: Tables):
     packed = greedy_pack(t.part.select("p_brand", "p_partkey", "p_name"), ["p_brand"], ["p_partkey"], "p_name", limit=200)
     return packed.drop("p_name")
+
+
+@query("pack_lists", """
+WITH RECURSIVE n AS (
+  SELECT p_brand, p_partkey, p_name, length(p_name) + 4 AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part
+), walk AS (
+  SELECT p_brand, p_partkey, p_name, rn, 502 AS used, 1 AS pack FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.p_brand, n.p_partkey, n.p_name, n.rn, CASE WHEN used + w <= 502 THEN used + w ELSE least(w, 502) END,
+    pack + (used + w > 502)::INT
+  FROM walk JOIN n ON n.p_brand = walk.p_brand AND n.rn = walk.rn + 1
+)
+SELECT p_brand, pack::BIGINT AS pack, string_agg('"' || p_name || '"', ', ' ORDER BY p_partkey) AS part_list, count(*) AS parts
+FROM walk GROUP BY p_brand, pack""")
+def pack_lists_query(t: Tables):
+    packed = greedy_pack(t.part.select("p_brand", "p_partkey", "p_name"), ["p_brand"], ["p_partkey"], "p_name", limit=500)
+    return pack_lists(packed, ["p_brand"], ["p_partkey"], "p_name")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Mapping
 
-from tidewatch.operators.ordered import number_rows
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,18 +13,52 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text log lines as (trace_filename, line_number, payload), numbered from 1 per file.
+def read_log_lines(spark: SparkSession, path: str, headers: Mapping[str, str] | None = None, parts: bool = False) -> DataFrame:
+    """Text log lines as (trace_filename, line_number, payload) and one column per header, numbered from 1 per log.
+
+    ``headers`` maps a column to a pattern with one group. A line that matches sets the column,
+    for itself and the lines after it in the same log, until another line sets it anew; lines
+    before the first have null, and a group that matches nothing sets the empty text.
+
+    A log is a file, told from others by its whole path. With ``parts`` it is a folder, whose files
+    in the order of their names (shorter names first) make up the log, as ``write_ordered_text``
+    leaves them; its name is then the folder's, without the ``column=`` that partitions have.
 
-    Files are told apart by their whole path, so files of one name in several folders are
-    numbered each on its own. A large file is read by many tasks. A line is placed by the start of the file block it
-    came from and by its position in that block, and then numbered along that order.
+    A large file is read by many tasks, block by block. Numbers and header state are worked out
+    inside a block; one summary per block (its number of lines and last value of each header) carries
+    them on to the blocks after it, so no task ever holds a whole file.
     """
+    headers = dict(headers or {})
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("payload"),
     )
-    numbered = number_rows(lines, ["_path"], ["_block", "_row"], "line_number")
-    return numbered.select(F.element_at(F.split("_path", "/"), -1).alias("trace_filename"), "line_number", "payload")
+    log = F.regexp_replace("_path", "/[^/]*$", "") if parts else F.col("_path")
+    lines = lines.withColumn("_log", log).withColumns({
+        f"_{name}": F.when(F.col("payload").rlike(pattern), F.regexp_extract("payload", pattern, 1)) for name, pattern in headers.items()})
+    block = ["_log", "_path", "_block"]
+    own = Window.partitionBy(*block).orderBy("_row")
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.withColumns({
+        "_line": F.row_number().over(own), **{name: F.last(f"_{name}", ignorenulls=True).over(upto) for name in headers}})
+
+    summaries = lines.groupBy(*block).agg(
+        F.count(F.lit(1)).alias("_lines"),
+        *[F.max_by(f"_{name}", F.when(F.col(f"_{name}").isNotNull(), F.col("_row"))).alias(f"_{name}") for name in headers])
+    earlier = Window.partitionBy("_log").orderBy(F.length("_path"), "_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    summaries = summaries.select(
+        *block, F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"),
+        *[F.last(f"_{name}", ignorenulls=True).over(earlier).alias(f"_from_{name}") for name in headers])
+    placed = rows.join(summaries, block)
+    name = F.regexp_replace(F.element_at(F.split("_log", "/"), -1), "^[^=]*=", "") if parts else F.element_at(F.split("_log", "/"), -1)
+    return placed.select(
+        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("trace_filename") if parts else name.alias("trace_filename"),
+        (F.col("_before") + F.col("_line")).alias("line_number"), "payload",
+        *[F.coalesce(name, f"_from_{name}").alias(name) for name in headers])
+
+
+def read_ordered_text(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of ``write_ordered_text`` as (line_number, line), in their order from 1 on."""
+    return read_log_lines(spark, path, parts=True).select("line_number", F.col("payload").alias("line"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import not_true
 from tidewatch.operators.measure import merge_post
-from tidewatch.operators.ordered import match_by
+from tidewatch.operators.ordered import match_by, order_by
 from tidewatch.session import staged
 
 
@@ -95,6 +95,21 @@ def write_targets(tagged: DataFrame, path: str) -> None:
     tagged.write.partitionBy("target").parquet(path)
 
 
+def write_ordered_text(df: DataFrame, order: Sequence[str], text: str, path: str, partition: str | None = None, tasks: int | None = None) -> None:
+    """Write a text column as lines, so that the files in the order of their names hold the rows in order.
+
+    Rows are dealt out by ranges of the order and sorted inside each range, so many tasks write
+    and none sorts everything. With ``partition`` every value of that column has a folder of its
+    own. Ranges are cut by the partition and order alone, so the order should tell rows apart. A
+    null text is an empty line; a text that holds line feeds makes as many lines more.
+    """
+    columns = order_by([*([partition] if partition else []), *order])
+    ranged = df.repartitionByRange(tasks, *columns) if tasks else df.repartitionByRange(*columns)
+    lines = ranged.sortWithinPartitions(*columns).select(*([partition] if partition else []), F.col(text).cast("string").alias("value"))
+    writer = lines.write.partitionBy(partition) if partition else lines.write
+    writer.text(path)
+
+
 class MeasurementStore:
     """Pre and post values of benchmark runs: one Parquet table, partitioned by run."""
 
