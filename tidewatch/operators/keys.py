@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import not_true, null_if_blank
 from tidewatch.operators.ordered import match_by, number_rows
+from tidewatch.session import staged
 
 # A quoted identifier with an optional quoted table before it.
 QUOTED_IDENTIFIER = r'("[A-Z][A-Z0-9_$#]*"\.)?"[A-Z][A-Z0-9_$#]*"'
@@ -27,9 +28,13 @@ def uncovered_keys(
 ) -> DataFrame:
     """Reference constraints that no index covers, with the nearest candidates.
 
-    An index covers a key of n columns when every key column is among its first n. The
-    counts per constraint and per index are aggregates joined back, so no single task has to
-    hold a whole constraint.
+    An index covers a key of n columns when every key column is among its first n, which is when
+    the set of its first n columns is the key's set. So each index offers the sets of its
+    prefixes, and a key is looked up among those of its table: one equality, however many keys and
+    indexes a table has. Candidates, the indexes with one of the columns among their first n, are
+    listed for the uncovered keys only. The columns of one index are staged as one row.
+
+    A key with a null or missing column is covered by none. Columns of an index are distinct.
     """
     dropped = recycle_bin.where(F.col("type") == "TABLE").select("owner", F.col("object_name").alias("table_name"))
     wanted = constraints.where(F.col("constraint_type") == "R")
@@ -41,33 +46,43 @@ def uncovered_keys(
         constraint_columns.select("owner", "constraint_name", "column_name", F.col("position").alias("column_position")),
         ["owner", "constraint_name"],
     )
-    columns = columns.join(columns.groupBy(*key).agg(F.max("column_position").alias("key_columns")), key)
+    keyed = columns.groupBy(*key).agg(
+        F.max("column_position").alias("key_columns"), F.collect_list(F.struct("column_position", "column_name")).alias("_columns"))
     places = indexes.join(
         index_columns.select(F.col("index_owner").alias("owner"), "index_name", "column_name",
                              F.col("column_position").alias("index_position")),
         ["owner", "index_name"],
-    ).select("table_owner", "table_name", F.col("owner").alias("index_owner"), "index_name", "column_name", "index_position")
-    def matched(some: DataFrame, how: str) -> DataFrame:
-        return some.alias("c").join(
-            places.alias("i"),
-            (F.col("c.owner") == F.col("i.table_owner"))
-            & (F.col("c.table_name") == F.col("i.table_name"))
-            & (F.col("c.column_name") == F.col("i.column_name"))
-            & (F.col("i.index_position") <= F.col("c.key_columns")),
-            how,
-        ).select("c.*", "i.index_owner", "i.index_name")
-
-    covering = (
-        matched(columns, "inner")
-        .groupBy(*key, "index_owner", "index_name", "key_columns")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= F.col("key_columns"))
     )
-    # Candidates are listed for the uncovered keys only.
-    uncovered = columns.join(covering.select(*key).distinct(), key, "left_anti")
-    return matched(uncovered, "left").select(
-        *key, "column_position", "column_name",
-        F.col("index_owner").alias("nearest_index_owner"), F.col("index_name").alias("nearest_index_name"),
+    indexed = staged(
+        places.groupBy("table_owner", "table_name", F.col("owner").alias("index_owner"), "index_name").agg(
+            F.collect_list(F.struct("index_position", "column_name")).alias("_places")), "indexes")
+
+    def column_set(members: Column) -> Column:
+        names = F.transform(members, lambda m: m["column_name"])
+        return F.array_sort(F.array_distinct(F.filter(names, lambda n: n.isNotNull())))
+
+    first = F.transform("_places", lambda p: column_set(F.filter("_places", lambda q: q["index_position"] <= p["index_position"])))
+    prefixes = indexed.select("table_owner", F.col("table_name").alias("_table"), F.explode(first).alias("_prefix"))
+    looked_up = keyed.withColumn("_set", column_set(F.col("_columns")))
+    uncovered = looked_up.join(
+        prefixes,
+        (F.col("owner") == F.col("table_owner")) & (F.col("table_name") == F.col("_table")) & (F.col("_set") == F.col("_prefix"))
+        & (F.size("_set") == F.col("key_columns")),
+        "left_anti",
+    )
+    uncovered = uncovered.select(*key, "key_columns", F.inline("_columns"))
+    offered = indexed.select("table_owner", "table_name", "index_owner", "index_name", F.inline("_places"))
+    nearest = uncovered.alias("c").join(
+        offered.alias("i"),
+        (F.col("c.owner") == F.col("i.table_owner"))
+        & (F.col("c.table_name") == F.col("i.table_name"))
+        & (F.col("c.column_name") == F.col("i.column_name"))
+        & (F.col("i.index_position") <= F.col("c.key_columns")),
+        "left",
+    )
+    return nearest.select(
+        *[f"c.{k}" for k in key], "c.column_position", "c.column_name",
+        F.col("i.index_owner").alias("nearest_index_owner"), F.col("i.index_name").alias("nearest_index_name"),
         F.lit("N").alias("is_covering_index"),
     )
 
@@ -201,37 +216,31 @@ def usage_report(
 ) -> DataFrame:
     """How each object is used: by users or internally, first and last, how often, by what.
 
-    An object never used keeps one row, which counts 1. Uses are reduced to one row per
-    object, flags, statement and module before the distinct lists are built.
+    An object never used keeps one row, which counts 1. Plan lines and statistics meet many to
+    many, so both are counted first: lines per object and plan, statistics per plan, flags and
+    module. Only these counts meet, and are multiplied.
     """
     # Client tools whose statements are user queries; marks of statistics gathering.
     user_tools = ("SQL Developer", "sqldev.exe", "PL/SQL Developer", "plsqldev.exe")
     internal_marks = " dbms_stats ", "sys_op_countchg"
-    snap_keys = ["snap_id", "dbid", "instance_number"]
+    snap_keys, plan = ["snap_id", "dbid", "instance_number"], ["sql_id", "plan_hash_value"]
     internal = texts.where(
         F.col("sql_text").contains(internal_marks[0]) & F.lower("sql_text").contains(internal_marks[1])
     ).select("sql_id", F.lit("Y").alias("_internal")).distinct()
-    named = plan_lines.where(F.col("object_owner").isNotNull() & F.col("object_name").isNotNull()).select(
-        F.col("object_owner").alias("index_owner"), F.col("object_name").alias("index_name"), "sql_id", "plan_hash_value"
-    )
-    times = snapshots.select(*snap_keys, "begin_interval_time")
+    lines = plan_lines.where(F.col("object_owner").isNotNull() & F.col("object_name").isNotNull()).groupBy(
+        F.col("object_owner").alias("index_owner"), F.col("object_name").alias("index_name"), *plan
+    ).agg(F.count(F.lit(1)).alias("_lines"))
+
     by_user = F.when(F.col("module").isin(*user_tools) | F.col("parsing_schema_name").rlike(user_schema), "Y").otherwise("N")
-    uses = (
-        named.join(stats, ["sql_id", "plan_hash_value"]).join(times, snap_keys).join(internal, "sql_id", "left")
-        .withColumns(
-            {
-                "is_user_query": by_user,
-                "is_dbms_stats_query": F.coalesce("_internal", F.lit("N")),
-                "module": F.regexp_replace("module", r"APEX:APP\s+\d+:\d+", "APEX:APP ..."),
-            }
-        )
-    )
-    flags = ["is_user_query", "is_dbms_stats_query"]
-    fine = uses.groupBy("index_owner", "index_name", *flags, "sql_id", "module").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("begin_interval_time").alias("_first"), F.max("begin_interval_time").alias("_last")
-    )
-    used = fine.groupBy("index_owner", "index_name", *flags).agg(
-        F.sum("_rows").alias("rows"), F.min("_first").alias("first_use"), F.max("_last").alias("last_use"),
+    shown = F.regexp_replace("module", r"APEX:APP\s+\d+:\d+", "APEX:APP ...")
+    per_snapshot = stats.groupBy(*plan, *snap_keys, by_user.alias("is_user_query"), shown.alias("module")).agg(F.count(F.lit(1)).alias("_n"))
+    timed = per_snapshot.join(snapshots.select(*snap_keys, "begin_interval_time"), snap_keys)
+    counted = timed.groupBy(*plan, "is_user_query", "module").agg(
+        F.sum("_n").alias("_n"), F.min("begin_interval_time").alias("_first"), F.max("begin_interval_time").alias("_last"))
+    counted = counted.join(internal, "sql_id", "left").withColumn("is_dbms_stats_query", F.coalesce("_internal", F.lit("N"))).drop("_internal")
+
+    used = lines.join(counted, plan).groupBy("index_owner", "index_name", "is_user_query", "is_dbms_stats_query").agg(
+        F.sum(F.col("_lines") * F.col("_n")).alias("rows"), F.min("_first").alias("first_use"), F.max("_last").alias("last_use"),
         null_if_blank(F.array_join(F.array_sort(F.collect_set("sql_id")), ", ")).alias("sql_ids"),
         null_if_blank(F.array_join(F.array_sort(F.collect_set("module")), ", ")).alias("modules"),
     )
