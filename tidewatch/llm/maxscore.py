@@ -7,7 +7,8 @@ non-essential: only the essential postings are traversed, and the others are pro
 bound first, for the rows that can still compete. Shards are merged by a top-k per query.
 
 Queries are a stated set, dealt into blocks; every shard meets every block once. Shards and
-blocks have a bounded number of rows, whatever the table's size, and neither is broadcast.
+blocks have a bounded number of bytes, whatever the table's size, and neither is broadcast. Rows
+equal in id and vector are one row with a number of copies.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARD_ROWS = 8192
-BLOCK_QUERIES = 4096
+from tidewatch.session import shuffle_width
+
+#: Rows of a shard and queries of a block: as many as fill the bytes, fewer while there are not cells enough for all tasks.
+CELL_BYTES, LEAST_ROWS = 1 << 25, 4096
 SEED_ROWS = 256
 
 
@@ -33,14 +36,20 @@ def quantised(vector: str, scale: int = 256) -> Column:
 class Shard:
     """Posting columns of one shard, rows in the order of their ids."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.columns = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.ids, self.copies, self.columns = ids[order], copies[order], np.ascontiguousarray(vectors[order].T)
         self.low, self.high = self.columns.min(axis=1), self.columns.max(axis=1)
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows other than the query's own, ties to the smaller id."""
-        columns, mine = self.columns, self.ids != own
+    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, scores and copies of the k best rows, ties to the smaller id; one copy of the query itself is left out."""
+        columns, mine, copies = self.columns, np.ones(len(self.ids), dtype=bool), self.copies
+        same = np.arange(*np.searchsorted(self.ids, [own, own + 1]))
+        same = same[(columns[:, same] == query[:, None]).all(axis=0)]
+        if len(same):
+            copies = copies.copy()
+            copies[same] -= 1
+            mine = copies > 0
         bound = np.abs(query) * (self.high - self.low)
         least = np.minimum(query * self.low, query * self.high)  # each term's smallest share of a score
         seed = (query @ columns[:, :SEED_ROWS])[mine[:SEED_ROWS]]
@@ -65,7 +74,7 @@ class Shard:
                 going = score + rest + ahead[at + 1] >= threshold
                 rows, score = rows[going], score[going]
         best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[best]], score[best]
+        return self.ids[rows[best]], score[best], np.minimum(copies[rows[best]], k)
 
 
 def _matrix(column, width: int, dtype) -> np.ndarray:
@@ -79,7 +88,7 @@ def _matrix(column, width: int, dtype) -> np.ndarray:
 
 
 def _search_block(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    out = {"query_id": [], "vec_id": [], "score": []}
+    out = {"query_id": [], "number": [], "vec_id": [], "score": [], "copies": []}
     if len(rows) and len(queries):
         lengths = [pa.compute.max(pa.compute.list_value_length(t.column("terms"))).as_py() for t in (rows, queries)]
         width = max(1, *lengths)
@@ -87,12 +96,12 @@ def _search_block(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         reach = float(np.abs(vectors).max(initial=0)) * float(np.abs(wanted).max(initial=0)) * width
         if 4 * reach < 2**53:  # then floating point is exact, and faster
             vectors, wanted = vectors.astype(np.float64), wanted.astype(np.float64)
-        shard = Shard(rows.column("vec_id").to_numpy(), vectors)
-        for own, query in zip(queries.column("vec_id").to_numpy(), wanted):
-            ids, scores = shard.search(own, query, k)
-            out["query_id"].append(np.full(len(ids), own))
-            out["vec_id"].append(ids)
-            out["score"].append(scores.astype(np.int64))
+        shard = Shard(rows.column("vec_id").to_numpy(), vectors, rows.column("copies").to_numpy())
+        for own, number, query in zip(queries.column("vec_id").to_numpy(), queries.column("number").to_numpy(), wanted):
+            ids, scores, copies = shard.search(own, query, k)
+            found = (np.full(len(ids), own), np.full(len(ids), number), ids, scores.astype(np.int64), copies)
+            for values, column in zip(found, out.values()):
+                column.append(values)
     joined = {n: pa.array(np.concatenate(c) if c else np.empty(0), pa.int64()) for n, c in out.items()}
     return pa.table(joined)
 
@@ -100,26 +109,41 @@ def _search_block(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k highest inner products of every query row: (query_id, rank, vec_id, score).
 
-    ``is_query`` is a condition on ``vec_id``. Candidates are all rows but those of the query's
-    own id. A row with a null id, or a null vector or component, or a non-finite one, takes no
-    part; rows that repeat an id count once, with the least vector; a shorter vector counts as
-    filled up with zeros. Ties go to the smaller id; with fewer than k candidates all are given.
-    Scores are 64-bit integers and wrap around beyond that range.
+    ``is_query`` is a condition on ``vec_id``. Candidates are all rows but the query's own, rows of
+    its id among them. A row with a null id, or a null vector or component, or a non-finite one,
+    takes no part; a shorter vector counts as filled up with zeros. Repeated rows are candidates
+    each, and queries each: their results repeat. Ties go to the smaller id; with fewer than k
+    candidates all are given. Scores are 64-bit integers and wrap around beyond that range.
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), quantised(vector).alias("terms"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("terms").isNotNull()).groupBy("vec_id").agg(F.min("terms").alias("terms"))
-    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(is_query).alias("queries")).first()
-    shards, blocks = max(1, -(-sizes["rows"] // SHARD_ROWS)), max(1, -(-sizes["queries"] // BLOCK_QUERIES))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("terms").isNotNull())
+    rows = rows.groupBy("vec_id", "terms").agg(F.count(F.lit(1)).alias("copies"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(is_query).alias("queries"), F.max(F.size("terms")).alias("width")).first()
+    most = max(LEAST_ROWS, CELL_BYTES // (8 * max(1, sizes["width"] or 1)))
+    shards, blocks = (max(1, -(-sizes[n] // most)) for n in ("rows", "queries"))
+    while shards * blocks < shuffle_width(vectors.sparkSession) and sizes["rows"] > 2 * shards * LEAST_ROWS:
+        shards *= 2
 
     def dealt(frame, own, parts, other, copies):
-        """Each row in one of ``parts`` by its id, once for each of the ``copies`` of the other side."""
-        part = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(parts)).cast("int").alias(own)
-        return frame.select(part, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other), "vec_id", "terms")
+        """Each row in one of ``parts`` by its id and vector, once for each of the ``copies`` of the other side."""
+        part = F.pmod(F.xxhash64("vec_id", "terms", F.lit(own)), F.lit(parts)).cast("int").alias(own)
+        return frame.select(part, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other), "vec_id", "terms", "copies")
 
     data = dealt(rows, "shard", shards, "block", blocks).groupBy("shard", "block")
-    queries = dealt(rows.where(is_query), "block", blocks, "shard", shards).groupBy("shard", "block")
+    queries = dealt(rows.where(is_query), "block", blocks, "shard", shards).withColumn("number", F.xxhash64("terms")).groupBy("shard", "block")
     found = data.cogroup(queries).applyInArrow(
-        lambda left, right: _search_block(left, right, k), "query_id long, vec_id long, score long"
+        lambda left, right: _search_block(left, right, k), "query_id long, number long, vec_id long, score long, copies long"
     )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # The k best of all shards; a row's copies stand side by side, so those before it are counted.
+    order = Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id")
+    place = F.row_number().over(order)
+    best = found.withColumn("place", place).where(F.col("place") <= k)
+    before = F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    best = best.withColumn("before", before).where(F.col("before") < k)
+    ranks = F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("copies"), F.lit(k)))
+    best = best.select("query_id", "number", F.explode(ranks).alias("rank"), "vec_id", "score").withColumn("rank", F.col("rank").cast("int"))
+    again = rows.where(is_query & (F.col("copies") > 1)).select("vec_id", F.xxhash64("terms").alias("number"), "copies")
+    again = again.withColumnsRenamed({"vec_id": "query_id", "number": "same"})
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)))).alias("_")
+    repeated = best.join(again, (best["query_id"] == again["query_id"]) & (best["number"] == again["same"]), "left")
+    return repeated.select(best["query_id"], "rank", "vec_id", "score", times).drop("_")

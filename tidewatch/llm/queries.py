@@ -49,12 +49,12 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 TOP_SQL = """
 WITH v AS (
-  SELECT vec_id, min([floor(256 * x::DOUBLE) for x in embedding]) AS terms FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
+  SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS terms FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.terms, v.terms)::BIGINT AS score
-  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+  SELECT q.row, q.vec_id AS query_id, v.vec_id, list_inner_product(q.terms, v.terms)::BIGINT AS score
+  FROM v AS q JOIN v ON q.row <> v.row WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
