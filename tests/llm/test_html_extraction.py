@@ -26,6 +26,16 @@ PARAGRAPH = "A sentence with some length, a comma or two, and words that go on f
     (f"<div role=navigation>{PARAGRAPH}</div><div class='cookie-notice'>{PARAGRAPH}</div><div><p>a<b>b</b>c {PARAGRAPH} &#8212;&eacute;</p></div>",
      f"abc {PARAGRAPH} —é"),
     (f"<article class='comment'>{PARAGRAPH}</article><article><p>{PARAGRAPH}!</p></article>", f"{PARAGRAPH}!"),
+    (f"<div id=post><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div><p>Short, too.</p></div></div>", f"{PARAGRAPH}\n{PARAGRAPH}\nShort, too."),
+    (f"<body><section><p>{PARAGRAPH}</p></section><ul><li>one<li>two</ul><table><tr><td>3</table><section>last</section>bare</body>",
+     f"{PARAGRAPH}\none\ntwo\n3\nlast\nbare"),
+    (f"<body><div><p>{PARAGRAPH}</p></div><ul><li><a href=a>x</a><li><a href=b>y</a></ul></body>", PARAGRAPH),
+    (f"<body><form action=x><div><p>{PARAGRAPH}</p></div><input name=q><select><option>o</select></form></body>", PARAGRAPH),
+    (f"<body><form><p>Name</p></form><div><p>{PARAGRAPH}</p></div></body>", PARAGRAPH),
+    (f"<body><div class='copyright-law'><p>{PARAGRAPH}</p></div><div class=copyright>(c) 2020</div></body>", PARAGRAPH),
+    (f"<article><p>{PARAGRAPH} <label>kept</label> <math><mi>x</mi></math></p></article>", f"{PARAGRAPH} kept x"),
+    (f"<article><p>{PARAGRAPH}</p><div class='comments has-replies'><p>{PARAGRAPH}!</p></div><div id=reader-responses><p>no</p></div></article>", PARAGRAPH),
+    (f"<body><div class='with-comments'><p>{PARAGRAPH}</p></div></body>", PARAGRAPH),
     ("<p>a < b and <unclosed 'x", "a < b and"), ("<div><p>x</div></p></span>y", "x\ny"),
 ])
 def test_pages(page, want):

@@ -27,19 +27,22 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # Elements and attribute words of HTML and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe textarea title template svg math object canvas video audio".split())
+RAW = frozenset("script style noscript iframe textarea title template svg object canvas video audio".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NEVER = frozenset("nav footer aside form button select input menu dialog head label fieldset".split())
+NEVER = frozenset("nav footer aside form button select input menu dialog head fieldset".split())
+FORMS = frozenset("form fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr "
     "notice notices notification alert newsletter subscribe subscription signup popup modal overlay menu nav navbar navigation breadcrumb "
     "breadcrumbs sidebar widget widgets related recommended recommendations share sharing social footer header masthead topbar toolbar "
     "pagination pager login search skip disclaimer copyright paywall".split())
-COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond discussion".split())
+#: Of these, names that a text's own container may bear: not boilerplate if most of the page's prose is in it.
+WEAK_NAMES = frozenset("notice notices alert share sharing social promo promotion sponsor sponsored subscription notification copyright disclaimer login search skip".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond responses respondents reactions discussion".split())
 GOOD_NAMES = frozenset("article content main post entry story body text page".split())
 WITH_NAMES = frozenset("with has no without".split())
 #: Start tags that end an open element of the first kind, and the elements beyond which they do not look.
@@ -47,16 +50,17 @@ IMPLIED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("
            "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 ENDS_PARAGRAPH = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 SCOPE = frozenset("table td th body html article section div".split())
+PROSE = frozenset("p pre blockquote td th li dd dt h1 h2 h3 h4 h5 h6".split())
 LEAST_CHARS = 25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attributes", "chars", "linked", "points")
+    __slots__ = ("tag", "parent", "children", "attributes", "chars", "linked", "points", "prose")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list = []
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.prose = 0
         self.points = 0.0
 
 
@@ -127,23 +131,32 @@ def parse(page: str) -> Node:
     return root
 
 
-def _is_boilerplate(node: Node) -> bool:
-    tag = node.tag
-    if tag in NEVER or tag in RAW:
+def _names(values: dict[str, str]) -> set[str]:
+    """Words of the class and id names; one that says whether the page has something (``has-sidebar``) names nothing."""
+    found = set()
+    for name in (values.get("class", "") + " " + values.get("id", "")).split():
+        parts = [p.lower() for p in NAME_PART.findall(name)]
+        found.update(p for before, p in zip([""] + parts, parts) if before not in WITH_NAMES)
+    return found
+
+
+def _is_boilerplate(node: Node, prose: int) -> bool:
+    """``prose``: characters of the page's paragraphs; what holds more than half of them is judged more gently."""
+    tag, main = node.tag, 2 * node.prose > prose
+    if tag in RAW or (tag in NEVER and not (tag in FORMS and main)):
         return True
     if not node.attributes:
         return tag == "header" and not _within_article(node)
     values = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(node.attributes)}
-    if values.get("role", "").lower() in BAD_ROLES:
+    if values.get("role", "").lower() in BAD_ROLES and not (tag in FORMS and main):
         return True
-    names = {p.lower() for p in NAME_PART.findall(values.get("class", "") + " " + values.get("id", ""))}
     if tag in ("html", "body"):
         return False
-    if names & COMMENT_NAMES and not names & WITH_NAMES:
+    names = _names(values)
+    if names & COMMENT_NAMES or (tag == "header" and not _within_article(node)):
         return True
-    if tag == "header" and not _within_article(node):
-        return True
-    return bool(names & BAD_NAMES) and tag not in ("article", "main") and not names & (GOOD_NAMES | WITH_NAMES)
+    bad = names & BAD_NAMES - (WEAK_NAMES if main else frozenset())
+    return bool(bad) and tag not in ("article", "main") and not names & GOOD_NAMES
 
 
 def _within_article(node: Node) -> bool:
@@ -154,13 +167,30 @@ def _within_article(node: Node) -> bool:
     return False
 
 
+def _count_prose(root: Node) -> None:
+    """Sets the characters of paragraphs, quotes, cells, items and headings below each element."""
+    order, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        order.append(node)
+        waiting += [c for c in node.children if not isinstance(c, str)]
+    for node in reversed(order):
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str)) if node.tag not in RAW else 0
+        node.prose += own  # below a paragraph all text counts, elsewhere only what paragraphs gave
+        if node.parent is not None and (node.tag in PROSE or node.tag not in BLOCKS):
+            node.parent.prose += node.prose
+        elif node.parent is not None:
+            node.parent.prose += node.prose - own
+
+
 def _prune_and_order(root: Node) -> list[Node]:
     """Takes boilerplate out of the tree; the remaining elements, parents first."""
+    _count_prose(root)
     order, waiting = [], [root]
     while waiting:
         node = waiting.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not _is_boilerplate(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or not _is_boilerplate(c, root.prose)]
         waiting += [c for c in reversed(node.children) if not isinstance(c, str)]
     return order
 
@@ -195,8 +225,13 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _kept(root: Node, order: list[Node]) -> list[Node]:
-    """The best container and the siblings that go with it, in page order."""
+def _kept(root: Node, order: list[Node]) -> list:
+    """The best container and what goes with it, elements and bare text, in page order.
+
+    In an ``article`` or ``main`` element that is the element, and siblings that score well beside
+    it. Elsewhere nothing says where the article ends, so from the best container up to the page's
+    body everything beside it is kept but what consists mostly of links.
+    """
     best = max(order, key=lambda n: n.points)  # the first of equals
     if not best.points:
         named = [n for n in order if n.tag in ("article", "main")] or [n for n in order if n.tag == "body"] or [root]
@@ -204,19 +239,23 @@ def _kept(root: Node, order: list[Node]) -> list[Node]:
     node = best
     while node is not None and node.tag not in ("article", "main"):
         node = node.parent
-    best = node or best
-    if best.parent is None:
-        return [best]
-    least, kept = max(10.0, 0.2 * best.points), []
-    for sibling in best.parent.children:
-        if isinstance(sibling, str):
-            continue
-        short_text = sibling.tag in ("p", "pre", "blockquote") and _density(sibling) < 0.25 and (
-            sibling.chars > 80 or (sibling.chars and not sibling.linked))
-        title = sibling.tag in HEADINGS and _density(sibling) < 0.5
-        if sibling is best or sibling.points >= least or short_text or title:
-            kept.append(sibling)
-    return kept
+    if node is not None and node.parent is not None:
+        least, kept = 0.2 * node.points, []
+        for sibling in node.parent.children:
+            if isinstance(sibling, str):
+                continue
+            short_text = sibling.tag in ("p", "pre", "blockquote") and _density(sibling) < 0.25 and (
+                sibling.chars > 80 or (sibling.chars and not sibling.linked))
+            title = sibling.tag in HEADINGS and _density(sibling) < 0.5
+            if sibling is node or (sibling.points and sibling.points >= least) or short_text or title:
+                kept.append(sibling)
+        return kept
+    whole = best
+    while whole.parent is not None and whole.tag != "body":
+        above = whole.parent
+        above.children = [c for c in above.children if isinstance(c, str) or c is whole or _density(c) < 0.5]
+        whole = above
+    return [whole]
 
 
 def _blocks(node: Node) -> list[str]:
