@@ -17,7 +17,7 @@ def brute(docs, items):
         doc = words(t)
         for n, item in items:
             own, best = words(item), None
-            if len(own) < dec.SHORTEST:
+            if not own or (len(own) < dec.SHORTEST and own != doc):
                 continue
             window = min(13, len(own))
             for shift in range(-len(own) + window, len(doc) - window + 1):
@@ -25,7 +25,7 @@ def brute(docs, items):
                 equal = [own[i] == doc[i + shift] for i in range(low, high)]
                 for at in range(len(equal) - window + 1):
                     same = sum(equal[at : at + window])
-                    if same >= window - 3 * window // 13:
+                    if same >= window - 3 * window // 13 and (window > 5 or same == window):
                         best = max(best or (0,), (same, sum(equal), -(low + shift + at), window))
             if best:
                 out.append((k, n, -best[2], best[3], best[0], best[1]))
@@ -33,9 +33,27 @@ def brute(docs, items):
 
 
 def test_masks_hit_every_window():
-    for subs in itertools.combinations(range(13), 3):
-        assert any(
-            not any(mask[p - at] == "1" for p in subs if 0 <= p - at < len(mask)) for mask in dec.MASKS for at in range(14 - len(mask)))
+    """Whatever words are substituted in a window of any length, a mask of its items reads only others."""
+    for size in range(6, 14):
+        masks = dec.MASKS if size < dec.SHORT else dec.MASKS[:-1]
+        for subs in itertools.combinations(range(size), 3 * size // 13):
+            assert any(
+                not any(mask[p - at] == "1" for p in subs if 0 <= p - at < len(mask)) for mask in masks for at in range(size + 1 - len(mask)))
+
+
+def test_short_items(spark):
+    """Items of 6 to 12 words are found wherever the allowed words are substituted, shorter ones as whole texts."""
+    tests, rows = [], []
+    for size in range(1, 13):
+        item = [f"s{size}x{i}" for i in range(size)]
+        tests.append((size, " ".join(item)))
+        for subs in itertools.combinations(range(size), 3 * size // 13 if size > 5 else 0):
+            text = ["other" if i in subs else w for i, w in enumerate(item)]
+            rows.append((size, ("before it " if size > 5 else "") + " ".join(text)))
+        rows.append((100 + size, " ".join(["and", *item]) if size < 6 else " ".join("no" if i < 4 else w for i, w in enumerate(item))))
+    documents, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")
+    got = sorted(map(tuple, dec.leaks(documents, benchmark).collect()), key=str)
+    assert got == brute(rows, tests) and {r[0] for r in got} == set(range(1, 13))
 
 
 def test_all_alignments(spark):
@@ -52,8 +70,8 @@ def test_all_alignments(spark):
         d[at:at] = part
     rows = [(i, ", ".join(d).title()) for i, d in enumerate(docs)]
     rows += [(900, None), (901, ""), (None, " ".join(items[0][1])), (902, " ".join(items[1][1])), (902, " ".join(items[1][1])), (903, "x " * 200_000)]
-    tests = [(i, " ".join(t)) for i, t in items] + [(77, None), (78, ""), (79, "w1 w2"), (80, tuple(items[3])[1] and " ".join(items[3][1])), (81, "one two three four five six")]
-    rows.append((904, "and one two three four five six"))
+    tests = [(i, " ".join(t)) for i, t in items] + [(77, None), (78, ""), (79, "w1 w2"), (82, "Only THIS, text"), (80, tuple(items[3])[1] and " ".join(items[3][1])), (81, "one two three four five six")]
+    rows += [(904, "and one two three four five six"), (905, "only this text"), (906, "only this text too")]
     documents = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS seed", "3 AS shift")
     benchmark = spark.createDataFrame(tests, "item_id long, text string").selectExpr("*", "1 AS doc_id")
     got = dec.leaks(documents, benchmark)

@@ -18,12 +18,15 @@ BATCH_CHARS = 1 << 20
 MIX_1, MIX_2, BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
-def unused(columns: list[str], name: str) -> str:
-    """A name like the given one that none of the columns has, whatever the case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """(rest, text): all other columns as one, so that no name of theirs meets a name of the work."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"), F.col(text).alias("text"))
+
+
+def unpacked(frame: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns that ``packed`` put away, in their order and under their names."""
+    return frame.select(*[F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in columns])
 
 
 def fold(key: str, parts: int) -> Column:

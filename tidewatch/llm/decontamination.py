@@ -17,24 +17,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import BASE, Words, mixed, slices, written
+from tidewatch.llm.common import BASE, Words, mixed, packed, slices, unpacked, written
 
-# The masks. Together they hit every window of 13 words with at most 3 substitutions.
-MASKS = ("111011", "110100101", "111000101")
+# The masks. Together they hit every window of 13 words with at most 3 substitutions,
+# and of 11 or 12 words with at most 2; the last one hits what shorter items leave between theirs.
+MASKS = ("111011", "110100101", "111000101", "111")
 WINDOW, SUBSTITUTIONS = 13, 3
-SHORTEST = 6
+#: Items of fewer words use the last mask too; items of fewer than ``SHORTEST`` have to be a whole text.
+SHORT, SHORTEST = 11, 6
 BITS = 25
 BIN_CHARS = 4_000_000
 
 
-def _seeds(hashes: np.ndarray, left: np.ndarray):
-    """(positions, seeds) of each mask; ``left``: words from a position to its text's end."""
+def _seeds(hashes: np.ndarray, left: np.ndarray, total: np.ndarray):
+    """(positions, seeds) of each mask, and of texts too short for masks, all whose words are one seed.
+
+    ``left``: words from a position to its text's end; ``total``: words of its text.
+    """
     for number, mask in enumerate(MASKS):
-        whole = np.flatnonzero(left >= len(mask))
+        whole = np.flatnonzero((left >= len(mask)) & (total >= SHORTEST))
         seed = np.full(len(whole), number + 1, dtype=np.uint64)
         for place in (i for i, c in enumerate(mask) if c == "1"):
             seed = seed * BASE + hashes[whole + place]
         yield whole, mixed(seed)
+    for size in range(1, SHORTEST):
+        whole = np.flatnonzero((total == size) & (left == size))
+        seed = np.full(len(whole), len(MASKS) + size, dtype=np.uint64)
+        for place in range(size):
+            seed = seed * BASE + hashes[whole + place]
+        yield whole, mixed(seed)
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +62,7 @@ def _slots(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, place, words) of every masked position of every item long enough to tell."""
+    """(seed, item_id, place, words) of every masked position of every item, or of a short item as a whole."""
     schema = T.StructType([
         T.StructField("seed", T.LongType()), items.schema["item_id"], T.StructField("place", T.IntegerType()),
         T.StructField("words", T.ArrayType(T.LongType()))])
@@ -61,8 +72,10 @@ def _item_seeds(items: DataFrame) -> DataFrame:
             hashes, of, place, left = _words(texts)
             ends = np.searchsorted(of, np.arange(len(texts) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
-            for at, seed in _seeds(hashes, left):
-                at, seed = at[np.diff(ends)[of[at]] >= SHORTEST], seed[np.diff(ends)[of[at]] >= SHORTEST]
+            total = np.diff(ends)[of]
+            for number, (at, seed) in enumerate(_seeds(hashes, left, total)):
+                if number == len(MASKS) - 1:
+                    at, seed = at[total[at] < SHORT], seed[total[at] < SHORT]
                 text = pa.array(of[at])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seed.view(np.int64)), batch.column(0).take(text), pa.array(place[at], pa.int32()), lists.take(text)], names=schema.names)
@@ -93,7 +106,7 @@ def _possible(docs: DataFrame, text: str, bitmap: np.ndarray) -> DataFrame:
         for batch, texts in slices(batches, text):
             hashes, of, place, left = _words(texts)
             found = []
-            for at, seed in _seeds(hashes, left):
+            for at, seed in _seeds(hashes, left, place + left):
                 one, two = _slots(seed)
                 hit = np.flatnonzero(bits[one])
                 hit = hit[bits[two[hit]]]
@@ -135,11 +148,11 @@ def _verify(texts: pa.Table, candidates: pa.Table) -> pa.Table:
             doc, words = hashes[ends[i] : ends[i + 1]], np.array(words)
             window = min(WINDOW, len(words))
             low, high = max(0, -shift), min(len(words), len(doc) - shift)
-            if high - low < window:
+            if high - low < window or (len(words) < SHORTEST and len(doc) != len(words)):
                 continue
             equal = words[low:high] == doc[low + shift : high + shift]
             most, at = _best_window(equal, window)
-            if most >= window - SUBSTITUTIONS * window // WINDOW:
+            if most >= window - (SUBSTITUTIONS * window // WINDOW if window >= SHORTEST else 0):
                 out.append((row, item, low + shift + at, window, most, int(equal.sum())))
     columns = list(zip(*out)) or [[]] * len(names)
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
@@ -174,9 +187,9 @@ def leaks(
 
     Words are runs of letters and digits in lower case. An item leaks if 13 of its words in a
     row meet the document's in the same order with at most 3 substitutions; an item of 6 to 12
-    words has to be met as a whole, with at most 3/13 substituted (there a seed may be missed
-    if it has several). Items of fewer words are too short to be told from chance and never
-    reported, as are null and empty texts. ``start_word`` is the best window's first word in the
+    words has to be met as a whole, with at most 3/13 substituted. An item of fewer words is too
+    short to be told from chance inside a text, so it leaks only into a document that has the same
+    words and no others. Null and wordless texts are never reported. ``start_word`` is the best window's first word in the
     document, ``n_aligned`` the equal words of the whole alignment. Rows of equal ids are judged
     apart and all reported. Other columns are not read.
     """
@@ -185,8 +198,12 @@ def leaks(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` into which no test item leaks, all columns kept."""
-    numbered = written(docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
-    rows, found = _leaks(numbered.select("_number", text), benchmark, text, "item_id", "text")
-    leaking = rows.select("_row", "_number").join(found.select("_row").distinct(), "_row").select("_number")
-    return numbered.join(leaking, "_number", "left_anti").select(docs.columns)
+    """The rows of ``docs`` into which no test item leaks.
+
+    All columns come back as they were, whatever their names. Null texts hold no item; rows are judged
+    one by one, repeated ones alike; an empty table stays empty and an empty benchmark takes nothing.
+    """
+    numbered = written(packed(docs, text).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    rows, found = _leaks(numbered.select("number", "text"), benchmark, "text", "item_id", "text")
+    leaking = rows.select("_row", "number").join(found.select("_row").distinct(), "_row").select("number")
+    return unpacked(numbered.join(leaking, "number", "left_anti"), docs.columns, text)
