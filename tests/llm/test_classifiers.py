@@ -41,6 +41,10 @@ def test_features():
     assert not got[0].any()
     assert got[1, names["insult_density"]] == 0.25 and got[1, names["nearness"]] == 0.25
     assert got[1, names["capital_words"]] == 0.25 and got[1, names["repeated_punctuation"]] > 0
+    spelled = ["say i d i o t", "a dog", "u i d i o t now", "x" * 60 + "\t1d10t\t" + "y" * 60, "1d10t\u00a0m0r0n\r\nl-o-s-e-r", "i d i", "o t", "a1" * 50_000]
+    found = np.expm1(toxicity.features(spelled, *none)[:, names["undisguised"]]).round().astype(int).tolist()
+    assert found == [1, 0, 1, 1, 4, 0, 0, 0]  # l-o-s-e-r counts as a token and as letters apart
+    assert np.array_equal(np.concatenate([toxicity.features([t], *none) for t in spelled]), toxicity.features(spelled, *none))
     assert got[2, names["undisguised"]] == np.log1p(2) and got[3, names["undisguised"]] == np.log1p(1)
     assert not got[4, [1, 2, 5, 7, 9, 11, 12, 13]].any() and got[5, names["nearness"]] == 0.5
     alone = np.concatenate([toxicity.features([t], *none) for t in texts])

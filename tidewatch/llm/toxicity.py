@@ -8,6 +8,7 @@ are counted over the whole text; trees and calibration learn from a bounded labe
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import Words, labelled_texts, per_text
+from tidewatch.llm.common import Words, labelled_texts, packed, per_text, unpacked
 
 # Insults, and second-person words, in English, German, French and Spanish.
 INSULTS = (
@@ -52,6 +53,7 @@ def _undisguised(token: str) -> bool:
 
 
 _INSULTS = frozenset(INSULTS)
+_SPELLED = re.compile("|".join(sorted(INSULTS, key=len, reverse=True)))
 _INSULT_HASHES, _SECOND_HASHES = _hashed(INSULTS), _hashed(SECOND_PERSON)
 
 
@@ -106,17 +108,16 @@ def features(texts: list[str], learned: np.ndarray, weights: np.ndarray) -> np.n
     odd = np.flatnonzero((mark | digit)[1:] & words.mask[:-1] & ahead[: len(points) - 1]) + 1
     out[:, 12] = np.bincount(text_of_char[odd], minlength=n) / np.maximum(per, 1)
     starts = np.concatenate(([0], words.text_ends[:-1]))
-    for at in odd[(points[odd] != 39) & (points[odd] != 8217)]:
-        text = text_of_char[at]
-        body, here = texts[text], at - starts[text]
-        low = max(body.rfind(" ", 0, here), body.rfind("\n", 0, here)) + 1
-        high = min((x for x in (body.find(" ", here), body.find("\n", here)) if x >= 0), default=len(body))
-        if high - low <= 40:
-            out[text, 13] += _undisguised(body[low:high])
+    blanks = np.flatnonzero(space)  # tokens lie between white space of any kind; a text's end is one
+    odd = odd[(points[odd] != 39) & (points[odd] != 8217)]
+    after = np.unique(np.searchsorted(blanks, odd))
+    for low, high in zip(np.where(after > 0, blanks[after - 1] + 1, 0), blanks[after]):
+        text = text_of_char[low]
+        out[text, 13] += _undisguised(texts[text][low - starts[text] : high - starts[text]])
     single = np.flatnonzero(words.lengths == 1)
-    for run in np.split(single, np.flatnonzero(np.diff(single) != 1) + 1) if len(single) > 2 else ():
-        if len(run) > 3 and of[run[0]] == of[run[-1]]:  # letters that stand apart: i d i o t
-            out[of[run[0]], 13] += "".join(map(chr, folded[words.starts[run]])) in _INSULTS
+    for run in np.split(single, np.flatnonzero((np.diff(single) != 1) | (np.diff(of[single]) != 0)) + 1) if len(single) > 2 else ():
+        if len(run) > 2:  # letters that stand apart: i d i o t
+            out[of[run[0]], 13] += len(_SPELLED.findall("".join(map(chr, folded[words.starts[run]]))))
     out[:, 13] = np.log1p(out[:, 13])
     out[:, 14] = np.bincount(text_of_char[digit], minlength=n) / np.maximum(chars, 1)
     return out
@@ -299,6 +300,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, per_label: in
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are not judged toxic, by a model learned from the labels."""
-    judged = judge(docs.withColumn("_text", F.col("text")), train(docs, labels), "_text", threshold)
-    return judged.where("predicted = 0").select(docs.columns)
+    """The rows of ``docs`` that are not judged toxic, by a model learned from the labels.
+
+    All columns come back as they were, whatever their names. Null texts count as empty; repeated
+    rows are judged alike, an empty table stays empty.
+    """
+    judged = judge(packed(docs, "text").withColumn("copy", F.col("text")), train(docs, labels), "copy", threshold)
+    return unpacked(judged.where("predicted = 0"), docs.columns, "text")
