@@ -12,18 +12,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the component's smallest node.
 
     Each round ties the larger neighbours of a node to its smallest one, then the smaller
-    neighbours; rounds grow with the logarithm of a component's diameter. A round's edges are
-    written to the shared folder, which cuts the lineage. Nodes with very many edges are split
-    by the joins (each meets one row per node) and pre-added by the aggregates. Null nodes and
-    loops are left out.
+    neighbours; rounds grow with the logarithm of a component's diameter. A round's edges and the
+    least neighbours, one row per node, are written to the shared folder, which cuts the lineage
+    and makes both sides of each join plain shuffles: then Spark splits a node with very many edges
+    over several tasks. The aggregates add up before they shuffle. Null nodes and loops are left out.
     """
     edges = edges.select("a", "b").where("a <> b")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
         before, mark = mark, edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import BASE, Words, bounded_sample, mixed, per_text, slices
+from tidewatch.llm.common import BASE, Words, bounded_sample, mixed, packed, per_text, slices, unpacked
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -266,11 +266,12 @@ def language_spans(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "
 def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text has one main language; null, letterless and evenly mixed texts go.
 
-    Learns from the rows' own language labels.
+    Learns from the rows' own language labels. All columns come back as they were, whatever their
+    names; repeated rows are judged alike and an empty table stays empty.
     """
     crf = train(docs)
-    judged = identify(docs.withColumn("_text", F.col("text")), crf, "_text")
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(docs.columns)
+    judged = identify(packed(docs, "text").withColumn("copy", F.col("text")), crf, "copy")
+    return unpacked(judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)), docs.columns, "text")
 
 
 def main_language(spark: SparkSession, docs: DataFrame, held_out) -> DataFrame:

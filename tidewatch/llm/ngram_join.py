@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import BASE, MIX_2, Words, first_in_group, maybe_in, mixed, slices, written
+from tidewatch.llm.common import BASE, MIX_2, Words, first_in_group, maybe_in, mixed, packed, slices, unpacked, written
 from tidewatch.llm.components import components
 
 BLOCK_NODES, BLOCK_GRAMS = 512, 400_000
@@ -49,7 +49,7 @@ def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     begins = np.cumsum(counts) - counts
     value = np.zeros(len(hashes), dtype=np.uint64)
     left = counts[words.text_of] - (np.arange(len(hashes)) - begins[words.text_of])
-    for i in range(n):
+    for i in range(min(n, len(hashes))):
         inside = left > i
         inside[len(hashes) - i :] = False
         shifted = np.zeros_like(hashes)
@@ -241,9 +241,13 @@ def _labelled(sketches: DataFrame, text: str, n: int, threshold: float, label: s
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, but of each class of near duplicates only one; rows without words all stay."""
+    """The rows of ``docs``, but of each class of near duplicates only one; rows without words all stay.
+
+    All columns come back as they were, whatever their names; which row of a class stays is
+    arbitrary. Null texts have no words; an empty table stays empty.
+    """
     bands, rows = choose_bands(threshold, recall, most_hashes)
-    sketches = sketched(docs, text, n, bands, rows)
-    labelled = _labelled(sketches.select("_row", "_node", "_grams", "_bands", text), text, n, threshold, "_row")
+    sketches = sketched(packed(docs, text), "text", n, bands, rows)
+    labelled = _labelled(sketches.select("_row", "_node", "_grams", "_bands", "text"), "text", n, threshold, "_row")
     kept = labelled.where("_row = class_id").select("_row")
-    return sketches.join(kept, "_row").select(docs.columns)
+    return unpacked(sketches.join(kept, "_row"), docs.columns, text)

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.common import written
+from tidewatch.llm.common import packed, written
 
+RESULTS = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's documents are added up in this many pieces of its shuffled order, so that no source is one task's work.
 PIECE_BITS = 10
@@ -72,10 +73,12 @@ def mix(
     words) lasts, so it ends within one document of the target unless the budget ends first.
     The order is a hash of the key; equal keys go by size, and rows equal in both are
     interchangeable. A null text has size 0; documents without words are never taken. An empty
-    table gives no rows. The columns ``keep`` come along; others are not read.
+    table gives no rows. The columns ``keep`` come along, but for those named like a result;
+    others are not read.
     """
     place = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), place.alias("place"), *keep)
+    carried = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("kept")
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), place.alias("place"), carried)
     sized = written(sized, "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     targets = written(targets, "targets")
@@ -88,7 +91,7 @@ def mix(
     totals = totals.select("rank", "piece", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
     own = Window.partitionBy("rank", "piece").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = pieces.withColumn("within", F.sum("size").over(own)).join(totals, ["rank", "piece"])
-    queued = queued.select("doc_id", "source", "size", "rank", "source_size", "target", (F.col("before") + F.col("within")).alias("upto"), *keep)
+    queued = queued.select("doc_id", "source", "size", "rank", "source_size", "target", (F.col("before") + F.col("within")).alias("upto"), "kept")
     queued = written(queued, "queue")
 
     passes = F.array(*[F.lit(i).cast("long") for i in range(most)])
@@ -111,7 +114,23 @@ def mix(
 
         taken = sum((goes(n) for n in range(1, most)), goes(0))
     queued = queued.withColumn("copies", taken)
-    return queued.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+    results = ["doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    return queued.select(*results, *[F.col("kept").getField(c).alias(c) for c in keep if c.lower() not in RESULTS])
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents that the mix takes: their rows as they were, each once, and ``copies``, how often it is taken.
+
+    A column of ``docs`` named ``copies`` is replaced. Rows of equal keys are told apart by a number
+    that is written with them, and only that number goes through the mix.
+    """
+    rows = packed(docs, text).select("rest", "text", F.monotonically_increasing_id().alias("number"))
+    rows = written(rows, "numbered")
+    named = rows.select(F.col("rest").getField(key).alias("doc_id"), F.col("rest").getField(source).alias("source"), "text", "number")
+    decided = mix(named, weights, most, keep=("number",)).where("copies > 0").select("number", "copies")
+    taken = rows.join(decided, "number")
+    columns = [c for c in docs.columns if c.lower() != "copies"]
+    return taken.select(*[F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in columns], "copies")
 
 
 MIX_SQL = r"""
