@@ -2,14 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept;
 each result is written as Parquet and read again as the next stage's documents. All stages but
-the last return the columns of ``documents``. The last decides how often the mix takes each
-document; ``run`` carries that out and returns the documents taken, with their texts.
+the last return the columns of ``documents``. The last returns the documents that the mix takes,
+with their texts and how often each is taken.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewatch.llm import decontamination, language_crf, ngram_join, source_mix, toxicity
 from tidewatch.llm.common import written
@@ -39,15 +38,9 @@ def no_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontamination.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Operator 8: how often the mix takes each document, sources weighing 5, 2, 1 in turn."""
-    return source_mix.mix(docs, weights=(5, 2, 1), most=3, keep=keep)
-
-
-def taken(spark: SparkSession, numbered: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each once with its text and ``copies``; ``_row`` tells the documents apart."""
-    decided = mixed(spark, numbered, sf_dir, keep=("_row",)).where("copies > 0")
-    return decided.join(numbered.select("_row", "text"), "_row").drop("_row")
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: the documents that the mix takes, sources weighing 5, 2, 1 in turn, with how often it takes them (``copies``)."""
+    return source_mix.take(docs, weights=(5, 2, 1), most=3)
 
 
 STAGES = [
@@ -60,9 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed corpus: the stages in order on ``documents``, and of the last the documents taken."""
+    """The mixed corpus: the stages in order on ``documents``."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        numbered = written(stage(spark, docs, sf_dir).withColumn("_row", F.monotonically_increasing_id()), name)
-        docs = numbered.drop("_row")
-    return taken(spark, numbered, sf_dir)
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
