@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators.joins import not_in_tuple
+
 from tidewatch.operators.ordered import latest_per_key
 
 
@@ -70,14 +72,18 @@ def purge_by_catalog(
     snapshot_key: str = "snap_id",
     database_key: str = "dbid",
     skip: Sequence[str] = (),
+    excluded: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """What remains of each cataloged table after rows without an owner are purged.
 
     A table having the snapshot key is checked against the snapshots, another against the
-    database instances, on whichever of the keys it has. Only the catalog answer, one row
-    per table, comes to the driver.
+    database instances, on whichever of the keys it has. ``excluded`` lists tables left alone by
+    (owner, table_name), with the null rules of a tuple ``NOT IN``; the catalog then has owners.
+    Only the catalog answer, one row per table, comes to the driver.
     """
     remaining = {}
+    if excluded is not None:
+        catalog = not_in_tuple(catalog, ["owner", "table_name"], excluded, ["owner", "table_name"])
     for row in tables_with_keys(catalog, keys, [database_key, snapshot_key], skip).collect():
         owner = snapshots if row[snapshot_key] > 0 else instances
         own_keys = [k for k in keys if row[k] > 0 and k in owner.columns]
@@ -97,3 +103,7 @@ def purge_report(tables: Mapping[str, DataFrame], remaining: Mapping[str, DataFr
         return SparkSession.active().createDataFrame([], "table_name string, rows_deleted bigint")
     return report.groupBy("table_name").agg(F.sum("d").alias("rows_deleted"))
 
+
+def left_intact(report: DataFrame) -> DataFrame:
+    """How many tables of a ``purge_report`` lost no row."""
+    return report.agg(F.count_if(F.col("rows_deleted") == 0).alias("left_intact"))

@@ -165,3 +165,38 @@ def interval_report(intervals: DataFrame, stats: DataFrame, group: Sequence[str]
     return matched.groupBy("file_name", *group).agg(
         F.sum("rows").alias("rows"), *[F.sum(m).alias(m) for m in measures]
     )
+
+
+def report_lines(report: DataFrame, group: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """The text of every interval's report: (file_name, line_number, line).
+
+    A report begins with its name, lists its rows by the group columns and ends with the
+    sums. It is written by a table function that is called once per report and reads its rows in order,
+    one at a time, so a report of any length needs no memory. Null names read as empty.
+    """
+    measures = ["rows", *measures]
+
+    class Lines:
+        def __init__(self):
+            self.number, self.sums, self.name = 0, [0] * len(measures), None
+
+        def _line(self, text):
+            self.number += 1
+            return self.name, self.number, text
+
+        def eval(self, row):
+            if not self.number:
+                self.name = row["file_name"]
+                yield self._line(f"report {self.name}")
+            values = [row[m] or 0 for m in measures]
+            self.sums = [a + b for a, b in zip(self.sums, values)]
+            label = " / ".join("" if row[g] is None else str(row[g]) for g in group)
+            yield self._line(f"{label}: " + ", ".join(f"{m} {v}" for m, v in zip(measures, values)))
+
+        def terminate(self):
+            if self.number:
+                yield self._line("all: " + ", ".join(f"{m} {v}" for m, v in zip(measures, self.sums)))
+
+    lines = F.udtf(Lines, returnType="file_name string, line_number bigint, line string")
+    rows = report.select("file_name", *group, *[F.col(m).cast("bigint").alias(m) for m in measures])
+    return lines(rows.asTable().partitionBy("file_name").orderBy(*[F.asc_nulls_last(g) for g in group]))

@@ -84,7 +84,7 @@ def maintenance_plan(
     ``block`` orders the phases. Inside a container the largest-ranked segment moves out
     first and the smallest moves back first.
     """
-    # Up to five branches read the texts, so the classification is worked out once.
+    # Several branches read the texts, so the classification is worked out once.
     texts = staged(
         classified.select(
             "owner", "tablespace_name", "row_no",
@@ -92,43 +92,39 @@ def maintenance_plan(
         ),
         "move-texts",
     )
+    # One numbering per container serves both ways: the i-th of n to come back is the (n + 1 - i)-th to go.
+    numbered = number_rows(texts, ["tablespace_name"], ["row_no"], "cmd", total="of", hot_rows=hot_rows, chunks=chunks)
     prefix = F.concat(F.lit("10:"), F.md5("tablespace_name"))
-    size = dict(hot_rows=hot_rows, chunks=chunks)
 
-    def moves(order: str, label: str, target: Column) -> DataFrame:
-        numbered = number_rows(texts, ["tablespace_name"], [order], "cmd", **size)
-        return numbered.select(
-            F.concat(prefix, F.lit(label)).alias("block"), "cmd",
-            F.concat(F.replace(F.col("_text"), F.lit(TARGET), target), F.lit(";")).alias("_step"),
-        )
-
-    steps = moves("row_no", ":02:move back to persistent", quote_name(F.col("tablespace_name")))
-    if transient is not None:
-        name = quote_name(F.lit(transient))
-        owners = texts.select("owner").distinct()
-
-        def quota(label: str, order: str, amount: str) -> DataFrame:
-            return number_rows(owners, [], [order], "cmd", **size).select(
-                F.lit(label).alias("block"), "cmd",
-                text_concat("alter user ", quote_name(F.col("owner")), f" quota {amount} on ", name, ";").alias("_step"),
-            )
-
-        check = F.lit(
-            "select count(1) as leftovers_in_transient_tbs from dba_segments "
-            f"where tablespace_name = '{transient}';"
-        )
-        checks = classified.sparkSession.range(1).select(
-            F.explode(F.array(F.lit("02:leftovers in transient"), F.lit("92:leftovers in transient"))).alias("block"),
-            F.lit(0).cast("bigint").alias("cmd"), check.alias("_step"),
-        )
-        steps = (
-            moves("-row_no", ":01:move to transient", name)
-            .unionByName(steps)
-            .unionByName(quota("01:grant quota on transient", "owner", "unlimited"))
-            .unionByName(quota("91:revoke quota on transient", "-owner", "0"))
-            .unionByName(checks)
-        )
-    return _numbered(steps)
+    def move(label: str, cmd: Column, target: Column) -> Column:
+        text = F.concat(F.replace(F.col("_text"), F.lit(TARGET), target), F.lit(";"))
+        return F.struct(F.concat(prefix, F.lit(label)).alias("block"), cmd.alias("cmd"), text.alias("_step"))
+
+    moves = [move(":02:move back to persistent", F.col("cmd"), quote_name(F.col("tablespace_name")))]
+    if transient is None:
+        return _numbered(numbered.select(F.inline(F.array(*moves))))
+    name = quote_name(F.lit(transient))
+    moves.append(move(":01:move to transient", F.col("of") + 1 - F.col("cmd"), name))
+
+    def quota(label: str, order: Column, amount: str) -> Column:
+        # One row per owner, of which a database has some thousands at most.
+        cmd = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)).cast("bigint")
+        text = text_concat("alter user ", quote_name(F.col("owner")), f" quota {amount} on ", name, ";")
+        return F.struct(F.lit(label).alias("block"), cmd.alias("cmd"), text.alias("_step"))
+
+    owners = texts.select("owner").distinct().select(
+        quota("01:grant quota on transient", F.asc_nulls_last("owner"), "unlimited").alias("grant"),
+        quota("91:revoke quota on transient", F.desc_nulls_last("owner"), "0").alias("revoke"))
+    check = F.lit(
+        "select count(1) as leftovers_in_transient_tbs from dba_segments "
+        f"where tablespace_name = '{transient}';"
+    )
+    checks = classified.sparkSession.range(1).select(
+        F.explode(F.array(F.lit("02:leftovers in transient"), F.lit("92:leftovers in transient"))).alias("block"),
+        F.lit(0).cast("bigint").alias("cmd"), check.alias("_step"),
+    )
+    steps = numbered.select(F.inline(F.array(*moves)))
+    return _numbered(steps.unionByName(owners.select(F.inline(F.array("grant", "revoke")))).unionByName(checks))
 
 
 def _numbered(steps: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import cleanup, keys
+from tidewatch.operators.joins import not_in_tuple
 from tidewatch.queries.inputs import day_number
 from tidewatch.queries.registry import Tables, query
 
@@ -297,7 +298,29 @@ def purge_by_catalog_query(t: Tables):
             t.orders.select(F.col("o_orderkey").alias("snap_id")).where(F.col("o_orderstatus") != "P"), "snap_id", "left_semi"),
         "region": t.region,
     }
-    rows = [(name, column) for name, df in tables.items() for column in df.columns]
-    catalog = t.spark.createDataFrame(rows, "table_name string, column_name string")
-    remaining = cleanup.purge_by_catalog(catalog, tables, snapshots, instances)
+    tables["customer"] = t.customer.select(F.col("c_custkey").alias("dbid"), "c_name")  # on the list of tables left alone
+    rows = [("APP", name, column) for name, df in tables.items() for column in df.columns]
+    catalog = t.spark.createDataFrame(rows, "owner string, table_name string, column_name string")
+    excluded = t.spark.createDataFrame([("APP", "customer"), ("SYS", "orders"), (None, "nothing")], "owner string, table_name string")
+    remaining = cleanup.purge_by_catalog(catalog, tables, snapshots, instances, excluded=excluded)
     return cleanup.purge_report(tables, remaining)
+
+
+@query("tuple_exclusion", """
+WITH m AS (
+  SELECT CASE WHEN c_acctbal < -990 THEN NULL ELSE c_custkey END AS cust, CASE WHEN c_custkey % 3 = 0 THEN 'F' WHEN c_custkey % 3 = 1 THEN 'O' END AS status
+  FROM customer WHERE c_acctbal < 0 AND (c_acctbal >= -990 OR c_custkey % 3 = 0)
+), o AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_custkey END AS cust, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS status FROM orders
+)
+SELECT o_orderkey, cust, status FROM o
+WHERE NOT EXISTS (SELECT 1 FROM m WHERE (o.cust = m.cust) IS NOT FALSE AND (o.status = m.status) IS NOT FALSE)""")
+def tuple_exclusion_query(t: Tables):
+    """Orders whose (customer, status) is surely none of a list with nulls in both columns."""
+    third = F.col("c_custkey") % 3
+    members = t.customer.where((F.col("c_acctbal") < 0) & ((F.col("c_acctbal") >= -990) | (third == 0))).select(
+        F.when(F.col("c_acctbal") >= -990, F.col("c_custkey")).alias("cust"), F.when(third == 0, "F").when(third == 1, "O").alias("status"))
+    orders = t.orders.select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_custkey")).alias("cust"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus")).alias("status"))
+    return not_in_tuple(orders, ["cust", "status"], members, ["cust", "status"])

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import space, statistics
+from tidewatch.operators.joins import overlap_join
 from tidewatch.plans import maintenance
 from tidewatch.queries.inputs import K_SQL, day_number, hour_number, inst_of, k_of
 from tidewatch.queries.registry import Tables, query
+from tidewatch.session import work_folder
+from tidewatch.sources.readers import read_ordered_text
+from tidewatch.sources.tables import write_ordered_text
 
 # Statistic name → what stands in for it: an expression over k and cents, in both languages.
 STAND_INS = {
@@ -176,6 +180,41 @@ def interval_report_query(t: Tables):
     return statistics.interval_report(intervals, interval_stats(t.events), ["event_type"], ["cents"])
 
 
+@query("report_lines", f"""
+WITH {INTERVALS}, r AS (
+  SELECT file_name, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents
+  FROM events JOIN in_range ON dbid = CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AND instance_number = user_id
+    AND snap_id = epoch_us(ts) // 86400000000
+  GROUP BY file_name, event_type
+), l AS (
+  SELECT file_name, 1 AS part, '' AS place, 'report ' || file_name AS line FROM (SELECT DISTINCT file_name FROM r)
+  UNION ALL SELECT file_name, 2, event_type, event_type || ': rows ' || n || ', cents ' || cents FROM r
+  UNION ALL SELECT file_name, 3, '', 'all: rows ' || sum(n) || ', cents ' || sum(cents) FROM r GROUP BY file_name
+)
+SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY part, place) AS line_number, line FROM l""")
+def report_lines_query(t: Tables):
+    intervals = statistics.snapshots_in_range(daily_intervals(t.events), current_database(t.region), *RANGE)
+    report = statistics.interval_report(intervals, interval_stats(t.events), ["event_type"], ["cents"])
+    return statistics.report_lines(report, ["event_type"], ["cents"])
+
+
+@query("interval_overlap", """
+WITH days AS (SELECT DISTINCT epoch_us(ts) // 86400000000 AS day FROM events), sessions AS (
+  SELECT user_id, event_type, week, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us
+  FROM (SELECT *, epoch_us(ts) // 86400000000 // 7 AS week FROM events UNION ALL SELECT *, -1 FROM events) GROUP BY ALL
+)
+SELECT user_id, event_type, week, day, first_us, last_us FROM sessions JOIN days
+ON first_us <= day * 86400000000 + 86399999999 AND day * 86400000000 <= last_us""")
+def interval_overlap_query(t: Tables):
+    """Sessions of a week, and of all time, against the days they touch: short and long intervals together."""
+    day = day_number(F.col("ts"))
+    days = t.events.select(day.alias("day")).distinct().withColumns({
+        "day_from": F.col("day") * 86_400_000_000, "day_to": F.col("day") * 86_400_000_000 + 86_399_999_999})
+    weeks = t.events.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.explode(F.array(F.floor(day / 7), F.lit(-1))).alias("week"))
+    sessions = weeks.groupBy("user_id", "event_type", "week").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    return overlap_join(sessions, days, (), ("first_us", "last_us"), ("day_from", "day_to")).drop("day_from", "day_to")
+
+
 @query("span_report", f"""
 WITH {INTERVALS}
 SELECT file_name, event_type, count(*) AS rows, sum(round(value * 100)::BIGINT)::BIGINT AS cents
@@ -409,6 +448,16 @@ def maintenance_plan_query(t: Tables):
     return maintenance.maintenance_plan(_classified(t), "TMP_MOVE", online="yes", statistics="yes")
 
 
+@query("maintenance_text", f"""
+WITH plan AS ({_maintenance_sql()}) SELECT row_number() OVER (ORDER BY block, cmd) AS line_number, step AS line FROM plan""")
+def maintenance_text_query(t: Tables):
+    """The plan as a script of several files, read back in order."""
+    plan = maintenance.maintenance_plan(_classified(t), "TMP_MOVE", online="yes", statistics="yes")
+    path = work_folder(t.spark, "script")
+    write_ordered_text(plan, ["block", "cmd"], "step", path, tasks=4)
+    return read_ordered_text(t.spark, path)
+
+
 @query("container_plan", f"""
 WITH {FILES}, newest AS (
   SELECT *, row_number() OVER (PARTITION BY tablespace_name ORDER BY file_id DESC) AS r FROM files

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators import text
+from tidewatch.operators.joins import contains_join
 from tidewatch.queries.registry import Tables, query
 
 
@@ -114,3 +115,18 @@ WHERE text IN (SELECT text FROM w) OR source LIKE '%src7%' OR source LIKE '%src1
 def match_text_or_tag_query(t: Tables):
     toxic = t.documents.join(t.labels.where(F.col("toxic") == 1), "doc_id", "left_semi").select("text")
     return text.match_text_or_tag(t.documents, toxic, ["src7", "src12"], "text", "source").select("doc_id", "source", "matched_text")
+
+
+@query("contains_join", """
+WITH p AS (
+  SELECT item_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS phrase FROM benchmark
+  UNION ALL SELECT 1000000 + doc_id, substr(text, 1, 20) FROM documents WHERE doc_id % 50 = 0 AND length(text) >= 20
+)
+SELECT doc_id, item_id AS pattern_id FROM documents, p WHERE phrase <> '' AND contains(text, phrase)""")
+def contains_join_query(t: Tables):
+    """Documents that hold the first five words of a test item, or the beginning of a document of the list."""
+    words = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
+    openings = t.documents.where((F.col("doc_id") % 50 == 0) & (F.length("text") >= 20))
+    phrases = t.benchmark.select(F.col("item_id").alias("pattern_id"), words.alias("phrase")).unionByName(
+        openings.select((1_000_000 + F.col("doc_id")).alias("pattern_id"), F.substring("text", 1, 20).alias("phrase")))
+    return contains_join(t.documents, phrases, "doc_id", "text", "pattern_id", "phrase")
