@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators.patterns import SectionKind, key_value, section_heads, sections
@@ -168,3 +169,31 @@ def test_read_traces(spark, tmp_path):
     assert got[0].line_time is None and got[1].line_time == datetime(2024, 1, 1, 10, 0, 0, 500000)
     late = read_traces(spark, str(tmp_path), since=datetime(2024, 1, 2)).collect()
     assert sorted(r.line_number for r in late) == [7, 8]
+
+
+def test_a_killed_replacement_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    store = tables.MeasurementStore(spark, str(tmp_path / "store"), ["k"], ["m"])
+    make = lambda *rows: spark.createDataFrame(rows, "k string, m bigint")
+    with pytest.raises(ValueError):
+        store.read()
+    store.save_pre(1, make(("a", 1)))
+    store.save_pre(2, make(("b", 2)))
+    seen = lambda: {(r.run_id, r.k): (r.m_pre, r.m_post) for r in store.read().collect()}
+    before = {(1, "a"): (1, None), (2, "b"): (2, None)}
+    # killed after the new version was written, but before it was committed
+    with monkeypatch.context() as patched:
+        patched.setattr(tables.MeasurementStore, "_commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        for save, rows in ((store.save_pre, make(("x", 9))), (store.save_post, make(("a", 9))), (store.save_pre, make(("x", 9)).limit(0))):
+            with pytest.raises(KeyboardInterrupt):
+                save(1, rows)
+            assert seen() == before
+    # killed while the new version was being written
+    fails = make(("a", 3)).withColumn("m", F.expr("if(k = 'a', raise_error('lost'), m)").cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        store.save_pre(1, fails)
+    assert seen() == before
+    store.save_post(1, make(("a", 5), ("c", 6)))
+    assert seen() == {(1, "a"): (1, 5), (1, "c"): (None, 6), (2, "b"): (2, None)}
+    again = tables.MeasurementStore(spark, str(tmp_path / "store"), ["k"], ["m"])
+    again.save_pre(1, make(("z", 0)).limit(0))
+    assert seen() == {(2, "b"): (2, None)}

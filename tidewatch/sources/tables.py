@@ -7,10 +7,14 @@ the new rows go to a folder of their own first.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.nulls import not_true
 from tidewatch.operators.measure import merge_post
@@ -111,19 +115,40 @@ def write_ordered_text(df: DataFrame, order: Sequence[str], text: str, path: str
 
 
 class MeasurementStore:
-    """Pre and post values of benchmark runs: one Parquet table, partitioned by run."""
+    """Pre and post values of benchmark runs: one Parquet table, partitioned by run and version.
+
+    A run is replaced by writing a new version of it beside the old one and then adding one row
+    to the list of commits, which is one small file that appears whole or not at all. Readers take the
+    version that a run's last commit names, so a replacement that is killed at any moment, or
+    retried, leaves the rows before it readable, and one with no rows leaves none. Superseded and
+    abandoned versions stay on disk and are never read. One writer at a time may replace a run.
+    """
+
+    COMMITS = "run_id long, version string, number long, columns string"
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], measures: Sequence[str]):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
         self.keys, self.measures = list(keys), list(measures)
 
+    def _commits(self) -> DataFrame:
+        """The list of commits; empty before the first one."""
+        try:
+            return self.spark.read.schema(self.COMMITS).parquet(f"{self.path}/commits")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.COMMITS)
+
     def _replace(self, run: int, rows: DataFrame) -> None:
-        written = Observation()
-        tagged = rows.withColumn("run_id", F.lit(run)).observe(written, F.count(F.lit(1)).alias("rows"))
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path)
-        if not written.get["rows"]:  # an overwrite with no rows replaces nothing
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/run_id={run}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        version = uuid.uuid4().hex
+        tagged = rows.withColumns({"run_id": F.lit(run).cast("bigint"), "version": F.lit(version)})
+        tagged.write.mode("append").partitionBy("run_id", "version").parquet(f"{self.path}/rows")
+        self._commit(run, version, tagged.schema.json())
+
+    def _commit(self, run: int, version: str, columns: str) -> None:
+        last = self._commits().where(F.col("run_id") == run).agg(F.max("number")).first()[0] or 0
+        added = self.spark.createDataFrame([(run, version, last + 1, columns)], self.COMMITS)
+        added.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def save_pre(self, run: int, rows: DataFrame) -> None:
         """Replace everything saved for the run with fresh pre values."""
@@ -135,14 +160,20 @@ class MeasurementStore:
         self._replace(run, rows.withColumns({**columns, "d_pre": F.current_timestamp(), "d_post": F.lit(None).cast("timestamp")}).drop(*self.measures))
 
     def save_post(self, run: int, rows: DataFrame) -> None:
-        """Merge post values into the run, and say when. The merged rows are staged before the
-        partition they were read from is replaced."""
+        """Merge post values into the run, and say when; a new version of it, read from the old one."""
         saved = self.read().where(F.col("run_id") == run)
         merged = merge_post(saved.drop("run_id", "d_pre", "d_post"), rows, self.keys, self.measures)
         merged = match_by(merged.drop(*[f"{m}_diff" for m in self.measures]), saved.select(*self.keys, "d_pre", "d_post"), self.keys)
         merged = match_by(merged, rows.select(*self.keys, F.current_timestamp().alias("_now")), self.keys)
         merged = merged.withColumns({"d_pre": F.coalesce("d_pre", "_now"), "d_post": F.coalesce("_now", "d_post")}).drop("_now")
-        self._replace(run, staged(merged, "measurement"))
+        self._replace(run, merged)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """The rows of every run's last committed version."""
+        commits = self._commits()
+        last = commits.groupBy("run_id").agg(F.max_by("version", "number").alias("version"))
+        columns = commits.agg(F.max_by("columns", F.struct("number", "version"))).first()[0]
+        if columns is None:
+            raise ValueError(f"no run is saved in {self.path}")
+        rows = self.spark.read.schema(T.StructType.fromJson(json.loads(columns))).parquet(f"{self.path}/rows")
+        return rows.join(last, ["run_id", "version"], "left_semi").drop("version")
