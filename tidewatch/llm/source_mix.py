@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.common import packed, written
+from tidewatch.llm.common import written
 
 RESULTS = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,9 +76,24 @@ def mix(
     table gives no rows. The columns ``keep`` come along, but for those named like a result;
     others are not read.
     """
-    place = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    carried = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("kept")
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), place.alias("place"), carried)
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")])
+    queued = _decided(docs, weights, most, key, text, source, kept, None)
+    results = ["doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    return queued.select(*results, *[F.col("kept").getField(c).alias(c) for c in keep if c.lower() not in RESULTS])
+
+
+def _place(key: str) -> Column:
+    """A document's place in the shuffled order of its source."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _decided(
+    docs: DataFrame, weights: tuple[int, ...], most: int, key: str, text: str, source: str, kept: Column, tie: Column | None
+) -> DataFrame:
+    """The queued documents and ``copies``. A source's order is place, key and ``tie`` (the size if none is given)."""
+    sized = docs.select(
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), _place(key).alias("place"), kept.alias("kept"),
+        (word_count(text) if tie is None else tie).alias("tie"))
     sized = written(sized, "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     targets = written(targets, "targets")
@@ -89,9 +104,9 @@ def mix(
     earlier = Window.partitionBy("rank").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     totals = pieces.groupBy("rank", "piece").agg(F.sum("size").alias("total"))
     totals = totals.select("rank", "piece", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
-    own = Window.partitionBy("rank", "piece").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("rank", "piece").orderBy("place", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     queued = pieces.withColumn("within", F.sum("size").over(own)).join(totals, ["rank", "piece"])
-    queued = queued.select("doc_id", "source", "size", "rank", "source_size", "target", (F.col("before") + F.col("within")).alias("upto"), "kept")
+    queued = queued.select("doc_id", "source", "size", "rank", "source_size", "target", "place", "tie", (F.col("before") + F.col("within")).alias("upto"), "kept")
     queued = written(queued, "queue")
 
     passes = F.array(*[F.lit(i).cast("long") for i in range(most)])
@@ -113,24 +128,29 @@ def mix(
             return (inside & (finish <= last)).cast("long")
 
         taken = sum((goes(n) for n in range(1, most)), goes(0))
-    queued = queued.withColumn("copies", taken)
-    results = ["doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
-    return queued.select(*results, *[F.col("kept").getField(c).alias(c) for c in keep if c.lower() not in RESULTS])
+    return queued.withColumn("copies", taken)
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents that the mix takes: their rows as they were, each once, and ``copies``, how often it is taken.
 
-    A column of ``docs`` named ``copies`` is replaced. Rows of equal keys are told apart by a number
-    that is written with them, and only that number goes through the mix.
+    What is taken of a source n times or more is a beginning of its order, so one row per source, with
+    the last document of each beginning, decides about all its documents; their texts are
+    neither numbered nor shuffled. Rows of equal keys are told apart by their texts; rows equal in
+    both go together. A column of ``docs`` named ``copies`` is replaced; other names do not matter.
     """
-    rows = packed(docs, text).select("rest", "text", F.monotonically_increasing_id().alias("number"))
-    rows = written(rows, "numbered")
-    named = rows.select(F.col("rest").getField(key).alias("doc_id"), F.col("rest").getField(source).alias("source"), "text", "number")
-    decided = mix(named, weights, most, keep=("number",)).where("copies > 0").select("number", "copies")
-    taken = rows.join(decided, "number")
+    tie = F.xxhash64(F.col(text))
+    decided = _decided(docs, weights, most, key, text, source, F.lit(0), tie)
+    order = F.struct("place", "doc_id", "tie")
+    ends = [F.max(F.when(F.col("copies") >= n, order)).alias(f"end_{n}") for n in range(1, most + 1)]
+    ends = written(decided.where("copies > 0").groupBy("source").agg(*ends), "ends")
+    worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    here = F.struct(_place(key).alias("place"), F.col(key).alias("doc_id"), tie.alias("tie"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("of"), here.alias("here"), worded.alias("worded"))
+    met = rows.where("worded").join(ends, F.col("of").eqNullSafe(F.col("source")))
+    copies = sum((F.when(F.col("here") <= F.col(f"end_{n}"), 1).otherwise(0) for n in range(1, most + 1)), F.lit(0)).cast("long")
     columns = [c for c in docs.columns if c.lower() != "copies"]
-    return taken.select(*[F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in columns], "copies")
+    return met.withColumn("copies", copies).where("copies > 0").select(*[F.col("row").getField(c).alias(c) for c in columns], "copies")
 
 
 MIX_SQL = r"""
