@@ -1,10 +1,11 @@
-"""Quality by compression: how much better a text compresses with a dictionary of good text than of bad.
+"""Quality by compression: how many bytes a dictionary of good text saves on a text beyond one of bad text.
 
 Two zstandard dictionaries are built from labelled text. A whole text is compressed block by
 block with each, so that a long text cannot train the compressor on itself; the difference of
-the summed sizes over their sum is the text's evidence, and so is the size itself: text that
-repeats leaves the dictionaries little to tell, but shrinks far more than any prose. A logistic
-fit on labelled text that neither dictionary saw turns the evidence into a probability.
+the summed sizes over the text's own size is its evidence. Per byte of text, a text that repeats
+has a difference near zero, below that of prose, as either dictionary leaves little of it. A
+logistic fit of the label on this difference alone, on labelled text that neither dictionary saw,
+turns it into a probability, which never falls as the difference grows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.common import labelled_texts, per_text
 
-BLOCK = 1024
+BLOCK = 512
+SAMPLE = 1024  # bytes of a piece that a dictionary is trained on
 DICTIONARY_BYTES = 110 * 1024
 LEVEL = 3
 
@@ -29,7 +31,7 @@ LEVEL = 3
 class Quality:
     good: bytes
     bad: bytes
-    coefficients: tuple
+    line: tuple[float, float] | None  # log-odds at difference 0, and their rise with it
     share: float
 
 
@@ -45,27 +47,25 @@ def _compressors(good: bytes, bad: bytes):
 
 
 def evidence(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
-    """(normalised difference, compressed share) of each text; (0, 1) for an empty one."""
+    """Size with the bad dictionary less that with the good one, per byte of each text; 0 for an empty one."""
     with_good, with_bad = (c.compress for c in _compressors(good, bad))
-    out = np.zeros((len(texts), 2))
-    out[:, 1] = 1.0
+    out = np.zeros(len(texts))
     for i, text in enumerate(texts):
         raw = text.encode("utf-8", "surrogatepass")
         if raw:
-            g = b = 0
+            saved = 0
             for at in range(0, len(raw), BLOCK):
                 block = raw[at : at + BLOCK]
-                g += len(with_good(block))
-                b += len(with_bad(block))
-            out[i] = (b - g) / (b + g), min(g, b) / len(raw)
+                saved += len(with_bad(block)) - len(with_good(block))
+            out[i] = saved / len(raw)
     return out
 
 
 def _dictionary(texts: list[str]) -> bytes:
     """A dictionary of labelled text; plain content where there is too little to train one."""
-    samples = [raw[at : at + BLOCK] for raw in (t.encode("utf-8", "surrogatepass") for t in texts) for at in range(0, len(raw), BLOCK)]
+    samples = [raw[at : at + SAMPLE] for raw in (t.encode("utf-8", "surrogatepass") for t in texts) for at in range(0, len(raw), SAMPLE)]
     samples = [s for s in samples if len(s) >= 64]
-    if sum(map(len, samples)) >= 10 * DICTIONARY_BYTES:
+    if sum(map(len, samples)) >= 4 * DICTIONARY_BYTES:
         try:
             return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8).as_bytes()
         except zstandard.ZstdError:
@@ -73,12 +73,6 @@ def _dictionary(texts: list[str]) -> bytes:
     return b"".join(samples)[-DICTIONARY_BYTES:] or b"\0" * 8
 
 
-def _inputs(found: np.ndarray) -> np.ndarray:
-    """Inputs of the logistic fit: difference, size and their squares and product."""
-    d, s = found[:, 0] * 10, np.log(np.maximum(found[:, 1], 1e-3)) + 1
-    return np.stack([np.ones(len(d)), d, s, d * d, s * s, d * s], axis=1)
-
-
 def fit(samples: list[tuple[str, int, float]], seed: int = 11) -> Quality:
     """Learns from (text, 0 or 1, weight), in memory: hand in a bounded sample.
 
@@ -88,7 +82,7 @@ def fit(samples: list[tuple[str, int, float]], seed: int = 11) -> Quality:
     y = np.array([v for _, v, _ in samples], dtype=float)
     w = np.array([m for *_, m in samples], dtype=float)
     if len(set(y)) < 2:
-        return Quality(b"", b"", (), float(y[0]) if len(y) else 0.5)
+        return Quality(b"", b"", None, float(y[0]) if len(y) else 0.5)
     half = np.random.default_rng(seed).permutation(len(samples)) % 2 == 0
     for v in (0.0, 1.0):  # either half sees either label
         of = np.flatnonzero(y == v)
@@ -97,35 +91,37 @@ def fit(samples: list[tuple[str, int, float]], seed: int = 11) -> Quality:
             half[of[1]] = False
     good, bad = (_dictionary([t for (t, v, _), h in zip(samples, half) if h and v == label]) for label in (1, 0))
     rest = ~half if len(set(y[~half])) == 2 else half
-    x = _inputs(evidence([t for (t, *_), r in zip(samples, rest) if r], good, bad))
-    return Quality(good, bad, tuple(_logistic(x, y[rest], w[rest] / w[rest].mean())), 0.0)
+    found = evidence([t for (t, *_), r in zip(samples, rest) if r], good, bad)
+    return Quality(good, bad, _logistic(found, y[rest], w[rest] / w[rest].mean()), 0.0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Coefficients of a penalised logistic fit, by Newton steps that are halved until the loss falls."""
-    scale = np.maximum(x.std(axis=0), 1e-9)
-    scale[0] = 1.0
-    z, beta, ridge = x / scale, np.zeros(x.shape[1]), 0.3
+def _logistic(d: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope (not below 0) of a lightly penalised logistic fit, by Newton steps that are halved until the loss falls."""
+    scale = max(float(d.std()), 1e-9)
+    x, beta, ridge = np.stack([np.ones(len(d)), d / scale], axis=1), np.zeros(2), np.array([1e-3, 0.05])
 
     def loss(b):
-        m = z @ b
-        return (w * (np.logaddexp(0, m) - y * m)).sum() + ridge / 2 * b @ b
+        m = x @ b
+        return (w * (np.logaddexp(0, m) - y * m)).sum() + (ridge * b * b).sum() / 2
 
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(beta)), z.T @ (w * (p - y)) + ridge * beta)
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (w * (p - y)) + ridge * beta)
         while loss(beta - step) > loss(beta) and np.abs(step).max() > 1e-8:
             step = step / 2
         beta = beta - step
         if np.abs(step).max() < 1e-7:
             break
-    return beta / scale
+    if beta[1] < 0:  # the difference says nothing here: its share of good text stands for all
+        share = float(np.clip((w * y).sum() / w.sum(), 1e-6, 1 - 1e-6))
+        return float(np.log(share / (1 - share))), 0.0
+    return float(beta[0]), float(beta[1] / scale)
 
 
 def score(texts: list[str], model: Quality) -> np.ndarray:
-    if not model.coefficients:
+    if model.line is None:
         return np.full(len(texts), model.share)
-    return 1 / (1 + np.exp(-np.clip(_inputs(evidence(texts, model.good, model.bad)) @ np.array(model.coefficients), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(model.line[0] + model.line[1] * evidence(texts, model.good, model.bad), -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 2000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Quality:
