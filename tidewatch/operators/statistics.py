@@ -114,7 +114,8 @@ def stats_detail(
                 measures.append((column if divisor == 1 else column / divisor).alias(f"{out}{mark}{unit}"))
     return ranked.select(
         "begin_interval_time", "rank", "snap_id", F.col("instance_number").alias("inst_id"),
-        "sql_id", "plan_hash_value", "module", "action", "parsing_user_id", "p_user", *measures,
+        "sql_id", "plan_hash_value", F.col("force_matching_signature").alias("sql_f_m_sig"), "module", "action", "sql_profile",
+        F.col("parsing_schema_id").alias("p_schema_id"), F.col("parsing_schema_name").alias("p_schema"), "parsing_user_id", "p_user", *measures,
     )
 
 

@@ -194,7 +194,7 @@ def label_units_query(t: Tables):
 
 @query("pivot_runs_class", f"""
 WITH {RUN_STATS}, labelled AS (SELECT run_class, stat_class_id, {SPACED_SQL} FROM kept)
-SELECT stat_class_id, stat_name, {", ".join(f"max(CASE WHEN run_class = {c} THEN median END) AS run_{c}" for c in measure.RUN_CLASSES)}
+SELECT stat_class_id, stat_name, max(CASE WHEN run_class = 1 THEN median END) AS run_1, max(CASE WHEN run_class = 2 THEN median END) AS run_2, max(CASE WHEN run_class = 3 THEN median END) AS run_3, max(CASE WHEN run_class = 4 THEN median END) AS run_4, max(CASE WHEN run_class = 5 THEN median END) AS run_5
 FROM labelled GROUP BY 1, 2""")
 def pivot_runs_class_query(t: Tables):
     stats = measure.run_class_stats(_run_stats(t.events)).select("run_class", "stat_class_id", "stat_name", "median")
@@ -219,7 +219,15 @@ WITH {RUN_STATS}, u AS (
     CASE WHEN n LIKE '%!_mem' ESCAPE '!' OR n LIKE '%!_bytes' ESCAPE '!' THEN v / 1048576 WHEN n LIKE '%!_time' ESCAPE '!' THEN v / 1000000 ELSE v::DOUBLE END AS x
   FROM u WHERE run_id < 50
 )
-SELECT sql_id, stat_name, {", ".join(f"max(CASE WHEN run_id = {r} THEN x END) AS run_{r}" for r in measure.RUN_IDS)} FROM labelled GROUP BY 1, 2""")
+SELECT sql_id, stat_name, 
+  max(CASE WHEN run_id = 10 THEN x END) AS run_10, max(CASE WHEN run_id = 11 THEN x END) AS run_11,
+  max(CASE WHEN run_id = 12 THEN x END) AS run_12, max(CASE WHEN run_id = 13 THEN x END) AS run_13,
+  max(CASE WHEN run_id = 20 THEN x END) AS run_20, max(CASE WHEN run_id = 21 THEN x END) AS run_21,
+  max(CASE WHEN run_id = 22 THEN x END) AS run_22, max(CASE WHEN run_id = 23 THEN x END) AS run_23,
+  max(CASE WHEN run_id = 30 THEN x END) AS run_30, max(CASE WHEN run_id = 31 THEN x END) AS run_31,
+  max(CASE WHEN run_id = 32 THEN x END) AS run_32, max(CASE WHEN run_id = 33 THEN x END) AS run_33,
+  max(CASE WHEN run_id = 40 THEN x END) AS run_40, max(CASE WHEN run_id = 41 THEN x END) AS run_41,
+  max(CASE WHEN run_id = 42 THEN x END) AS run_42, max(CASE WHEN run_id = 43 THEN x END) AS run_43 FROM labelled GROUP BY 1, 2""")
 def pivot_runs_id_query(t: Tables):
     stats = _user_stats(t.events).where(F.col("run_id") < 50)
     labelled = measure.label_units(stats, "stat_value_diff", measure.UNDERSCORED_UNITS, digits=None)

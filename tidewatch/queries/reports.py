@@ -42,7 +42,9 @@ def event_stats(events: DataFrame) -> DataFrame:
             "snap_id": hour_number(F.col("ts")), "sql_id": F.col("event_type"), "plan_hash_value": F.col("k") % 3,
             "module": F.when(F.col("k") < 90, F.concat(F.lit("m"), F.floor(F.col("k") / 30).cast("string"))),
             "action": F.lit(None).cast("string"), "parsing_schema_name": F.upper("event_type"),
-            "parsing_user_id": F.col("user_id"),
+            "parsing_user_id": F.col("user_id"), "parsing_schema_id": F.col("user_id") % 10,
+            "force_matching_signature": F.col("k") * 1_000_003 + 7,
+            "sql_profile": F.when(F.col("k") % 4 == 0, F.concat(F.lit("prof"), F.col("k").cast("string"))),
         }
     )
 
@@ -56,7 +58,8 @@ def hourly_snapshots(events: DataFrame) -> DataFrame:
 EVENT_STATS = f"""event_stats AS (
   SELECT *, epoch_us(ts) // 3600000000 AS snap_id, event_type AS sql_id, k % 3 AS plan_hash_value,
     CASE WHEN k < 90 THEN 'm' || k // 30 END AS module, NULL::VARCHAR AS action, upper(event_type) AS parsing_schema_name,
-    user_id AS parsing_user_id, (1 + k // 50)::INT AS instance_number,
+    user_id AS parsing_user_id, user_id % 10 AS parsing_schema_id, k * 1000003 + 7 AS force_matching_signature,
+    CASE WHEN k % 4 = 0 THEN 'prof' || k END AS sql_profile, (1 + k // 50)::INT AS instance_number,
     {", ".join(f"({e})::BIGINT AS {n}_delta, ({e})::BIGINT * 10 AS {n}_total" for n, e in STAND_INS.items())}
   FROM (SELECT event_id, user_id, event_type, ts, {K_SQL}::BIGINT AS k, round(value * 100)::BIGINT AS cents FROM events)
 ), hourly AS (
@@ -65,16 +68,24 @@ EVENT_STATS = f"""event_stats AS (
 )"""
 
 
-def _daily_sql() -> str:
-    counts = [f"sum({n}_delta)::BIGINT AS {o}" for o, n in statistics.DAILY_COUNTS]
-    sizes = [f"round(sum({n}_delta)::DOUBLE / 1048576, 0) AS {o}" for o, n in statistics.DAILY_MB]
-    times = [f"round(sum({n}_delta)::DOUBLE / 1000000, 3) AS {o}" for o, n in statistics.DAILY_SECONDS]
-    return ", ".join(counts + sizes + times)
+DAILY_SQL = """
+  sum(executions_delta)::BIGINT AS execs, sum(rows_processed_delta)::BIGINT AS rows, sum(px_servers_execs_delta)::BIGINT AS execs_px,
+  sum(parse_calls_delta)::BIGINT AS parses, sum(fetches_delta)::BIGINT AS fetches, sum(sorts_delta)::BIGINT AS sorts,
+  sum(buffer_gets_delta)::BIGINT AS io_buffers, sum(disk_reads_delta)::BIGINT AS io_reads,
+  sum(physical_read_requests_delta)::BIGINT AS pio_reads, sum(optimized_physical_reads_delta)::BIGINT AS pio_reads_opt,
+  sum(physical_write_requests_delta)::BIGINT AS pio_writes, sum(direct_writes_delta)::BIGINT AS io_writes_dir,
+  round(sum(physical_read_bytes_delta)::DOUBLE / 1048576, 0) AS pio_reads_mb,
+  round(sum(physical_write_bytes_delta)::DOUBLE / 1048576, 0) AS pio_writes_mb,
+  round(sum(io_interconnect_bytes_delta)::DOUBLE / 1048576, 0) AS io_netw_mb,
+  round(sum(elapsed_time_delta)::DOUBLE / 1000000, 3) AS ela_time_s, round(sum(cpu_time_delta)::DOUBLE / 1000000, 3) AS cpu_time_s,
+  round(sum(plsexec_time_delta)::DOUBLE / 1000000, 3) AS pls_time_s, round(sum(iowait_delta)::DOUBLE / 1000000, 3) AS wait_io_s,
+  round(sum(clwait_delta)::DOUBLE / 1000000, 3) AS wait_cl_s, round(sum(apwait_delta)::DOUBLE / 1000000, 3) AS wait_app_s,
+  round(sum(ccwait_delta)::DOUBLE / 1000000, 3) AS wait_cc_s"""
 
 
 @query("daily_rollup", f"""
 WITH {EVENT_STATS}
-SELECT lower(strftime(begin_interval_time, '%Y-%m-%d %A')) AS occurrence, instance_number, {_daily_sql()},
+SELECT lower(strftime(begin_interval_time, '%Y-%m-%d %A')) AS occurrence, instance_number, {DAILY_SQL},
   string_agg(DISTINCT parsing_schema_name, '|' ORDER BY parsing_schema_name) AS users,
   string_agg(DISTINCT module, '|' ORDER BY module) AS modules
 FROM event_stats JOIN hourly USING (snap_id, instance_number) GROUP BY 1, 2""")
@@ -82,12 +93,22 @@ def daily_rollup_query(t: Tables):
     return statistics.daily_rollup(event_stats(t.events), hourly_snapshots(t.events))
 
 
-def _detail_sql() -> str:
-    out = []
-    for names, divisor, unit in ((statistics.DETAIL_COUNTS, "", ""), (statistics.DETAIL_MS, " / 1000", "_ms"), (statistics.DETAIL_MB, " / 1048576", "_mb")):
-        for o, n in names:
-            out += [f"{n}_total{divisor} AS {o}{unit}", f"{n}_delta{divisor} AS {o}_d{unit}"]
-    return ", ".join(out)
+DETAIL_SQL = """
+  executions_total AS execs, executions_delta AS execs_d, fetches_total AS fetches, fetches_delta AS fetches_d, sorts_total AS sorts,
+  sorts_delta AS sorts_d, px_servers_execs_total AS px_execs, px_servers_execs_delta AS px_execs_d, loads_total AS loads,
+  loads_delta AS loads_d, parse_calls_total AS parses, parse_calls_delta AS parses_d, rows_processed_total AS rows,
+  rows_processed_delta AS rows_d, buffer_gets_total AS io_lios, buffer_gets_delta AS io_lios_d, disk_reads_total AS io_reads,
+  disk_reads_delta AS io_reads_d, physical_read_requests_total AS io_ph_reads, physical_read_requests_delta AS io_ph_reads_d,
+  direct_writes_total AS io_dir_writes, direct_writes_delta AS io_dir_writes_d, physical_write_requests_total AS io_ph_writes,
+  physical_write_requests_delta AS io_ph_writes_d, elapsed_time_total / 1000 AS t_ela_ms, elapsed_time_delta / 1000 AS t_ela_d_ms,
+  cpu_time_total / 1000 AS t_cpu_ms, cpu_time_delta / 1000 AS t_cpu_d_ms, iowait_total / 1000 AS t_iowait_ms,
+  iowait_delta / 1000 AS t_iowait_d_ms, clwait_total / 1000 AS t_clwait_ms, clwait_delta / 1000 AS t_clwait_d_ms,
+  javexec_time_total / 1000 AS t_java_ms, javexec_time_delta / 1000 AS t_java_d_ms, plsexec_time_total / 1000 AS t_plsql_ms,
+  plsexec_time_delta / 1000 AS t_plsql_d_ms, apwait_total / 1000 AS t_apwait_ms, apwait_delta / 1000 AS t_apwait_d_ms,
+  ccwait_total / 1000 AS t_ccwait_ms, ccwait_delta / 1000 AS t_ccwait_d_ms, physical_read_bytes_total / 1048576 AS io_ph_read_mb,
+  physical_read_bytes_delta / 1048576 AS io_ph_read_d_mb, physical_write_bytes_total / 1048576 AS io_ph_write_mb,
+  physical_write_bytes_delta / 1048576 AS io_ph_write_d_mb, io_interconnect_bytes_total / 1048576 AS io_cluster_mb,
+  io_interconnect_bytes_delta / 1048576 AS io_cluster_d_mb"""
 
 
 STATS_DETAIL = f"""
@@ -98,7 +119,7 @@ WITH {EVENT_STATS}, ranked AS (
   FROM event_stats s JOIN hourly USING (snap_id, instance_number) LEFT JOIN customer ON c_custkey = parsing_user_id
 )
 SELECT begin_interval_time, rank, snap_id, instance_number AS inst_id, sql_id, plan_hash_value, module, action, parsing_user_id,
-  p_user, {_detail_sql()} FROM ranked"""
+  p_user, force_matching_signature AS sql_f_m_sig, sql_profile, parsing_schema_id AS p_schema_id, parsing_schema_name AS p_schema, {DETAIL_SQL} FROM ranked"""
 
 
 def _stats_detail(t: Tables, latest_only: bool) -> DataFrame:

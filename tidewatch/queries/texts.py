@@ -10,10 +10,24 @@ from tidewatch.operators.joins import contains_join
 from tidewatch.queries.registry import Tables, query
 
 
+# The rules as the checking SQL applies them, innermost first.
+FORM_STEPS = [
+    ('([@>])"((SE[LT]|INS|UPD|DEL|MRG)\\$[0-9A-F_]+|APEX\\$INNER|G?V_[A-Z_]*)"', '\\1{qblk}'),
+    ('"[A-Za-z_][A-Za-z0-9_$#]*"(\\."[A-Za-z_][A-Za-z0-9_$#]*")*', '{obj}'),
+    ('\\{obj\\}@\\{qblk\\}', '{obj}'),
+    ("'[^']*'", '{string}'),
+    ('\\d+', '{number}'),
+    ('\\(\\{number\\}\\s+\\{number\\}\\)', '{number_pair}'),
+    ('\\{obj\\}(\\s+\\{obj\\})+', '{list_of_objects}'),
+    ('\\{number_pair\\}(\\s+\\{number_pair\\})+', '{list_of_number_pairs}'),
+    ('\\{number\\}(\\s+\\{number\\})+', '{list_of_numbers}'),
+]
+
+
 def _form_sql(expression: str) -> str:
-    for pattern, replacement in text.FORM_RULES:
-        p, r = pattern.replace("'", "''"), replacement.replace("$1", "\\1")
-        expression = f"regexp_replace({expression}, '{p}', '{r}', 'g')"
+    for pattern, replacement in FORM_STEPS:
+        quoted = pattern.replace("'", "''")
+        expression = f"regexp_replace({expression}, '{quoted}', '{replacement}', 'g')"
     return expression
 
 
