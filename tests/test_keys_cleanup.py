@@ -115,3 +115,49 @@ def test_purge_by_catalog(spark):
     left = cleanup.purge_by_catalog(catalog, tables, snaps, insts, skip=["kept"])
     assert {n: sorted(tuple(r) for r in df.collect()) for n, df in left.items()} == {"h": [(1, 1, 5)], "d": [(1, 0)], "ok": [(5,)]}
     assert {r.table_name: r.rows_deleted for r in cleanup.purge_report(tables, left).collect()} == {"h": 2, "d": 1, "ok": 0}
+
+
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_cover_by_prefix_sets(spark, tmp_path):
+    """Any order of the key's columns, longer indexes, doubled and broken keys; every table is read few times."""
+    s = spark.createDataFrame
+    cons = s([("A", "T", k, "R") for k in ("abc", "cab", "ab", "gap", "null", "bd")] + [("A", "U", "abc2", "R")], "owner string, table_name string, constraint_name string, constraint_type string")
+    columns = {"abc": "abc", "cab": "cab", "ab": "ab", "bd": "bd", "abc2": "abc"}
+    cols = s([("A", k, c, i + 1) for k, v in columns.items() for i, c in enumerate(v)] + [("A", "gap", "a", 1), ("A", "gap", "b", 3), ("A", "null", None, 1)],
+             "owner string, constraint_name string, column_name string, position int")
+    idx = s([("I", "long", "A", "T"), ("I", "other", "A", "T")], "owner string, index_name string, table_owner string, table_name string")
+    icols = s([("I", "long", c, i + 1) for i, c in enumerate("bcad")] + [("I", "other", "d", 1), ("I", "other", None, 2)], "index_owner string, index_name string, column_name string, column_position int")
+    bin_ = s([], "owner string, object_name string, type string")
+    frames = []
+    for i, f in enumerate((cons, cols, idx, icols, bin_)):
+        f.write.parquet(str(tmp_path / str(i)))
+        frames.append(spark.read.parquet(str(tmp_path / str(i))))
+    found = keys.uncovered_keys(*frames)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.constraint_name, set()).add((r.column_name, r.nearest_index_name))
+    assert got == {
+        "ab": {("a", None), ("b", "long")}, "gap": {("a", "long"), ("b", "long")}, "null": {(None, None)}, "bd": {("b", "long"), ("d", "other")},
+        "abc2": {("a", None), ("b", None), ("c", None)}}
+    assert _scans(found) <= 6
+
+
+def test_usage_counts_pairs_of_lines_and_statistics(spark):
+    """Every pair of plan line and statistics row counts, though no such pair is a row anywhere."""
+    s = spark.createDataFrame
+    objs = s([("A", "I1", "T")], "owner string, index_name string, table_name string")
+    lines = s([("A", "I1", "q", 1)] * 5 + [("A", "I1", "q", 2)] * 3 + [("A", "I1", "r", 1)] * 2, "object_owner string, object_name string, sql_id string, plan_hash_value int")
+    stats = s([("q", 1, "m", "APP", n % 3) for n in range(7)] + [("q", 2, "m", "APP", 0)] * 4 + [("r", 1, "k", "APP", 1), ("s", 1, "k", "APP", 1)],
+              "sql_id string, plan_hash_value int, module string, parsing_schema_name string, snap_id int").withColumns({"dbid": F.lit(1), "instance_number": F.lit(1)})
+    snaps = s([(n, 1, 1, 100 * n) for n in range(3)], "snap_id int, dbid int, instance_number int, begin_interval_time int")
+    texts = s([("q", "x")], "sql_id string, sql_text string")
+    report = keys.usage_report(objs, lines, stats, snaps, texts)
+    rows = report.collect()
+    assert [(r["rows"], r.first_use, r.last_use, r.sql_ids, r.modules) for r in rows] == [(5 * 7 + 3 * 4 + 2, 0, 200, "q, r", "k, m")]
+    plan = report._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    met = next(i for i, line in enumerate(plan) if "Join Inner, ((sql_id" in line and "plan_hash_value" in line)
+    below = [line for line in plan[met + 1 :] if line.strip(" :+-")]
+    assert sum("Aggregate [" in line for line in below) >= 2  # both sides are counted before they meet

@@ -26,7 +26,10 @@ def test_text_forms(spark):
     assert got["OPT_PARAM('_b_tree' 'true')"][1] == "OPT_PARAM" and got["lower"][1] is None
     many = spark.range(5000).select("id", F.concat(F.lit("F "), F.col("id").cast("string")).alias("hint"))
     row = text.text_forms(many, "hint", "id", exact=True).first()
-    assert row.form == "F {number}" and row.ids == 5000 and abs(row.ids_estimate - 5000) < 750
+    assert row.form == "F {number}" and row.ids == 5000 and abs(row.ids_estimate - 5000) < 250
+    odd = spark.createDataFrame([(None, "A 1"), (1, "A 2"), (1, "A 1"), (2, None), (None, None), (None, "B")], "id int, hint string")
+    got = {r.form: (r.text_sample, r.id_sample, r.ids, r.ids_estimate) for r in text.text_forms(odd, "hint", "id", exact=True).collect()}
+    assert got == {"A {number}": ("A 1", 1, 1, 1), None: (None, 2, 1, 1), "B": ("B", None, 0, 0)}
 
 
 def test_xml(spark):
@@ -38,6 +41,8 @@ def test_xml(spark):
     schema = T.StructType([T.StructField("A", T.StringType()), T.StructField("B", T.LongType())])
     assert sorted((tuple(r) for r in text.xml_rows(docs, "x", "ROW", schema).collect()), key=str) == [
         (1, False, "x", 5), (1, False, "y", 50), (2, False, "z", None), (4, True, None, None)]
+    wrong = spark.createDataFrame([(1, "<R><ROW><A>x</A><B>none</B></ROW><ROW><A> y </A><B> 7 </B></ROW></R>")], "id int, x string")
+    assert sorted(tuple(r) for r in text.xml_rows(wrong, "x", "ROW", schema).collect()) == [(1, False, "x", None), (1, False, "y", 7)]
     assert [tuple(r) for r in text.xml_rows(docs, "x", "ROW", schema, below=("B", 50)).collect()] == [(1, False, "x", 5), (4, True, None, None)]
 
 
@@ -167,7 +172,8 @@ def test_rollup_and_detail(spark):
     rows = spark.createDataFrame([(1, 1, "q", "m1", "S", 5), (2, 1, "q", "m1", "R", 5), (3, 1, "q", None, "S", None), (3, 1, "z", "m9", "S", 5)],
                                  "snap_id int, instance_number int, sql_id string, module string, parsing_schema_name string, v bigint")
     rows = rows.withColumns({**{f"{n}_delta": F.col("v") * 1_048_576 for n in names}, **{f"{n}_total": F.col("v") * 2_097_152 for n in names},
-                             "action": F.lit(None).cast("string"), "plan_hash_value": F.lit(1), "parsing_user_id": F.lit(4)})
+                             "action": F.lit(None).cast("string"), "plan_hash_value": F.lit(1), "parsing_user_id": F.lit(4),
+                             "parsing_schema_id": F.lit(6), "force_matching_signature": F.lit(99), "sql_profile": F.lit(None).cast("string")})
     snaps = spark.createDataFrame([(1, 1, datetime(2024, 1, 1, 5)), (2, 1, datetime(2024, 1, 1, 9)), (3, 1, datetime(2024, 1, 2, 1))],
                                   "snap_id int, instance_number int, begin_interval_time timestamp_ntz")
     days = {r.occurrence: r for r in daily_rollup(rows, snaps, "q").collect()}
@@ -178,5 +184,6 @@ def test_rollup_and_detail(spark):
     users = spark.createDataFrame([(4, "U4")], "user_id int, username string")
     detail = {r.snap_id: r for r in stats_detail(rows.where("sql_id = 'q'"), snaps, users).collect()}
     assert [(detail[i]["rank"], detail[i].p_user) for i in (1, 2, 3)] == [(2, "U4"), (1, "U4"), (1, "U4")]
+    assert (detail[2].sql_f_m_sig, detail[2].sql_profile, detail[2].p_schema_id, detail[2].p_schema) == (99, None, 6, "R")
     assert (detail[1].execs_d, detail[1].t_ela_ms, detail[1].io_ph_read_d_mb) == (5 * 1_048_576, 5 * 2097.152, 5.0)
     assert sorted(r.snap_id for r in stats_detail(rows.where("sql_id = 'q'"), snaps, users, latest_only=True).collect()) == [2, 3]

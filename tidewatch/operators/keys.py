@@ -149,7 +149,8 @@ def mine_keys(
     )
     mined = ids.select(F.col("seg_dbid").cast("bigint").alias("seg_dbid"), F.explode(bounds).alias("seg_snap_id"))
     known = snapshots.select(F.col("dbid").alias("seg_dbid"), F.col("snap_id").alias("seg_snap_id"))
-    ids = mined.unionByName(known).distinct()
+    # Rows, ranks and firsts all start from the ids, which are worked out once.
+    ids = staged(mined.unionByName(known).distinct(), "ids")
 
     running = databases.select(F.col("dbid").alias("seg_dbid"), "inst_id").join(
         instances.select(F.col("instance_number").alias("inst_id"), "startup_time"), "inst_id"

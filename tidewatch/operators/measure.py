@@ -137,14 +137,19 @@ def run_class_stats(
     """Per run class and statistic: median, sample deviation, deviation in percent, runs.
 
     The class is the tens of the run id. Zero differences are left out first; classes with
-    few runs, or with neither a median nor a deviation, last.
+    few runs, or with neither a median nor a deviation, last. The median is the built-in one, which
+    keeps the distinct values of a class; with ``hot_rows`` it is found by position instead, for
+    classes of any number of runs.
     """
     keys = ["run_class", "stat_class_id", "stat_name"]
     rows = df.where(F.col("stat_value_diff") != 0).withColumn("run_class", F.expr("run_id div 10"))
     rows = rows.withColumn("stat_value_diff", F.col("stat_value_diff").cast("double"))
-    spread = rows.groupBy(*keys).agg(F.stddev("stat_value_diff").alias("stddev"), F.count(F.lit(1)).alias("runs"))
-    medians = median_per_key(rows, keys, "stat_value_diff", "median", hot_rows, chunks)
-    stats = match_by(spread.where(F.col("runs") >= min_runs), medians, keys, "inner")
+    measures = [F.stddev("stat_value_diff").alias("stddev"), F.count(F.lit(1)).alias("runs")]
+    if hot_rows is None:
+        stats = rows.groupBy(*keys).agg(*measures, F.median("stat_value_diff").alias("median")).where(F.col("runs") >= min_runs)
+    else:
+        medians = median_per_key(rows, keys, "stat_value_diff", "median", hot_rows, chunks)
+        stats = match_by(rows.groupBy(*keys).agg(*measures).where(F.col("runs") >= min_runs), medians, keys, "inner")
     percent = F.round(100 * F.col("stddev") / F.nullif(F.col("median"), F.lit(0.0)))
     return stats.where((F.col("median") != 0) | (F.col("stddev") != 0)).withColumn("stddev_pct", percent)
 
