@@ -139,8 +139,8 @@ def classify_segments(
         .otherwise(1)
     )
     out = out.withColumn("class_rank", rank)
-    # The joins below keep one row per segment, so the class sizes are known already. At most
-    # four rows, one per class.
+    # The joins below keep one row per segment, so sizes and places in a class are known already,
+    # from narrow rows. At most four sizes, one per class.
     by_class = Window.partitionBy(F.lit(0))
     before = by_class.orderBy("class_rank").rowsBetween(Window.unboundedPreceding, -1)
     sizes = out.groupBy("class_rank").agg(F.count(F.lit(1)).alias("_n")).select(
@@ -148,6 +148,8 @@ def classify_segments(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(by_class).alias("rows_total"),
     )
+    ties = ["size_mb", "owner", "segment_name", "partition_name", "segment_type", "tablespace_name"]
+    out = number_rows(out, ["class_rank"], ties, "_in_class", hot_rows=hot_rows, chunks=chunks)
     out = out.join(
         lobs.select("owner", "segment_name", F.col("owner").alias("lob_table_owner"),
                     F.col("table_name").alias("lob_table"), F.col("column_name").alias("lob_column")),
@@ -172,10 +174,8 @@ def classify_segments(
                              F.col("parent_table_column").alias("nested_column")),
         ["owner", "segment_name"], "left",
     )
-    ties = ["size_mb", "owner", "segment_name", "partition_name", "segment_type", "tablespace_name"]
-    numbered = number_rows(out, ["class_rank"], ties, "_in_class", hot_rows=hot_rows, chunks=chunks)
     return (
-        numbered.join(F.broadcast(sizes), "class_rank")
+        out.join(F.broadcast(sizes), "class_rank")
         .withColumn("row_no", F.col("_in_class") + F.col("_before"))
         .drop("_in_class", "_before")
     )
