@@ -19,6 +19,7 @@ from tidewatch.queries.inputs import (
 from tidewatch.queries.registry import Tables, query
 from tidewatch.session import work_folder
 from tidewatch.sources.tables import write_ordered_text
+from tidewatch.streaming.peaks import run_once, session_peaks
 
 # A range of times and one of snapshots (days), neither inside the other: each leaves out samples that the other takes.
 RANGE_TIMES = datetime(2024, 1, 3, 7, 30), datetime(2024, 1, 24, 18)
@@ -477,3 +478,35 @@ FROM walk GROUP BY p_brand, pack""")
 def pack_lists_query(t: Tables):
     packed = greedy_pack(t.part.select("p_brand", "p_partkey", "p_name"), ["p_brand"], ["p_partkey"], "p_name", limit=500)
     return pack_lists(packed, ["p_brand"], ["p_partkey"], "p_name")
+
+
+@query("stream_peaks", """
+WITH s AS (
+  SELECT epoch_us(ts) // 3600000000 AS hour, user_id AS session_id, 1 + k // 50 AS inst_id, event_type IN ('click', 'view') AS child, round(value * 100)::BIGINT AS cents
+  FROM (SELECT *, regexp_extract(props, '\\d+')::INT AS k FROM events)
+), totals AS (
+  SELECT hour, session_id, inst_id, sum(cents) AS total, count(*) FILTER (NOT child) AS parents, count(*) FILTER (child) AS child_rows FROM s GROUP BY 1, 2, 3
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY hour // 24, session_id, inst_id ORDER BY total DESC, hour DESC) AS r FROM totals WHERE parents > 0 AND total >= 6000
+)
+SELECT hour // 24 AS day, inst_id, session_id, total::BIGINT AS peak_value, hour AS peak_hour, child_rows FROM ranked WHERE r = 1""")
+def stream_peaks_query(t: Tables):
+    """Events cut into files out of order, streamed; half of the sessions' samples are parallel children of them."""
+    samples = event_samples(t.events)
+    child = F.col("sql_id").isin("click", "view")
+    rows = samples.select(
+        "sample_time", "inst_id", (F.col("session_id") + F.when(child, 1_000_000).otherwise(0)).alias("session_id"), "session_serial",
+        F.when(child, F.col("inst_id")).alias("qc_instance_id"), F.when(child, F.col("session_id")).alias("qc_session_id"),
+        F.when(child, F.col("session_serial")).alias("qc_session_serial"), (F.col("temp_space_allocated") / 7000).cast("bigint").alias("cents"))
+    rows = rows.withColumn("sample_time", F.col("sample_time").cast("timestamp"))
+    folder = work_folder(t.spark, "stream")
+    # Files of days by the last digit of their number: times go back and forth from file to file. The last one's beat closes the stream.
+    digit = F.dayofmonth("sample_time") % 10
+    for digits in ((5, 8, 2), (0, 9, 1), (3, 7, 4, 6)):
+        rows.where(digit.isin(*digits)).repartition(4, "inst_id", "cents").write.mode("append").parquet(f"{folder}/in")
+    beat = rows.agg((F.max("sample_time") + F.expr("interval 90 days")).alias("sample_time"))
+    beat.select("sample_time", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "sample_time"]).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
+    peaks = run_once(session_peaks(stream, "cents", 6000, late="31 days"), f"{folder}/out", f"{folder}/state")
+    hour = F.floor(F.unix_micros("peak_at") / 3_600_000_000)
+    return peaks.select(F.floor(hour / 24).alias("day"), "inst_id", "session_id", "peak_value", hour.alias("peak_hour"), "child_rows")
