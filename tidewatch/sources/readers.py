@@ -36,8 +36,11 @@ def read_log_lines(spark: SparkSession, path: str, headers: Mapping[str, str] |
         F.col("value").alias("payload"),
     )
     log = F.regexp_replace("_path", "/[^/]*$", "") if parts else F.col("_path")
+    # Most lines are no header: one pattern says so, and only headers are tried with each.
+    header = F.col("payload").rlike("|".join(f"(?:{pattern})" for pattern in headers.values()))
     lines = lines.withColumn("_log", log).withColumns({
-        f"_{name}": F.when(F.col("payload").rlike(pattern), F.regexp_extract("payload", pattern, 1)) for name, pattern in headers.items()})
+        f"_{name}": F.when(header, F.when(F.col("payload").rlike(pattern), F.regexp_extract("payload", pattern, 1)))
+        for name, pattern in headers.items()})
     block = ["_log", "_path", "_block"]
     own = Window.partitionBy(*block).orderBy("_row")
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
