@@ -56,3 +56,13 @@ def test_run_enrich_takes_every_sample(spark):
     runs = run_segments(samples, ENRICH_KEYS, ["sample_id", "event_id"], "xid", "sample_time")
     got = QUERIES["run_enrich"](spark, FOLDER)
     assert sorted(r.event_id for r in got.select("event_id").collect()) == sorted(r.event_id for r in runs.select("event_id").collect())
+
+
+def test_blocked_latest_takes_every_blocked_sample(spark, con):
+    """Samples of all blocked sessions count, whatever their statement."""
+    from tidewatch.queries.inputs import EVENT_SAMPLES
+
+    blocked = con.execute(f"""WITH {EVENT_SAMPLES} SELECT DISTINCT a.session_id, a.sql_exec_id FROM event_samples a JOIN event_samples b
+      ON b.sample_id = a.sample_id AND b.inst_id = a.inst_id AND b.blocking_session = a.session_id WHERE a.sql_id = 'error'""").fetchall()
+    got = QUERIES["blocked_latest"](spark, FOLDER).select("session_id", "sql_exec_id").collect()
+    assert blocked and sorted(tuple(r) for r in got) == sorted(blocked)
