@@ -146,3 +146,15 @@ def test_only_marks_go_through_python(spark, split):
         plan = frame._jdf.queryExecution().analyzed().toString()
         arrow = [line for line in plan.split("\n") if "MapInArrow" in line or "FlatMapGroupsInArrow" in line]
         assert arrow and not any("payload" in line or " c#" in line for line in arrow)
+
+
+def test_sections_of_a_cut_key_read_rows_once(spark, tmp_path):
+    """Once the marked rows are written, the rows are read a single time more, whatever the number of passes over marks."""
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([(1, i, c) for i, c in enumerate("aHDxDFb" * 5)], "k int, i int, c string").write.parquet(path)
+    c = F.col("c")
+    found = sections(spark.read.parquet(path), ["k"], ["i"], [SectionKind("g", (c == "H", c == "D"), (c == "D", c == "F"))],
+                     hot_rows=1, chunks=4, facts={"at": F.col("i")})
+    scans = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation" in line and "c#" in line.replace("_chunk#", "")]
+    assert len(scans) == 1
+    assert sorted((r.i, r.section, r["at"]) for r in found.collect()) == [(7 * n + i, n + 1, 7 * n + 1) for n in range(5) for i in range(1, 6)]

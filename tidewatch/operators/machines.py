@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,7 +92,15 @@ class Packing:
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+    """The numbers or truth values of a column; 0 or false where there is none."""
+    column = batch.column(batch.schema.get_field_index(name))
+    return column.fill_null(False if pa.types.is_boolean(column.type) else 0).to_numpy(zero_copy_only=False).tolist()
+
+
+def _entries(batch: pa.RecordBatch) -> list | None:
+    """State and count that rows set a chunk to; None for the rows that set nothing, or for all of them."""
+    state, count = (batch.column(batch.schema.get_field_index(n)) for n in ("_w_state", "_w_count"))
+    return None if state.null_count == len(state) else list(zip(state.to_pylist(), count.to_pylist()))
 
 
 class _Effect:
@@ -186,12 +194,12 @@ def _label(machine) -> Callable:
         state, count = machine.start, 0
         for batch in batches:
             before, after, number = [], [], []
-            columns = [_column(batch, n) for n in ("_w_symbol", "_w_first", "_w_state", "_w_count")]
-            for symbol, first, entry, base in zip(*columns):
+            symbols, firsts, entries = _column(batch, "_w_symbol"), _column(batch, "_w_first"), _entries(batch)
+            for i, (symbol, first) in enumerate(zip(symbols, firsts)):
                 if first:
                     state, count = machine.start, 0
-                if entry is not None:
-                    state, count = entry, base
+                if entries is not None and entries[i][0] is not None:
+                    state, count = entries[i]
                     before.append(state), after.append(state), number.append(count)
                     continue
                 before.append(state)
@@ -213,17 +221,19 @@ def run_machine(
     symbol: str,
     machine,
     split: bool,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Keys, order and chunk of every row, with ``before``, ``after`` (states) and ``number`` (running count).
 
-    ``df`` has its chunk numbers (``split``: whether any key was cut). Nothing but keys, order, chunk
-    and symbol goes through Python: callers hand in the rows that can change the state and give
-    the labels to the others with ``carried``.
+    ``df`` has its chunk numbers (``split``: whether any key was cut). Nothing but keys, order, chunk,
+    symbol and the columns named in ``also``, which come out as they are, goes through Python: callers
+    hand in the rows that can change the state and give the labels to the others with ``carried``.
     """
     group = [*keys, CHUNK]
     names = [n for n in dict.fromkeys(c.lstrip("-") for c in order) if n not in group]
     absent = F.lit(None).cast("bigint")
-    rows = df.select(*group, *names, F.col(symbol).cast("bigint").alias("_w_symbol"), absent.alias("_w_state"), absent.alias("_w_count"))
+    also = [c for c in also if c not in group and c not in names]
+    rows = df.select(*group, *names, *also, F.col(symbol).cast("bigint").alias("_w_symbol"), absent.alias("_w_state"), absent.alias("_w_count"))
     sorted_group = Window.partitionBy(*group).orderBy(F.col("_w_state").asc_nulls_last(), *order_by(order))
     first = F.row_number().over(sorted_group) == 1
 
@@ -240,18 +250,19 @@ def run_machine(
     labelled = rows.mapInArrow(_label(machine), T.StructType([*rows.schema, *added]))
     if split:
         labelled = labelled.where(F.col("_w_entry").isNull())
-    return labelled.select(*group, *names, "before", "after", "number")
+    return labelled.select(*group, *names, *also, "before", "after", "number")
 
 
-def carried(rows: DataFrame, labels: DataFrame, keys: Sequence[str], order: Sequence[str], start: int = 0) -> tuple[DataFrame, WindowSpec]:
-    """Gives the labels of some rows (from ``run_machine``) to all rows, and the window that did it.
+def carried(rows: DataFrame, labels: DataFrame, keys: Sequence[str], order: Sequence[str], start: int = 0, also: Sequence[str] = ()) -> DataFrame:
+    """Gives the labels of some rows (from ``run_machine``) to all rows.
 
     A labelled row gets its label; a row between labels the state after the last one, as
     ``before`` and ``after``, and its number; a row before all labels of its chunk the state
     ``start`` and number 0. Labels and rows meet by a running window inside (key, chunk), which
-    holds one row at a time. The order must tell the rows of a key apart.
+    holds one row at a time. The order must tell the rows of a key apart. Columns of the labels named
+    in ``also`` are carried on like the state.
     """
-    label = F.struct("before", "after", "number")
+    label = F.struct("before", "after", "number", *also)
     names = [n for n in dict.fromkeys(c.lstrip("-") for c in order) if n not in keys]
     tagged = rows.withColumns({"_w_label": F.lit(None).cast(labels.select(label.alias("x")).schema["x"].dataType), "_w_row": F.lit(1)})
     marks = labels.select(*keys, CHUNK, *names, label.alias("_w_label"), F.lit(0).alias("_w_row"))
@@ -262,9 +273,8 @@ def carried(rows: DataFrame, labels: DataFrame, keys: Sequence[str], order: Sequ
     after = F.coalesce("_w_last.after", F.lit(start))
     given = both.where("_w_row = 1").withColumns({
         "before": F.when(F.col("_w_own"), F.col("_w_last.before")).otherwise(after), "after": after,
-        "number": F.coalesce("_w_last.number", F.lit(0))})
-    return given.drop("_w_label", "_w_row", "_w_last", "_w_own"), Window.partitionBy(*keys, CHUNK).orderBy(*order_by(order)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+        "number": F.coalesce("_w_last.number", F.lit(0)), **{c: F.col(f"_w_last.{c}") for c in also}})
+    return given.drop("_w_label", "_w_row", "_w_last", "_w_own")
 
 
 def _fields(*pairs) -> list[T.StructField]:

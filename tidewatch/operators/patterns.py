@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.nulls import null_if_blank
 from tidewatch.operators.machines import Packing, Subsequence, Table, carried, run_machine
 from tidewatch.operators.ordered import CHUNK, WHOLE, comparable, match_by, order_by, split_hot_groups
+from tidewatch.session import staged
 
 
 @dataclass(frozen=True)
@@ -45,20 +46,10 @@ def sections(
         raise ValueError("an opening or closing has one or two rows")
     facts = dict(facts or {})
     rows, split = split_hot_groups(df, keys, order, hot_rows, chunks)
-    marks = _section_marks(rows, keys, order, kinds, split)
+    marks = _section_marks(rows, keys, order, kinds, facts, split)
     moves, kind_of = _section_moves([(len(k.opening), len(k.closing)) for k in kinds])
-    labels = run_machine(marks, keys, order, "_bits", Table(moves), split)
-    rows, window = carried(rows, labels, keys, order)
-    if facts:
-        starts = (F.col("before") == 0) & (F.col("after") != 0)
-        rows = rows.withColumn("_first", F.last(F.when(starts, F.struct(*[c.alias(n) for n, c in facts.items()])), ignorenulls=True).over(window))
-        if split:  # a section may go on in later chunks of its key
-            group = [*keys, CHUNK]
-            opened = rows.where(F.col(CHUNK) != WHOLE).groupBy(*group).agg(F.max_by("_first", comparable(rows, order)).alias("_first"))
-            before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-            entry = F.last("_first", ignorenulls=True).over(before)
-            rows = match_by(rows, opened.select(*group, entry.alias("_entry")), group)
-            rows = rows.withColumn("_first", F.coalesce("_first", "_entry"))
+    labels = run_machine(marks, keys, order, "_bits", Table(moves), split, also=["_facts"])
+    rows = carried(rows, _with_first(labels, keys, order, split), keys, order, also=["_first"])
     inside = rows.where((F.col("before") != 0) | (F.col("after") != 0))
     names = F.array(*[F.lit(None if k is None else kinds[k].name) for k in kind_of])
     return inside.select(
@@ -69,13 +60,30 @@ def sections(
     )
 
 
+def _with_first(labels: DataFrame, keys: Sequence[str], order: Sequence[str], split: bool) -> DataFrame:
+    """The labels with ``_first``, the facts of the section's first row, which may lie in an earlier chunk of its key."""
+    group = [*keys, CHUNK]
+    starts = (F.col("before") == 0) & (F.col("after") != 0)
+    labels = labels.withColumn("_facts", F.when(starts, F.col("_facts")))
+    running = Window.partitionBy(*group).orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not split:
+        return labels.withColumn("_first", F.last("_facts", ignorenulls=True).over(running)).drop("_facts")
+    place = F.when(F.col("_facts").isNotNull(), comparable(labels, order))
+    opened = labels.where(F.col(CHUNK) != WHOLE).groupBy(*group).agg(F.max_by("_facts", place).alias("_opened"))
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    entry = opened.select(*group, F.last("_opened", ignorenulls=True).over(before).alias("_entry"))
+    met = match_by(labels, F.broadcast(entry), group)  # a row for each chunk of cut keys
+    return met.withColumn("_first", F.coalesce(F.last("_facts", ignorenulls=True).over(running), "_entry")).drop("_facts", "_entry")
+
+
 def _section_marks(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], kinds: Sequence[SectionKind], split: bool
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], kinds: Sequence[SectionKind], facts: Mapping[str, Column], split: bool
 ) -> DataFrame:
-    """Keys, order, chunk and ``_bits`` of the rows that may change what section a row is in:
+    """Keys, order, chunk, ``_facts`` and ``_bits`` of the rows that may change what section a row is in:
     first and second rows of openings and closings, and the first row of each chunk of a cut key.
 
-    Bit 2k of ``_bits`` says that kind k opens here, bit 2k + 1 that it closes.
+    Bit 2k of ``_bits`` says that kind k opens here, bit 2k + 1 that it closes. All rows are sorted
+    once; of a cut key the marked ones are written, since they are read more than once.
     """
     group = [*keys, CHUNK]
     names = [n for n in dict.fromkeys(c.lstrip("-") for c in order) if n not in group]
@@ -85,7 +93,12 @@ def _section_marks(
             for j, condition in enumerate(conditions):
                 flag[side, i, j] = 1 << len(flag)
                 flags = flags + F.when(condition, flag[side, i, j]).otherwise(0)
-    narrow = _with_neighbours(rows.select(*group, *names, flags.alias("_flags")), keys, order, split)
+    first_rows = F.lit(False)
+    for k in kinds:
+        first_rows = first_rows | F.coalesce(k.opening[0], F.lit(False))
+    said = F.struct(*[c.alias(n) for n, c in facts.items()], F.lit(True).alias("_said"))
+    narrow = rows.select(*group, *names, flags.alias("_flags"), F.when(first_rows, said).alias("_facts"))
+    narrow = _with_neighbours(narrow, keys, order, split)
     narrow = narrow.withColumns({"_spot": comparable(narrow, order), "_next_spot": comparable(narrow, order, "_next_")})
 
     def meets(column: Column, side: str, i: int, j: int) -> Column:
@@ -101,7 +114,8 @@ def _section_marks(
                 marked = marked | (meets(previous, side, i, 0) & meets(own, side, i, 1))
             marked = marked | begins[f"_{side}{i}"]
         opened[i] = F.col("_next_spot") if len(k.opening) == 2 else F.col("_spot")
-    marks = narrow.where(marked).select(*group, *names, "_spot", *[c.alias(n) for n, c in begins.items()], *[c.alias(f"_opened{i}") for i, c in opened.items()])
+    marks = narrow.where(marked).select(
+        *group, *names, "_facts", "_spot", *[c.alias(n) for n, c in begins.items()], *[c.alias(f"_opened{i}") for i, c in opened.items()])
 
     # The last closing of each kind in the key: in the chunk itself, and in the chunks after it.
     last = {f"_end{i}": F.max(F.when(F.col(f"_c{i}"), F.col("_spot"))) for i in range(len(kinds))}
@@ -110,12 +124,13 @@ def _section_marks(
         later = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
         ends = marks.where(F.col(CHUNK) != WHOLE).groupBy(*group).agg(*[c.alias(n) for n, c in last.items()])
         ends = ends.select(*group, *[F.max(n).over(later).alias(f"{n}_later") for n in last])
-        found = match_by(found, ends, group).withColumns({n: F.greatest(n, f"{n}_later") for n in last})
+        found = match_by(found, F.broadcast(ends), group).withColumns({n: F.greatest(n, f"{n}_later") for n in last})
     bits = F.lit(0)
     for i in range(len(kinds)):
         usable = F.col(f"_o{i}") & F.coalesce(F.col(f"_opened{i}") < F.col(f"_end{i}"), F.lit(False))
         bits = bits + F.when(usable, 1 << (2 * i)).otherwise(0) + F.when(F.col(f"_c{i}"), 2 << (2 * i)).otherwise(0)
-    return found.select(*group, *names, bits.alias("_bits"))
+    found = found.select(*group, *names, "_facts", bits.alias("_bits"))
+    return staged(found, "marks") if split else found
 
 
 def _section_moves(lengths: Sequence[tuple[int, int]]) -> tuple[list[list[int]], list[int | None]]:
@@ -141,28 +156,27 @@ def _section_moves(lengths: Sequence[tuple[int, int]]) -> tuple[list[list[int]],
 
 
 def _with_neighbours(narrow: DataFrame, keys: Sequence[str], order: Sequence[str], split: bool) -> DataFrame:
-    """Add ``_previous`` (flags of the row before in the key), ``_next_`` columns (flags and order of
-    the row after) and ``_edge`` (whether the row is the first of a chunk of a cut key).
+    """The rows with flags, and the first and last row of each chunk of a cut key. Adds ``_previous``
+    (flags of the row before in the key), ``_next_`` columns (flags and order of the row after) and
+    ``_edge`` (whether the row is the first of a chunk of a cut key).
 
-    A hot key's chunk borrows a copy of the row after it and of the row before it.
+    The first and last row of a chunk get their neighbours among the other chunks' first and last rows.
     """
-    rows = narrow.withColumn("_borrowed", F.lit(False))
-    if split:
-        whole, place = F.struct("*"), comparable(rows, order)
-        ends = rows.where(F.col(CHUNK) != WHOLE).groupBy(*keys, CHUNK).agg(
-            F.min_by(whole, place).alias("_head"), F.max_by(whole, place).alias("_tail"))
-        chunks = Window.partitionBy(*keys).orderBy(CHUNK)
-        ends = ends.withColumns({"_up": F.lag(CHUNK).over(chunks), "_down": F.lead(CHUNK).over(chunks)})
-        for row, to in (("_head", "_up"), ("_tail", "_down")):
-            lent = ends.where(F.col(to).isNotNull()).select(f"{row}.*", to)
-            rows = rows.unionByName(lent.withColumns({CHUNK: F.col(to), "_borrowed": F.lit(True)}).drop(to))
     ordered = Window.partitionBy(*keys, CHUNK).orderBy(*order_by(order))
-    following = [c for c in narrow.columns if c not in keys and c != CHUNK] + [c.lstrip("-") for c in order if c.lstrip("-") in keys]
-    rows = rows.withColumns({
-        **{f"_next_{c}": F.lead(c).over(ordered) for c in following},
-        "_previous": F.lag("_flags").over(ordered), "_before": F.lag("_borrowed").over(ordered)})
-    rows = rows.withColumn("_edge", (F.col(CHUNK) != WHOLE) & F.coalesce("_before", F.lit(True)))
-    return rows.where(~F.col("_borrowed")).drop("_borrowed", "_before")
+    following = ["_flags", *dict.fromkeys(c.lstrip("-") for c in order)]
+    cut = F.col(CHUNK) != WHOLE
+    rows = narrow.withColumns({
+        **{f"_next_{c}": F.lead(c).over(ordered) for c in following}, "_previous": F.lag("_flags").over(ordered),
+        "_edge": cut & F.lag(F.lit(True)).over(ordered).isNull(), "_tail": cut & F.lead(F.lit(True)).over(ordered).isNull()})
+    rows = rows.where((F.col("_flags") != 0) | F.col("_edge") | F.col("_tail"))
+    if not split:
+        return rows.drop("_tail")
+    rows = staged(rows, "flagged")
+    border, across = F.col("_edge") | F.col("_tail"), Window.partitionBy(*keys).orderBy(CHUNK, *order_by(order))
+    borders = rows.where(border).withColumns({
+        **{f"_next_{c}": F.when(F.col("_tail"), F.lead(c).over(across)).otherwise(F.col(f"_next_{c}")) for c in following},
+        "_previous": F.when(F.col("_edge"), F.lag("_flags").over(across)).otherwise(F.col("_previous"))})
+    return rows.where(~border).unionByName(borders).drop("_tail")
 
 
 def key_value(df: DataFrame, text: str) -> DataFrame:
@@ -198,6 +212,7 @@ def ordered_fields(
     ``symbols`` maps each name, in order, to its condition. ``fields`` maps an output name to
     (symbol, expression on the row matched as that symbol). ``mask``, where the rows have it
     already, says the same as the conditions: bit i is set if the row satisfies the i-th symbol.
+    All columns of ``df`` are sorted, so hand in no more than the fields need.
     """
     names = list(symbols)
     if mask is None:
@@ -205,20 +220,20 @@ def ordered_fields(
         for i, name in enumerate(names):
             mask = mask + F.when(symbols[name], 1 << i).otherwise(0)
     rows = df.withColumn("_mask", mask).where("_mask > 0")
-    rows = rows.withColumns({
-        f"_f_{out}": F.when(F.col("_mask").bitwiseAND(1 << names.index(symbol)) != 0, value) for out, (symbol, value) in fields.items()})
-    rows = rows.select(*dict.fromkeys([*keys, *[n.lstrip("-") for n in order]]), "_mask", *[f"_f_{out}" for out in fields])
     rows, split = split_hot_groups(rows, keys, order, hot_rows, chunks)
-    labels = run_machine(rows, keys, order, "_mask", Subsequence(len(names), reset_on_start), split)
-    labelled, _ = carried(rows, labels, keys, order)
+    labels = run_machine(rows, keys, order, "_mask", Subsequence(len(names), reset_on_start), split, also=["_mask"])
+    # Only rows that can give a field or end a match meet their labels.
+    needed = sum(1 << i for i in {len(names) - 1, *(names.index(symbol) for symbol, _ in fields.values())})
+    rows, labels = (x.where(F.col("_mask").bitwiseAND(needed) != 0) for x in (rows, labels))
+    labelled = carried(rows, labels, keys, order)
     state = F.when(F.lit(reset_on_start) & (F.col("_mask").bitwiseAND(1) > 0), 0).otherwise(F.col("before"))
     used = labelled.withColumn("_taken", state.cast("int"))
     used = used.where(F.expr("shiftright(_mask, _taken) & 1 = 1"))
     matched = used.groupBy(*keys, F.col("number").alias("match")).agg(
         F.count_if(F.col("_taken") == len(names) - 1).alias("_done"),
         *[
-            F.max(F.when(F.col("_taken") == names.index(symbol), F.col(f"_f_{out}"))).alias(out)
-            for out, (symbol, _) in fields.items()
+            F.max(F.when(F.col("_taken") == names.index(symbol), value)).alias(out)
+            for out, (symbol, value) in fields.items()
         ],
     )
     return matched.where("_done > 0").drop("_done")
@@ -242,7 +257,7 @@ def greedy_pack(
     # A quoted name costs two quotes, and each name after the first a two-character separator.
     rows, split = split_hot_groups(df.withColumn("_weight", F.coalesce(F.length(text), F.lit(0)) + 4), keys, order, hot_rows, chunks)
     labels = run_machine(rows, keys, order, "_weight", Packing(limit + 2, first_alone), split)
-    packed, _ = carried(rows, labels, keys, order)
+    packed = carried(rows, labels, keys, order)
     return packed.select(*df.columns, F.col("number").alias("pack"))
 
 
