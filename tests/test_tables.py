@@ -197,3 +197,16 @@ def test_a_killed_replacement_leaves_the_old_rows(spark, tmp_path, monkeypatch):
     again = tables.MeasurementStore(spark, str(tmp_path / "store"), ["k"], ["m"])
     again.save_pre(1, make(("z", 0)).limit(0))
     assert seen() == {(2, "b"): (2, None)}
+
+
+def test_different_numbers_are_counted_in_bounded_memory(spark):
+    """Exact with repeats, across the maps' borders and without rows; no aggregate is keyed by the numbers themselves."""
+    from tidewatch.operators.generate import sequence_rows
+    from tidewatch.queries.tables import _summed
+
+    rows = sequence_rows(spark, 70_000).unionByName(sequence_rows(spark, 40_000))
+    got = _summed(rows)
+    assert tuple(got.first()) == (110_000, sum(range(70_000)) + sum(range(40_000)), 69_999, 70_000)
+    assert tuple(_summed(sequence_rows(spark, 0)).first()) == (0, None, None, 0)
+    assert "count(distinct" not in got._jdf.queryExecution().analyzed().toString()
+    assert sequence_rows(spark, 30_000_000).rdd.getNumPartitions() >= 30

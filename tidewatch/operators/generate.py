@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 from tidewatch.operators.ordered import number_rows
 
 
+ROWS_PER_TASK = 1_000_000
+
+
+def _numbers(spark: SparkSession, n: int) -> DataFrame:
+    """0 … n − 1, in as many tasks as bound the rows of each, but not fewer than there are cores."""
+    return spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK)))
+
+
 def sequence_rows(spark: SparkSession, n: int) -> DataFrame:
     """The numbers 0 … n − 1 as column ``x``, generated in parallel."""
-    return spark.range(n).withColumnRenamed("id", "x")
+    return _numbers(spark, n).withColumnRenamed("id", "x")
 
 
 def sequence_grid(spark: SparkSession, n: int) -> DataFrame:
@@ -23,7 +31,7 @@ def sequence_grid(spark: SparkSession, n: int) -> DataFrame:
     is greater than the side unless √n is whole, which leaves gaps; they are part of the result.
     """
     side, stride = math.floor(math.sqrt(n)), math.trunc(math.sqrt(n) + 1)
-    return spark.range(side * side).select((F.expr(f"id div {side}") * stride + F.col("id") % side).alias("x"))
+    return _numbers(spark, side * side).select((F.expr(f"id div {side}") * stride + F.col("id") % side).alias("x"))
 
 
 def assign_ids(

@@ -12,9 +12,13 @@ from tidewatch.sources import tables
 
 
 def _summed(numbers: DataFrame) -> DataFrame:
-    return numbers.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("x").alias("total"), F.max("x").alias("highest"), F.count_distinct("x").alias("different")
-    )
+    """Rows, sum, highest and exact number of different ones, which are set as bits: a map of 4 KB for a range of 32,768 numbers."""
+    maps = numbers.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("x").alias("total"), F.max("x").alias("highest"),
+        F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("seen"))
+    return maps.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum("total").alias("total"), F.max("highest").alias("highest"),
+        F.coalesce(F.sum(F.bitmap_count("seen")), F.lit(0)).alias("different"))
 
 
 @query("seq_range", """
