@@ -187,3 +187,18 @@ def test_rollup_and_detail(spark):
     assert (detail[2].sql_f_m_sig, detail[2].sql_profile, detail[2].p_schema_id, detail[2].p_schema) == (99, None, 6, "R")
     assert (detail[1].execs_d, detail[1].t_ela_ms, detail[1].io_ph_read_d_mb) == (5 * 1_048_576, 5 * 2097.152, 5.0)
     assert sorted(r.snap_id for r in stats_detail(rows.where("sql_id = 'q'"), snaps, users, latest_only=True).collect()) == [2, 3]
+
+
+def test_latest_detail_is_narrowed_before_joins(spark):
+    """One row per snapshot and group goes into the joins, and it is the newest."""
+    stats = spark.range(2000).select(
+        (F.col("id") % 2).alias("snap_id"), F.lit(1).alias("instance_number"), F.lit("m").alias("module"), F.lit("a").alias("action"),
+        F.lit("q").alias("sql_id"), F.lit(1).alias("plan_hash_value"), F.lit(0).alias("force_matching_signature"), F.lit("p").alias("sql_profile"),
+        F.lit(1).alias("parsing_schema_id"), F.lit("s").alias("parsing_schema_name"), (F.col("id") % 7).alias("parsing_user_id"),
+        F.col("id").alias("event_id"), F.col("id").alias("executions_delta"))
+    snaps = spark.sql("SELECT id AS snap_id, 1 AS instance_number, timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id AS int)) AS begin_interval_time FROM range(2)")
+    users = spark.range(7).select(F.col("id").alias("user_id"), F.lit("u").alias("username"))
+    got = stats_detail(stats, snaps, users, latest_only=True, tie=["event_id"])
+    assert [(r.snap_id, r.execs_d) for r in got.collect()] == [(1, 1999)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max_by") >= 2 and plan.rindex("max_by") > plan.rindex("Join")

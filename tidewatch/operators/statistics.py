@@ -90,12 +90,19 @@ def stats_detail(
     chunks: int | None = None,
 ) -> DataFrame:
     """Total and delta of every statistic in readable units, ranked newest first within
-    module, action, statement, plan and day. ``latest_only`` keeps rank 1."""
+    module, action, statement, plan and day. ``latest_only`` keeps rank 1.
+
+    Rows of one snapshot have its time, so for ``latest_only`` each task keeps the newest by ``tie`` of
+    every snapshot before any join: rows between tasks grow with snapshots, not with statistics.
+    """
+    names = ["module", "action", "sql_id", "plan_hash_value"]
+    if latest_only:
+        stats = latest_per_key(stats, [*names, *keys], [F.col(c) for c in tie])
     rows = stats.join(snapshots.select(*keys, "begin_interval_time"), list(keys))
-    names = users.select(F.col("user_id").alias("parsing_user_id"), F.col("username").alias("p_user"))
-    rows = rows.join(names, "parsing_user_id", "left")
+    known = users.select(F.col("user_id").alias("parsing_user_id"), F.col("username").alias("p_user"))
+    rows = rows.join(known, "parsing_user_id", "left")
     rows = rows.withColumn("_day", F.to_date("begin_interval_time"))
-    group = ["module", "action", "sql_id", "plan_hash_value", "_day"]
+    group = [*names, "_day"]
     if latest_only:
         newest = latest_per_key(rows, group, [F.col("begin_interval_time"), *[F.col(c) for c in tie]])
         ranked = newest.withColumn("rank", F.lit(1).cast("bigint"))
