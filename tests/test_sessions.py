@@ -77,6 +77,26 @@ def test_usage_pivot(spark):
     assert len(usage_pivot_topk(segs, ts, sessions, procs, k=1).collect()) == 1
 
 
+def test_usage_pivot_sorts_no_segments(spark):
+    """All segments meet hash aggregates of numbers; names, statements and types are gathered for the k largest, nulls in their keys too."""
+    rows = [(i % 40, None if i % 40 == 7 else "A", None if i % 40 == 9 else "TEMPORARY", "HASH", 128 * (i % 40), f"x{i}") for i in range(400)]
+    segs = spark.createDataFrame(rows, "session_serial int, tablespace string, contents string, segtype string, blocks bigint, sql_id_tempseg string").withColumns(
+        {"inst_id": F.lit(1), "saddr": F.lit("s"), "username": F.lit("U"), "sql_id": F.lit("q")})
+    ts = spark.createDataFrame([("A", 8192)], "tablespace_name string, block_size int")
+    ids = "plsql_entry_object_id int, plsql_entry_subprogram_id int, plsql_object_id int, plsql_subprogram_id int"
+    sessions = spark.createDataFrame([(1, i, "s", f"m{i}", 1, 1, 2, 2) for i in range(40)], f"inst_id int, session_serial int, saddr string, machine string, {ids}")
+    procs = spark.createDataFrame([(1, 1, "O", "P", None)], "object_id int, subprogram_id int, owner string, object_name string, procedure_name string")
+    got = usage_pivot_topk(segs, ts, sessions, procs, k=39)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    sorting = [line for line in plan if "ObjectHashAggregate(" in line or "SortAggregate(" in line]
+    assert sorting and all("_place" in line.split("functions=")[0] for line in sorting)
+    found = got.collect()
+    # Session 7's tablespace is unknown and takes less than nothing; 9's contents are null and take nothing, as 0 does.
+    assert [r.session_serial for r in found] == [i for i in range(39, 0, -1) if i not in (7, 9)] + [0, 9]
+    assert [(r.temp_hash_mb, r.temp_hash_sql_id, r.machine) for r in found[:2]] == [(390.0, "x119", "m39"), (380.0, "x118", "m38")]
+    assert (found[-1].contents, found[-1].temp_hash_sql_id, found[-1].username) == (None, None, "U")
+
+
 def test_procedure_name_without_owner(spark):
     df = spark.createDataFrame([(None, "a", "b"), ("o", "a", None)], "o string, a string, b string")
     assert [r.n for r in df.select(procedure_name(F.col("o"), F.col("a"), F.col("b")).alias("n")).collect()] == [None, "o.a"]

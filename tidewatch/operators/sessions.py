@@ -174,38 +174,49 @@ def usage_pivot_topk(
 
     The session join comes before the limit because it filters. The procedure joins come
     after it: their keys are unique, so they change no ranking.
+
+    The ranking needs numbers alone, which a hash aggregate adds up without sorting the segments.
+    Names, statements and lists of types, for which they would have to be sorted, are gathered for
+    the k largest only.
     """
     # The segment types given columns of their own, and the empty statement id.
     types = ("LOB_DATA", "LOB_INDEX", "INDEX", "DATA", "HASH", "SORT")
     no_statement = "0000000000000"
     spotted = types[:-1]
+    session, place = ["inst_id", "session_serial", "saddr"], ["tablespace", "contents"]
 
     temporary = F.col("contents") == "TEMPORARY"
     megabytes = F.col("blocks") * F.coalesce(F.col("block_size"), F.lit(-1)) / 1_048_576
     statement = F.nullif(F.col("sql_id_tempseg"), F.lit(no_statement))
-    measures = []
+    sums, measures = [], []
     for t in types:
         of_type = temporary & (F.col("segtype") == t)
-        measures.append(F.sum(F.when(of_type, megabytes).otherwise(0.0)).alias(f"temp_{t.lower()}_mb"))
-        measures.append(F.min(F.when(of_type, statement)).alias(f"temp_{t.lower()}_sql_id"))
+        sums.append(F.sum(F.when(of_type, megabytes).otherwise(0.0)).alias(f"temp_{t.lower()}_mb"))
+        measures += [sums[-1], F.min(F.when(of_type, statement)).alias(f"temp_{t.lower()}_sql_id")]
     unspotted = F.when(temporary & ~F.col("segtype").isin(*spotted), F.col("segtype")).when(
         F.col("contents") != "TEMPORARY", F.concat("contents", F.lit("::"), "segtype")
     )
     sized = temp_segments.join(
         tablespaces.select(F.col("tablespace_name").alias("tablespace"), "block_size"), "tablespace", "left"
     )
-    pivot = sized.groupBy("inst_id", "session_serial", "saddr", "tablespace", "contents").agg(
+    total = sum((F.col(f"temp_{t.lower()}_mb") for t in types), F.lit(0.0)) / 1024
+    keyed = sized.groupBy(*session, *place).agg(*sums).withColumn("temp_total_gb", total).join(sessions, session)
+    top = keyed.orderBy(F.desc_nulls_last("temp_total_gb"), *session, *place).limit(k)
+    top = top.select(
+        F.monotonically_increasing_id().alias("_place"), *[F.col(c).alias(f"_top_{c}") for c in (*session, *place)],
+        F.struct("temp_total_gb", *[c for c in sessions.columns if c not in session]).alias("_top"),
+    )
+    # The session join leaves no null in the session's keys; the others may be null.
+    same = [F.col(c) == F.col(f"_top_{c}") for c in session] + [F.col(c).eqNullSafe(F.col(f"_top_{c}")) for c in place]
+    pivot = sized.join(top, same).groupBy("_place", *session, *place).agg(
         F.min("username").alias("username"),
         F.min("sql_id").alias("sql_id"),
         *measures,
         null_if_blank(F.array_join(F.array_sort(F.collect_set(unspotted)), ",")).alias("segtypes_unspotted"),
+        F.any_value("_top").alias("_top"),
     )
-    total = sum((F.col(f"temp_{t.lower()}_mb") for t in types), F.lit(0.0)) / 1024
-    keyed = pivot.withColumn("temp_total_gb", total).join(sessions, ["inst_id", "session_serial", "saddr"])
-    top = keyed.orderBy(
-        F.desc_nulls_last("temp_total_gb"), "inst_id", "session_serial", "saddr", "tablespace", "contents"
-    ).limit(k)
-    return _with_calls(top, procedures)
+    largest = pivot.orderBy("_place").limit(k)
+    return _with_calls(largest.select(*[c for c in pivot.columns if c not in ("_place", "_top")], "_top.*"), procedures)
 
 
 def deadlock_report(
