@@ -158,3 +158,37 @@ def test_sections_of_a_cut_key_read_rows_once(spark, tmp_path):
     scans = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation" in line and "c#" in line.replace("_chunk#", "")]
     assert len(scans) == 1
     assert sorted((r.i, r.section, r["at"]) for r in found.collect()) == [(7 * n + i, n + 1, 7 * n + 1) for n in range(5) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 7, 30])
+def test_sections_across_ranges(spark, chunks):
+    """Sections that open, close or go on where a key is cut, openings and closings of two rows cut in the middle,
+    kinds that never close, and keys of one row: the same as by a regular expression, however rows are cut."""
+    rng = random.Random(chunks)
+    lines = ["H", "HD", "DF", "HDDF", "HDHDS", "S" * 9, "HD" + "x" * 40 + "DF", "HDSSxE", "SHDDF", "ESHDE" * 6, "HDD" * 5 + "F"]
+    lines += ["".join(rng.choice("HDFSEx") for _ in range(rng.choice([1, 2, 3, 60]))) for _ in range(20)]
+    want = [(key, i, n + 1, m[0][0], m.start()) for key, line in enumerate(lines)
+            for n, m in enumerate(re.finditer(r"HD.*?DF|S.*?E", line)) for i in range(*m.span())]
+    df = spark.createDataFrame([(key, i, c, "text") for key, line in enumerate(lines) for i, c in enumerate(line)], "k int, i int, c string, payload string")
+    c = F.col("c")
+    kinds = [SectionKind("H", (c == "H", c == "D"), (c == "D", c == "F")), SectionKind("S", (c == "S",), (c == "E",))]
+    found = sections(df, ["k"], ["i"], kinds, hot_rows=1, chunks=chunks, facts={"at": F.col("i")})
+    assert sorted((r.k, r.i, r.section, r.kind, r["at"]) for r in found.collect()) == sorted(want)
+    # All columns are sorted and shuffled for one pass only; what is left to do on them is a join with a row for each range.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Window", "Sort [k", "Union"))
+
+
+def test_sections_facts_keep_their_types(spark):
+    rows = [(1, i, c) for i, c in enumerate("aHxFHF")]
+    df = spark.createDataFrame(rows, "k int, i int, c string").withColumns({
+        "t": F.timestamp_micros(F.col("i") + 1), "n": F.col("i").cast("decimal(9,2)"), "a": F.array("c", F.lit(None))})
+    kind = SectionKind("g", (F.col("c") == "H",), (F.col("c") == "F",))
+    facts = {"time": F.col("t"), "local": F.col("t").cast("timestamp_ntz"), "day": F.col("t").cast("date"), "n2": F.col("n"), "list": F.col("a")}
+    found = sections(df, ["k"], ["i"], [kind], hot_rows=1, chunks=3, facts=facts)
+    first = {r.i: r for r in df.collect()}
+    got = found.collect()
+    assert [(r.i, r.section) for r in sorted(got)] == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
+    for r in got:
+        head = first[1 if r.section == 1 else 4]
+        assert (r.time, r.day, r.n2, r.list) == (head.t, head.t.date(), head.n, head.a) and r.local is not None

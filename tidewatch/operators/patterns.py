@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.nulls import null_if_blank
 from tidewatch.operators.machines import Packing, Subsequence, Table, carried, run_machine
-from tidewatch.operators.ordered import CHUNK, WHOLE, comparable, match_by, order_by, split_hot_groups
-from tidewatch.session import staged
+from tidewatch.operators.ordered import comparable, match_by, ordered_ranges, split_hot_groups
+from tidewatch.operators.scans import CLOSE, OPEN, flag, scanned
 
 
 @dataclass(frozen=True)
@@ -39,100 +39,34 @@ def sections(
     key), ``kind``, and the ``facts``: expressions on the first row of a section. The order must
     tell the rows of a key apart.
 
-    Only rows where a section can open or close are looked at one by one, by key, order and a
-    number; all columns are shuffled once, to meet what those rows say about them.
+    All rows are sorted once; only the flags of rows that match part of an opening or closing, and the
+    facts of those that may be a section's first, are looked at outside the JVM.
     """
     if any(not 1 <= len(side) <= 2 for k in kinds for side in (k.opening, k.closing)):
         raise ValueError("an opening or closing has one or two rows")
     facts = dict(facts or {})
-    rows, split = split_hot_groups(df, keys, order, hot_rows, chunks)
-    marks = _section_marks(rows, keys, order, kinds, facts, split)
-    moves, kind_of = _section_moves([(len(k.opening), len(k.closing)) for k in kinds])
-    labels = run_machine(marks, keys, order, "_bits", Table(moves), split, also=["_facts"])
-    rows = carried(rows, _with_first(labels, keys, order, split), keys, order, also=["_first"])
-    inside = rows.where((F.col("before") != 0) | (F.col("after") != 0))
+    flags, opening, met = F.lit(0).cast("bigint"), 0, {}
+    for i, k in enumerate(kinds):
+        opening |= flag(i, OPEN, 0)
+        for side, conditions in ((OPEN, k.opening), (CLOSE, k.closing)):
+            for j, condition in enumerate(conditions):  # one that stands for several rows is worked out once
+                met[id(condition)] = condition, met.get(id(condition), (None, 0))[1] | flag(i, side, j)
+    for condition, bits in met.values():
+        flags = flags + F.when(condition, bits).otherwise(0)
+    lengths = [(len(k.opening), len(k.closing)) for k in kinds]
+    moves, kind_of = _section_moves(lengths)
+    said = F.when(F.col("_flags").bitwiseAND(opening) != 0, F.struct(*[c.alias(n) for n, c in (facts or {"said": F.lit(True)}).items()]))
+    rows = ordered_ranges(df, keys, order, hot_rows, chunks).withColumn("_flags", flags)
+    rows = scanned(rows, keys, order, F.col("_flags"), Table(moves), lengths, said)
     names = F.array(*[F.lit(None if k is None else kinds[k].name) for k in kind_of])
-    return inside.select(
+    return rows.select(
         *df.columns,
-        F.col("number").alias("section"),
-        F.element_at(names, (F.greatest("before", "after") + 1).cast("int")).alias("kind"),
-        *[F.col(f"_first.{n}").alias(n) for n in facts],
+        F.col("_label.number").alias("section"),
+        F.element_at(names, F.col("_label.state") + 1).alias("kind"),
+        *[F.col(f"_label.facts.{n}").alias(n) for n in facts],
     )
 
 
-def _with_first(labels: DataFrame, keys: Sequence[str], order: Sequence[str], split: bool) -> DataFrame:
-    """The labels with ``_first``, the facts of the section's first row, which may lie in an earlier chunk of its key."""
-    group = [*keys, CHUNK]
-    starts = (F.col("before") == 0) & (F.col("after") != 0)
-    labels = labels.withColumn("_facts", F.when(starts, F.col("_facts")))
-    running = Window.partitionBy(*group).orderBy(*order_by(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if not split:
-        return labels.withColumn("_first", F.last("_facts", ignorenulls=True).over(running)).drop("_facts")
-    place = F.when(F.col("_facts").isNotNull(), comparable(labels, order))
-    opened = labels.where(F.col(CHUNK) != WHOLE).groupBy(*group).agg(F.max_by("_facts", place).alias("_opened"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    entry = opened.select(*group, F.last("_opened", ignorenulls=True).over(before).alias("_entry"))
-    met = match_by(labels, F.broadcast(entry), group)  # a row for each chunk of cut keys
-    return met.withColumn("_first", F.coalesce(F.last("_facts", ignorenulls=True).over(running), "_entry")).drop("_facts", "_entry")
-
-
-def _section_marks(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], kinds: Sequence[SectionKind], facts: Mapping[str, Column], split: bool
-) -> DataFrame:
-    """Keys, order, chunk, ``_facts`` and ``_bits`` of the rows that may change what section a row is in:
-    first and second rows of openings and closings, and the first row of each chunk of a cut key.
-
-    Bit 2k of ``_bits`` says that kind k opens here, bit 2k + 1 that it closes. All rows are sorted
-    once; of a cut key the marked ones are written, since they are read more than once.
-    """
-    group = [*keys, CHUNK]
-    names = [n for n in dict.fromkeys(c.lstrip("-") for c in order) if n not in group]
-    flag, flags = {}, F.lit(0)
-    for i, k in enumerate(kinds):
-        for side, conditions in (("o", k.opening), ("c", k.closing)):
-            for j, condition in enumerate(conditions):
-                flag[side, i, j] = 1 << len(flag)
-                flags = flags + F.when(condition, flag[side, i, j]).otherwise(0)
-    first_rows = F.lit(False)
-    for k in kinds:
-        first_rows = first_rows | F.coalesce(k.opening[0], F.lit(False))
-    said = F.struct(*[c.alias(n) for n, c in facts.items()], F.lit(True).alias("_said"))
-    narrow = rows.select(*group, *names, flags.alias("_flags"), F.when(first_rows, said).alias("_facts"))
-    narrow = _with_neighbours(narrow, keys, order, split)
-    narrow = narrow.withColumns({"_spot": comparable(narrow, order), "_next_spot": comparable(narrow, order, "_next_")})
-
-    def meets(column: Column, side: str, i: int, j: int) -> Column:
-        return F.coalesce(column.bitwiseAND(flag[side, i, j]) != 0, F.lit(False))
-
-    own, following, previous = F.col("_flags"), F.col("_next__flags"), F.col("_previous")
-    marked, begins, opened = F.col("_edge"), {}, {}
-    for i, k in enumerate(kinds):
-        for side, conditions in (("o", k.opening), ("c", k.closing)):
-            begins[f"_{side}{i}"] = meets(own, side, i, 0)
-            if len(conditions) == 2:
-                begins[f"_{side}{i}"] = begins[f"_{side}{i}"] & meets(following, side, i, 1)
-                marked = marked | (meets(previous, side, i, 0) & meets(own, side, i, 1))
-            marked = marked | begins[f"_{side}{i}"]
-        opened[i] = F.col("_next_spot") if len(k.opening) == 2 else F.col("_spot")
-    marks = narrow.where(marked).select(
-        *group, *names, "_facts", "_spot", *[c.alias(n) for n, c in begins.items()], *[c.alias(f"_opened{i}") for i, c in opened.items()])
-
-    # The last closing of each kind in the key: in the chunk itself, and in the chunks after it.
-    last = {f"_end{i}": F.max(F.when(F.col(f"_c{i}"), F.col("_spot"))) for i in range(len(kinds))}
-    found = marks.withColumns({n: c.over(Window.partitionBy(*group)) for n, c in last.items()})
-    if split:
-        later = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
-        ends = marks.where(F.col(CHUNK) != WHOLE).groupBy(*group).agg(*[c.alias(n) for n, c in last.items()])
-        ends = ends.select(*group, *[F.max(n).over(later).alias(f"{n}_later") for n in last])
-        found = match_by(found, F.broadcast(ends), group).withColumns({n: F.greatest(n, f"{n}_later") for n in last})
-    bits = F.lit(0)
-    for i in range(len(kinds)):
-        usable = F.col(f"_o{i}") & F.coalesce(F.col(f"_opened{i}") < F.col(f"_end{i}"), F.lit(False))
-        bits = bits + F.when(usable, 1 << (2 * i)).otherwise(0) + F.when(F.col(f"_c{i}"), 2 << (2 * i)).otherwise(0)
-    found = found.select(*group, *names, "_facts", bits.alias("_bits"))
-    return staged(found, "marks") if split else found
-
-
 def _section_moves(lengths: Sequence[tuple[int, int]]) -> tuple[list[list[int]], list[int | None]]:
     """Transition table over the open/close bits of all kinds, and the kind of each state."""
     kind_of, opening, inside, closing = [None], {}, {}, {}
@@ -155,30 +89,6 @@ def _section_moves(lengths: Sequence[tuple[int, int]]) -> tuple[list[list[int]],
     return moves, kind_of
 
 
-def _with_neighbours(narrow: DataFrame, keys: Sequence[str], order: Sequence[str], split: bool) -> DataFrame:
-    """The rows with flags, and the first and last row of each chunk of a cut key. Adds ``_previous``
-    (flags of the row before in the key), ``_next_`` columns (flags and order of the row after) and
-    ``_edge`` (whether the row is the first of a chunk of a cut key).
-
-    The first and last row of a chunk get their neighbours among the other chunks' first and last rows.
-    """
-    ordered = Window.partitionBy(*keys, CHUNK).orderBy(*order_by(order))
-    following = ["_flags", *dict.fromkeys(c.lstrip("-") for c in order)]
-    cut = F.col(CHUNK) != WHOLE
-    rows = narrow.withColumns({
-        **{f"_next_{c}": F.lead(c).over(ordered) for c in following}, "_previous": F.lag("_flags").over(ordered),
-        "_edge": cut & F.lag(F.lit(True)).over(ordered).isNull(), "_tail": cut & F.lead(F.lit(True)).over(ordered).isNull()})
-    rows = rows.where((F.col("_flags") != 0) | F.col("_edge") | F.col("_tail"))
-    if not split:
-        return rows.drop("_tail")
-    rows = staged(rows, "flagged")
-    border, across = F.col("_edge") | F.col("_tail"), Window.partitionBy(*keys).orderBy(CHUNK, *order_by(order))
-    borders = rows.where(border).withColumns({
-        **{f"_next_{c}": F.when(F.col("_tail"), F.lead(c).over(across)).otherwise(F.col(f"_next_{c}")) for c in following},
-        "_previous": F.when(F.col("_edge"), F.lag("_flags").over(across)).otherwise(F.col("_previous"))})
-    return rows.where(~border).unionByName(borders).drop("_tail")
-
-
 def key_value(df: DataFrame, text: str) -> DataFrame:
     """Split ``name: value`` lines into trimmed ``var`` and ``value``; other lines give nulls."""
     # Fixed value: the line shape.
