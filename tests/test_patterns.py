@@ -192,3 +192,12 @@ def test_sections_facts_keep_their_types(spark):
     for r in got:
         head = first[1 if r.section == 1 else 4]
         assert (r.time, r.day, r.n2, r.list) == (head.t, head.t.date(), head.n, head.a) and r.local is not None
+
+
+def test_fields_are_sorted_once(spark):
+    """Rows meet their labels where they are sorted: after that, only matches are shuffled."""
+    df = spark.createDataFrame([(k, i, c) for k in range(3) for i, c in enumerate("abxc" * 4)], "k int, i int, c string")
+    found = ordered_fields(df, ["k"], ["i"], {s: F.col("c") == s for s in "abc"}, {"at": ("b", F.col("i"))}, hot_rows=1, chunks=5)
+    assert sorted((r.k, r.match, r["at"]) for r in found.collect()) == [(k, n + 1, 4 * n + 1) for k in range(3) for n in range(4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Window", "Union"))

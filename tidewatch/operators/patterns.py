@@ -130,16 +130,14 @@ def ordered_fields(
         for i, name in enumerate(names):
             mask = mask + F.when(symbols[name], 1 << i).otherwise(0)
     rows = df.withColumn("_mask", mask).where("_mask > 0")
-    rows, split = split_hot_groups(rows, keys, order, hot_rows, chunks)
-    labels = run_machine(rows, keys, order, "_mask", Subsequence(len(names), reset_on_start), split, also=["_mask"])
-    # Only rows that can give a field or end a match meet their labels.
+    # Only rows that can give a field or end a match are kept with their labels.
     needed = sum(1 << i for i in {len(names) - 1, *(names.index(symbol) for symbol, _ in fields.values())})
-    rows, labels = (x.where(F.col("_mask").bitwiseAND(needed) != 0) for x in (rows, labels))
-    labelled = carried(rows, labels, keys, order)
-    state = F.when(F.lit(reset_on_start) & (F.col("_mask").bitwiseAND(1) > 0), 0).otherwise(F.col("before"))
+    rows = ordered_ranges(rows, keys, order, hot_rows, chunks)
+    labelled = scanned(rows, keys, order, F.col("_mask"), Subsequence(len(names), reset_on_start), needed=needed)
+    state = F.when(F.lit(reset_on_start) & (F.col("_mask").bitwiseAND(1) > 0), 0).otherwise(F.col("_label.state"))
     used = labelled.withColumn("_taken", state.cast("int"))
     used = used.where(F.expr("shiftright(_mask, _taken) & 1 = 1"))
-    matched = used.groupBy(*keys, F.col("number").alias("match")).agg(
+    matched = used.groupBy(*keys, F.col("_label.number").alias("match")).agg(
         F.count_if(F.col("_taken") == len(names) - 1).alias("_done"),
         *[
             F.max(F.when(F.col("_taken") == names.index(symbol), value)).alias(out)
