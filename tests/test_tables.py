@@ -210,3 +210,23 @@ def test_different_numbers_are_counted_in_bounded_memory(spark):
     assert tuple(_summed(sequence_rows(spark, 0)).first()) == (0, None, None, 0)
     assert "count(distinct" not in got._jdf.queryExecution().analyzed().toString()
     assert sequence_rows(spark, 30_000_000).rdd.getNumPartitions() >= 30
+
+
+def test_log_lines_are_read_once(spark, tmp_path):
+    """Numbers and header state of many small blocks, from one reading of the text and no sort of its lines."""
+    from tidewatch.sources.readers import read_log_lines
+
+    lines = [f"*** BY {i}" if i % 50 == 0 else f"line {i} | *** BY" for i in range(1, 1200)]
+    (tmp_path / "one.trc").write_text("\n".join(lines) + "\n")
+    (tmp_path / "two.trc").write_text("no header\n*** BY x\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = read_log_lines(spark, str(tmp_path), {"by": r"^\*\*\* BY (\w+)", "never": r"^nothing (\d)"})
+        got = sorted((r.trace_filename, r.line_number, r.payload, r.by, r.never) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    want = [("one.trc", n, line, str(n // 50 * 50) if n >= 50 else None, None) for n, line in enumerate(lines, 1)]
+    assert got == sorted([*want, ("two.trc", 1, "no header", None, None), ("two.trc", 2, "*** BY x", "x", None)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "rlike" not in plan.lower()
